@@ -55,11 +55,16 @@ def normalize_answer(c) -> Column:
     return strip_ws(collapse_ws(s))
 
 
+STOP_OR_SHORT_RE = "(?:^| )(?:" + "|".join(C.STOP_WORDS) + "|[^ ])(?= |$)"
+
+
 def answer_tokens(c) -> Column:
-    """TXT-11: normalised words minus stop words and one-letter tokens."""
-    stop = F.array(*[F.lit(w) for w in C.STOP_WORDS])
-    words = F.split(normalize_answer(c), " ")
-    return F.filter(words, lambda t: (t != "") & ~F.array_contains(stop, t) & (F.length(t) > 1))
+    """TXT-11: normalised words minus stop words and one-letter tokens.
+
+    One regex pass removes stop words and one-character words from the normalised
+    (single-spaced) string, then a plain split: no per-token lambda."""
+    kept = strip_ws(F.regexp_replace(normalize_answer(c), STOP_OR_SHORT_RE, ""))
+    return F.when(kept == "", F.array().cast("array<string>")).otherwise(F.split(kept, " "))
 
 
 def normalize_extract(c) -> Column:

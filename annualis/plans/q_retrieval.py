@@ -80,3 +80,78 @@ def local_answer(spark, sf):
     kept = R.pack_chars(R.keep_first(_knn(spark, sf, keep=["text"]), 5))
     ans = R.local_answer(qs, kept)
     return ans.select("qid", "answer", "n_contexts", F.length("context").alias("context_chars"))
+
+
+# ---------------------------------------------------------------- lexical and hybrid
+from annualis.operators import lexical as LX  # noqa: E402
+from annualis.plans.q_text import answer_tokens_sql  # noqa: E402
+from annualis.sources.tables import table  # noqa: E402
+
+
+def bm25_sql(corpus: str, key: str, text: str, qsrc: str, qkey: str, qtext: str, k: int, prefix: str = "b") -> str:
+    """DuckDB CTEs for BM25 top-k; the last CTE ``{prefix}_top`` has (qid, {key}, score, rn)."""
+    p = prefix
+    return f"""{p}_dt AS (SELECT {key} AS d, {answer_tokens_sql(text)} AS t FROM {corpus}),
+{p}_stats AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM {p}_dt),
+{p}_dfs AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(t)) AS term FROM {p}_dt) GROUP BY term),
+{p}_idf0 AS (SELECT term, ln(((SELECT n FROM {p}_stats) - df + 0.5) / (df + 0.5)) AS idf FROM {p}_dfs),
+{p}_idf AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM {p}_idf0) ELSE idf END AS idf FROM {p}_idf0),
+{p}_qt AS (SELECT q AS qid, term, count(*) AS qtf FROM
+  (SELECT {qkey} AS q, unnest({answer_tokens_sql(qtext)}) AS term FROM {qsrc}) GROUP BY 1, 2),
+{p}_post AS (SELECT d, dl, term, count(*) AS tf FROM
+  (SELECT d, len(t) AS dl, unnest(t) AS term FROM {p}_dt) WHERE term IN (SELECT term FROM {p}_qt) GROUP BY d, dl, term),
+{p}_sc AS (SELECT qt.qid, po.d AS {key},
+  sum(qt.qtf * i.idf * po.tf * 2.5 / (po.tf + 1.5 * (1 - 0.75 + 0.75 * po.dl / (SELECT avgdl FROM {p}_stats)))) AS score
+  FROM {p}_post po JOIN {p}_qt qt USING (term) JOIN {p}_idf i USING (term) GROUP BY 1, 2),
+{p}_top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, {key}) AS rn FROM {p}_sc)
+  WHERE rn <= {k})"""
+
+
+@register("bm25_topk", f"""WITH {bm25_sql('documents', 'doc_id', 'text', 'benchmark', 'item_id', 'text', 5)}
+SELECT qid, doc_id, round(score, 6) AS score, CAST(rn AS INTEGER) AS rank FROM b_top""")
+def bm25_topk(spark, sf):
+    """JN-3: BM25 (k1 1.5, b 0.75, idf floor 0.25 x mean) of every benchmark item over all documents."""
+    docs = table(spark, sf, "documents", ["doc_id", "text"])
+    qs = table(spark, sf, "benchmark", ["item_id", "text"]).select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    out = LX.bm25_topk(docs, qs, k=5)
+    return out.select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+HYBRID_POOL = 20
+
+
+def _hybrid_questions(spark, sf):
+    """Vector questions with a text: question i carries benchmark item i."""
+    bench = table(spark, sf, "benchmark", ["item_id", "text"])
+    vq = vector_questions(spark, sf)
+    return vq.join(bench, vq.qid == bench.item_id, "left").select("qid", "q_vec", "f_label", F.col("text").alias("question"))
+
+
+@register("hybrid_topk", f"""{_SCORED_SQL},
+hq AS (SELECT qs.qid, b.text AS question FROM qs LEFT JOIN benchmark b ON b.item_id = qs.qid),
+{bm25_sql('chunks', 'chunk_id', 'text', 'hq', 'qid', 'question', HYBRID_POOL)},
+scored AS (
+  SELECT q.qid, c.chunk_id, list_distance(CAST(c.embedding AS DOUBLE[]), CAST(q.q_vec AS DOUBLE[])) AS dist
+  FROM chunks c JOIN qs q ON q.f_label IS NULL OR q.f_label = c.label),
+dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, chunk_id) AS rn FROM scored)
+  WHERE rn <= {HYBRID_POOL}),
+dn AS (SELECT qid, chunk_id, CASE WHEN max(dist) OVER w = min(dist) OVER w THEN 1.0
+  ELSE (max(dist) OVER w - dist) / (max(dist) OVER w - min(dist) OVER w) END AS dense_n FROM dense WINDOW w AS (PARTITION BY qid)),
+bn AS (SELECT qid, chunk_id, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0
+  ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS bm25_n FROM b_top WINDOW w AS (PARTITION BY qid)),
+fused AS (SELECT coalesce(dn.qid, bn.qid) AS qid, coalesce(dn.chunk_id, bn.chunk_id) AS chunk_id,
+  coalesce(dense_n, 0.0) AS dense_n, coalesce(bm25_n, 0.0) AS bm25_n
+  FROM dn FULL OUTER JOIN bn ON dn.qid = bn.qid AND dn.chunk_id = bn.chunk_id),
+fr AS (SELECT *, 0.85 * dense_n + 0.15 * bm25_n AS score,
+  row_number() OVER (PARTITION BY qid ORDER BY round(0.85 * dense_n + 0.15 * bm25_n, 6) DESC, chunk_id) AS rn FROM fused)
+SELECT qid, chunk_id, round(dense_n, 6) AS dense_n, round(bm25_n, 6) AS bm25_n, round(score, 6) AS score,
+  CAST(rn AS INTEGER) AS rank FROM fr WHERE rn <= 5""")
+def hybrid_topk(spark, sf):
+    """JN-4: dense pool (filtered kNN, 20) + BM25 pool (20), min-max fused with alpha 0.85, top 5."""
+    chunks = vector_chunks(spark, sf)
+    qs = _hybrid_questions(spark, sf)
+    dense = RT.knn_prefilter(chunks, qs, [("f_label", "label")], k=HYBRID_POOL)
+    lex = LX.bm25_topk(chunks, qs, k=HYBRID_POOL, doc_key="chunk_id", q_key="qid", q_text="question")
+    out = LX.hybrid_fuse(dense, lex, alpha=0.85, top_k=5)
+    return out.select("qid", "chunk_id", F.round("dense_n", 6).alias("dense_n"), F.round("bm25_n", 6).alias("bm25_n"),
+                      F.round("score", 6).alias("score"), "rank")
