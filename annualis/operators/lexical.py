@@ -10,11 +10,11 @@ whole posting list.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from annualis.functions import text as TX
-from annualis.session import bounded_broadcast
 
 MAX_QUERY_TERMS = 1_000_000
 
@@ -28,7 +28,9 @@ def bm25_topk(docs: DataFrame, questions: DataFrame, k: int = 5, doc_key: str =
     over the corpus vocabulary.  Query terms count with their multiplicity.  Only
     documents sharing at least one term with the question are ranked.
     """
-    tok = docs.select(F.col(doc_key).alias("_d"), tokenizer(doc_text).alias("_t"))
+    # The tokenised corpus feeds four aggregates (N, avgdl, df, postings): tokenise once.
+    # MEMORY_AND_DISK spills at scale; a lost executor recomputes its blocks from lineage.
+    tok = docs.select(F.col(doc_key).alias("_d"), tokenizer(doc_text).alias("_t")).persist(StorageLevel.MEMORY_AND_DISK)
     n_docs = tok.select(F.count(F.lit(1))).scalar()
     avgdl = tok.select(F.avg(F.size("_t"))).scalar()
     dfs = (tok.select(F.explode(F.array_distinct("_t")).alias("term"))
@@ -39,8 +41,12 @@ def bm25_topk(docs: DataFrame, questions: DataFrame, k: int = 5, doc_key: str =
 
     qterms = (questions.select(F.col(q_key).alias("_q"), F.explode(tokenizer(q_text)).alias("term"))
               .groupBy("_q", "term").agg(F.count(F.lit(1)).alias("qtf")))
-    vocab = bounded_broadcast(qterms.select("term").distinct(), MAX_QUERY_TERMS)
-    q_idf = bounded_broadcast(qterms.join(idf.join(vocab, "term", "left_semi"), "term", "inner"), MAX_QUERY_TERMS)
+    # the question side bounds both broadcasts: q_idf has at most one row per question term
+    small = qterms.limit(MAX_QUERY_TERMS + 1).count() <= MAX_QUERY_TERMS
+    vocab = qterms.select("term").distinct()
+    vocab = F.broadcast(vocab) if small else vocab
+    q_idf = qterms.join(idf.join(vocab, "term", "left_semi"), "term", "inner")
+    q_idf = F.broadcast(q_idf) if small else q_idf
 
     postings = (tok.select("_d", F.size("_t").alias("dl"), F.explode("_t").alias("term"))
                 .join(vocab, "term", "left_semi")

@@ -28,19 +28,24 @@ def category_pool(spark: SparkSession, fil: DataFrame, pool: int = POOL) -> Data
     return top.select("category", "doc_id", F.col("rank").alias("in_rank"))
 
 
-def question_contexts(spark: SparkSession, sf: str, stage: str = "top") -> DataFrame:
-    """(qid, category, company, year, doc_id, ctx_rank 0-based, text, in_rank) per question."""
+def question_contexts(spark: SparkSession, sf: str, stage: str = "top", qv: DataFrame | None = None,
+                      priority: str = "regex") -> DataFrame:
+    """(qid, category, company, year, doc_id, ctx_rank 0-based, text, in_rank) per question.
+
+    ``qv`` defaults to the q_v question table; ``priority`` is the category predicate used
+    to put contexts first: ``regex`` (FLT-4, evaluation) or ``substring`` (FLT-5, training).
+    """
     fil = filings(spark, sf)
-    qv = questions(spark, fil)
+    qv = questions(spark, fil) if qv is None else qv
     pool = category_pool(spark, fil)
     docs = fil.select("doc_id", F.col("company").alias("doc_company"), "text")
-    # q_v x pool: a question sees its category's pool (bounded: POOL rows per category)
+    # q x pool: a question sees its category's pool (bounded: POOL rows per category)
     cand = qv.join(F.broadcast(pool), "category", "inner").join(docs, "doc_id", "inner")
     pref = R.prefer_group(cand, "qid", F.col("doc_company") == F.col("company"))
     if stage == "prefer":
         return pref
-    pr = R.priority_top(pref, "qid", EX.category_match(F.col("text"), F.col("category")), "in_rank", ["doc_id"],
-                        n=TOP_CONTEXTS)
+    pred = EX.category_match if priority == "regex" else EX.category_match_substring
+    pr = R.priority_top(pref, "qid", pred(F.col("text"), F.col("category")), "in_rank", ["doc_id"], n=TOP_CONTEXTS)
     return pr.withColumn("ctx_rank", (F.col("prio_rank") - 1).cast("int")).drop("prio_rank", "_p")
 
 
@@ -54,14 +59,30 @@ def category_match_sql(text: str, cat: str) -> str:
     return f"coalesce(CASE {whens} ELSE false END, false)"
 
 
-CONTEXTS_SQL = f"""WITH {FILINGS_V_SQL},
-{Q_V_SQL},
-{bm25_sql('filings_v', 'doc_id', 'text', 'cats', 'category', 'question', POOL, prefix='p')},
+def substring_match_sql(text: str, cat: str) -> str:
+    low = f"lower({text})"
+    cue = " OR ".join(f"contains({low}, '{c}')" for c in C.TRAIN_CUES)
+    whens = " ".join(
+        f"WHEN {cat} = '{k}' THEN ({' OR '.join(f"contains({low}, '{w}')" for w in ws)}) AND ({cue})"
+        for k, ws in C.TRAIN_CATEGORY_WORDS.items())
+    return f"coalesce(CASE {whens} ELSE true END, true)"
+
+
+def contexts_sql(qsrc: str = "q_v", priority: str = "regex") -> str:
+    """CTE chain ending in ``ctx`` (and ``pref``); ``qsrc`` is a CTE with
+    (qid, category, company, year); it must be defined by the caller unless it is q_v."""
+    pred = category_match_sql if priority == "regex" else substring_match_sql
+    return f"""{bm25_sql('filings_v', 'doc_id', 'text', 'cats', 'category', 'question', POOL, prefix='p')},
 pool AS (SELECT qid AS category, doc_id, rn AS in_rank FROM p_top),
 cand AS (SELECT q.qid, q.category, q.company, q.year, p.doc_id, p.in_rank, f.company AS doc_company, f.text
-  FROM q_v q JOIN pool p ON p.category = q.category JOIN filings_v f ON f.doc_id = p.doc_id),
+  FROM {qsrc} q JOIN pool p ON p.category = q.category JOIN filings_v f ON f.doc_id = p.doc_id),
 pref AS (SELECT * FROM (SELECT *, max(CASE WHEN doc_company = company THEN 1 ELSE 0 END) OVER (PARTITION BY qid) AS anyc
   FROM cand) WHERE doc_company = company OR anyc = 0),
-prio AS (SELECT *, {category_match_sql('text', 'category')} AS is_cat FROM pref),
+prio AS (SELECT *, {pred('text', 'category')} AS is_cat FROM pref),
 ctx AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY is_cat DESC, in_rank) - 1 AS INTEGER)
   AS ctx_rank FROM prio) WHERE ctx_rank < {TOP_CONTEXTS})"""
+
+
+CONTEXTS_SQL = f"""WITH {FILINGS_V_SQL},
+{Q_V_SQL},
+{contexts_sql()}"""

@@ -9,7 +9,7 @@ from annualis import config as C
 from annualis.functions import text as TX
 from annualis.operators import extract as EX
 from annualis.operators import rank as R
-from annualis.plans.pipeline import CONTEXTS_SQL, category_match_sql, question_contexts
+from annualis.plans.pipeline import CONTEXTS_SQL, category_match_sql, question_contexts, substring_match_sql
 from annualis.plans.q_text import SENT_SQL
 from annualis.plans.registry import register
 from annualis.sources.tables import FILINGS_V_SQL, Q_V_SQL, filings, questions
@@ -87,18 +87,9 @@ def cue_filter(spark, sf):
     return x.filter(EX.category_match(F.col("text"), F.col("category"))).select("doc_id", "category")
 
 
-def _substring_match_sql(text: str, cat: str) -> str:
-    low = f"lower({text})"
-    cue = " OR ".join(f"contains({low}, '{c}')" for c in C.TRAIN_CUES)
-    whens = " ".join(
-        f"WHEN {cat} = '{k}' THEN ({' OR '.join(f'contains({low}, {_q(w)})' for w in ws)}) AND ({cue})"
-        for k, ws in C.TRAIN_CATEGORY_WORDS.items())
-    return f"coalesce(CASE {whens} ELSE true END, true)"
-
-
 @register("cue_filter_substring", f"""WITH {FILINGS_V_SQL},
 cats(category) AS (VALUES {', '.join(f"('{k}')" for k in C.QUESTIONS)}, ('other'))
-SELECT f.doc_id, c.category FROM filings_v f CROSS JOIN cats c WHERE {_substring_match_sql('f.text', 'c.category')}""")
+SELECT f.doc_id, c.category FROM filings_v f CROSS JOIN cats c WHERE {substring_match_sql('f.text', 'c.category')}""")
 def cue_filter_substring(spark, sf):
     """FLT-5: the training script's substring predicate (unknown category passes)."""
     fil = filings(spark, sf)
