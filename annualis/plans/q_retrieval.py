@@ -155,3 +155,29 @@ def hybrid_topk(spark, sf):
     out = LX.hybrid_fuse(dense, lex, alpha=0.85, top_k=5)
     return out.select("qid", "chunk_id", F.round("dense_n", 6).alias("dense_n"), F.round("bm25_n", 6).alias("bm25_n"),
                       F.round("score", 6).alias("score"), "rank")
+
+
+# ---------------------------------------------------------------- ANN, embedder, rerank, prompts
+from annualis.operators import ann as AN  # noqa: E402
+
+
+@register("ann_recall")
+def ann_recall(spark, sf):
+    """JN-5: IVF-style kNN (16 k-means lists, 4 probes) vs exact kNN: recall@5 per question
+    (k-means is iterative: rows-only check)."""
+    chunks = vector_chunks(spark, sf).select("chunk_id", "embedding")
+    qs = vector_questions(spark, sf).select("qid", "q_vec")
+    approx = AN.ann_topk(chunks, qs, k=5, lists=16, nprobe=4).select("qid", "chunk_id")
+    exact = RT.knn_prefilter(chunks, qs, [], k=5).select("qid", "chunk_id")
+    found = exact.join(approx.withColumn("_f", F.lit(1)), ["qid", "chunk_id"], "left")
+    return found.groupBy("qid").agg((F.sum(F.coalesce("_f", F.lit(0))) / F.count(F.lit(1))).alias("recall_at_5"))
+
+
+@register("embed_hashed")
+def embed_hashed(spark, sf):
+    """TXT-8: default hashed bag-of-words embedder (Arrow-batched pandas UDF) over every
+    document; returns dimension and norm (1 for non-empty text)."""
+    d = table(spark, sf, "documents", ["doc_id", "text"])
+    e = AN.embed_column(d, "text", dim=64)
+    from annualis.functions.vectors import l2_norm
+    return e.select("doc_id", F.size("embedding").alias("dim"), F.round(l2_norm("embedding"), 4).alias("norm"))

@@ -131,3 +131,11 @@ def company_keys(spark, sf):
     return s.select("source", key.alias("key"), TX.company_key("source", drop_spaces=True).alias("ingest_key"),
                     F.when(digits, TX.zero_pad(key)).alias("cik"),
                     F.when(~digits, key).alias("ticker"))
+
+
+def token_f1_sql(pred: str, gold: str) -> str:
+    """DuckDB twin of functions.text.token_f1."""
+    p, g = f"list_distinct({answer_tokens_sql(pred)})", f"list_distinct({answer_tokens_sql(gold)})"
+    tp = f"len(list_intersect({p}, {g}))"
+    return (f"CASE WHEN len({p}) = 0 AND len({g}) = 0 THEN 1.0 WHEN len({p}) = 0 OR len({g}) = 0 THEN 0.0 "
+            f"WHEN {tp} = 0 THEN 0.0 ELSE 2.0 * ({tp} / len({p})) * ({tp} / len({g})) / (({tp} / len({p})) + ({tp} / len({g}))) END")
