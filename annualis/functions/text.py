@@ -51,20 +51,16 @@ def strip_chars(c, chars: str) -> Column:
 def normalize_answer(c) -> Column:
     """TXT-10: lower, non-word/non-space -> space, collapse, strip."""
     s = F.lower(F.coalesce(_c(c), F.lit("")))
-    s = F.regexp_replace(s, r"[^\p{L}\p{N}_\s]", " ")
-    return strip_ws(collapse_ws(s))
-
-
-STOP_OR_SHORT_RE = "(?:^| )(?:" + "|".join(C.STOP_WORDS) + "|[^ ])(?= |$)"
+    # "non-word -> space, then collapse whitespace" is one pass: every run of non-word
+    # characters (whitespace included) becomes one space; a plain trim finishes the strip
+    return F.trim(F.regexp_replace(s, r"[^\p{L}\p{N}_]+", " "))
 
 
 def answer_tokens(c) -> Column:
-    """TXT-11: normalised words minus stop words and one-letter tokens.
-
-    One regex pass removes stop words and one-character words from the normalised
-    (single-spaced) string, then a plain split: no per-token lambda."""
-    kept = strip_ws(F.regexp_replace(normalize_answer(c), STOP_OR_SHORT_RE, ""))
-    return F.when(kept == "", F.array().cast("array<string>")).otherwise(F.split(kept, " "))
+    """TXT-11: normalised words minus stop words and one-letter (or empty) tokens."""
+    stop = F.array(*[F.lit(w) for w in C.STOP_WORDS])
+    words = F.split(normalize_answer(c), " ")
+    return F.filter(words, lambda x: (F.length(x) > 1) & ~F.array_contains(stop, x))
 
 
 def normalize_extract(c) -> Column:

@@ -8,6 +8,7 @@ flag, the pick is ``row_number() = 1``.  Training uses Spark ML's logistic regre
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,11 +133,12 @@ def label_candidates(cands: DataFrame, gold_col: str = "answer", q_key: str = "q
     return lab.withColumn("_anypos", F.max("label").over(w)).filter("_anypos = 1").drop("_anypos")
 
 
-def train_selector(rows: DataFrame, max_iter: int = 1000):
+def train_selector(rows: DataFrame, max_iter: int = 1000, tol: float = 1e-4):
     """SEL-5: class-balanced logistic regression (L2, C = 1 like the reference's default).
 
     Spark's objective is mean-loss + regParam * ||w||^2 / 2 over weighted rows, so C = 1
     over n rows is regParam = 1 / n; the balanced weight of class k is n / (2 n_k).
+    ``tol`` 1e-4 mirrors the reference solver's default stopping tolerance.
     Returns None when there are no rows (the heuristic path is used then)."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
@@ -150,9 +152,15 @@ def train_selector(rows: DataFrame, max_iter: int = 1000):
     wneg = n / (2.0 * nneg) if nneg else 0.0
     va = VectorAssembler(inputCols=FEATURE_COLS, outputCol="features")
     data = va.transform(rows).withColumn("w", F.when(F.col("label") == 1, F.lit(wpos)).otherwise(F.lit(wneg)))
-    lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="w", maxIter=max_iter,
+    # L-BFGS makes one pass per iteration: materialise the (narrow) training matrix once
+    # instead of re-running the extraction pipeline every iteration
+    data = data.select("features", F.col("label").cast("double").alias("label"), "w").persist(StorageLevel.MEMORY_AND_DISK)
+    lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="w", maxIter=max_iter, tol=tol,
                             regParam=1.0 / n, elasticNetParam=0.0, standardization=False, fitIntercept=True)
-    return lr.fit(data.select("features", F.col("label").cast("double").alias("label"), "w"))
+    try:
+        return lr.fit(data)
+    finally:
+        data.unpersist()
 
 
 def score_candidates(model, cands_with_features: DataFrame) -> DataFrame:
