@@ -102,6 +102,15 @@ def exact_percentiles(df: DataFrame, col: str, qs: list[float]) -> dict[float, C
     return out
 
 
+def round_half_binary(c, digits: int = 2) -> Column:
+    """Round half away from zero on the binary value (x * 10^d, then floor(+0.5)), like
+    C's round() and Python's round() on these magnitudes; Spark's ``round`` decides
+    half-way cases on the shortest decimal string instead (145.605 -> 145.61, not 145.6)."""
+    x = c if isinstance(c, Column) else F.col(c)
+    k = float(10 ** digits)
+    return F.signum(x) * F.floor(F.abs(x) * k + 0.5) / k
+
+
 def latency_summary(requests: DataFrame, latency_col: str = "latency_ms", ok_col: str = "ok") -> DataFrame:
     """AGG-3 + AGG-4 + FLT-7: request counts and mean / p50 / p95 / max latency over all
     requests and over successful ones only, rounded to 2 decimals (empty -> 0)."""
@@ -115,12 +124,13 @@ def latency_summary(requests: DataFrame, latency_col: str = "latency_ms", ok_col
         F.coalesce(F.avg(lat), F.lit(0.0)).alias("_m_all"), F.coalesce(F.max(lat), F.lit(0.0)).alias("_x_all"),
         F.coalesce(F.avg(F.when(ok, lat)), F.lit(0.0)).alias("_m_ok"), F.coalesce(F.max(F.when(ok, lat)), F.lit(0.0)).alias("_x_ok"),
     )
+    r2 = round_half_binary
     return agg.select(
         "n_items", "failed_requests",
         F.when(F.col("n_items") > 0, (F.col("n_items") - F.col("failed_requests")) / F.col("n_items"))
         .otherwise(F.lit(0.0)).alias("request_success_rate"),
-        F.round("_m_all", 2).alias("all_mean_ms"), F.round(p_all[0.5], 2).alias("all_p50_ms"),
-        F.round(p_all[0.95], 2).alias("all_p95_ms"), F.round("_x_all", 2).alias("all_max_ms"),
-        F.round("_m_ok", 2).alias("ok_mean_ms"), F.round(p_ok[0.5], 2).alias("ok_p50_ms"),
-        F.round(p_ok[0.95], 2).alias("ok_p95_ms"), F.round("_x_ok", 2).alias("ok_max_ms"),
+        r2("_m_all").alias("all_mean_ms"), r2(p_all[0.5]).alias("all_p50_ms"),
+        r2(p_all[0.95]).alias("all_p95_ms"), r2("_x_all").alias("all_max_ms"),
+        r2("_m_ok").alias("ok_mean_ms"), r2(p_ok[0.5]).alias("ok_p50_ms"),
+        r2(p_ok[0.95]).alias("ok_p95_ms"), r2("_x_ok").alias("ok_max_ms"),
     )
