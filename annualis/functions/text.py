@@ -137,6 +137,12 @@ def sentences(c) -> Column:
     return F.filter(F.transform(parts, lambda x: strip_ws(x)), lambda x: x != "")
 
 
+def answer_after_marker(c, marker: str = "Answer:") -> Column:
+    """TXT-20 post-process: the text after the last marker, stripped (whole text if absent)."""
+    import re as _re
+    return strip_ws(F.element_at(F.split(F.coalesce(_c(c), F.lit("")), _re.escape(marker)), -1))
+
+
 def snippet(c, n: int = C.SNIPPET_CHARS, suffix: str = C.SNIPPET_ELLIPSIS) -> Column:
     """TXT-18: first n characters plus a suffix when longer."""
     t = _c(c)

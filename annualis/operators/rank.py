@@ -115,6 +115,7 @@ def cap_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int, r
 
 
 def seeded_shuffle_limit(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
-    """WIN-12: repeatable shuffle by a seeded hash, then the first n (n <= 0: all)."""
-    out = df.withColumn("shuffle_key", F.xxhash64(F.col(id_col), F.lit(seed)))
+    """WIN-12: repeatable shuffle (md5 of id and seed), then the first n (n <= 0: all).
+    ``orderBy(...).limit(n)`` plans as a distributed top-n (TakeOrderedAndProject)."""
+    out = df.withColumn("shuffle_key", F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"|{seed}"))))
     return out.orderBy("shuffle_key", id_col).limit(n) if n > 0 else out

@@ -244,3 +244,17 @@ def canonicalize(spark, sf):
     fil = filings(spark, sf).select("doc_id", "text", F.lit(0).alias("ctx_rank"), F.lit(None).cast("string").alias("category"))
     ph = EX.extract_candidates(fil, q_key="doc_id").select("phrase").distinct()
     return ph.select("phrase", TX.canonicalize(F.col("phrase")).alias("canonical"))
+
+
+@register("grep_chunks", f"""WITH {FILINGS_V_SQL},
+m AS (SELECT doc_id, company, year, text FROM filings_v WHERE regexp_matches(text, '(?i)driven by azure'))
+SELECT doc_id, company, year, substring(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 1, 300) AS snippet,
+  (SELECT count(*) FROM m) AS total_hits FROM m ORDER BY doc_id LIMIT 5""")
+def grep_chunks(spark, sf):
+    """FLT-6: regex search over every filing: the first 5 hits in corpus order with their
+    metadata and a 300-char snippet, plus the total number of hits (the limit is the feature)."""
+    m = filings(spark, sf).filter(F.col("text").rlike("(?i)driven by azure"))
+    total = m.select(F.count(F.lit(1))).scalar()
+    first = m.orderBy("doc_id").limit(5)
+    return first.select("doc_id", "company", "year", F.substring(TX.strip_ws(F.col("text")), 1, 300).alias("snippet"),
+                        total.alias("total_hits"))

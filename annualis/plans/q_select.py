@@ -163,3 +163,26 @@ def selector_scores(spark, sf):
         return SL.select_heuristic(cands).select("qid", "phrase", F.lit(None).cast("double").alias("p"))
     pick = SL.argmax_pick(SL.score_candidates(model, cands))
     return pick.select("qid", "phrase", F.round("p", 6).alias("p"))
+
+
+@register("sample_items", f"""WITH {FILINGS_V_SQL},
+{eval_items_sql()}
+SELECT qid AS item_id, md5(qid || '|42') AS shuffle_key FROM items ORDER BY shuffle_key, qid LIMIT 10""")
+def sample_items(spark, sf):
+    """WIN-12: repeatable (seeded) shuffle of the eval items, then the first 10 (a sampling operator)."""
+    from annualis.operators import rank as R
+    return R.seeded_shuffle_limit(_items(spark, sf), "item_id", 10).select("item_id", "shuffle_key")
+
+
+@register("selector_accuracy")
+def selector_accuracy(spark, sf):
+    """AGG-10: binary accuracy (p >= 0.5 against the label) of the trained selector on its
+    training rows; no rows -> 0.  (Iterative fit: rows-only check.)"""
+    rows = SL.features(SL.label_candidates(_item_cands(spark, sf)))
+    model = SL.train_selector(rows)
+    if model is None:
+        return spark.range(1).select(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("accuracy"))
+    scored = SL.score_candidates(model, rows)
+    return scored.agg(F.count(F.lit(1)).alias("n"),
+                      F.coalesce(F.avg(((F.col("p") >= 0.5).cast("int") == F.col("label")).cast("double")),
+                                 F.lit(0.0)).alias("accuracy"))

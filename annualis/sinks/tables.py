@@ -41,7 +41,7 @@ def chunks_out_path(out: str) -> str:
 
 def write_chunks(chunks: DataFrame, out: str) -> None:
     (chunks.select("chunk_id", "doc_id", "company", "year", "text")
-     .write.mode("overwrite").option("header", "true").csv(chunks_out_path(out)))
+     .write.mode("overwrite").option("header", "true").option("escape", '"').csv(chunks_out_path(out)))
 
 
 def validate_vectors(df: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:

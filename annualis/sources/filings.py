@@ -165,6 +165,26 @@ def corpus_records(df: DataFrame) -> DataFrame:
     return df.select(F.coalesce(text, F.lit("")).alias("text"), meta.alias("meta"))
 
 
+def _meta_map(c: Column) -> Column:
+    return F.from_json(F.to_json(c), "map<string,string>")
+
+
+def read_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-7: normalise a JSON corpus file to (text, meta map) rows.  Shapes:
+    {"chunks": [...], "meta": [...]} (parallel lists), {"records": [...]}, or a list /
+    lines of objects (text|chunk|content|first string field; meta given or the rest)."""
+    df = spark.read.option("multiLine", "true").json(path)
+    cols = set(df.columns)
+    if {"chunks", "meta"} <= cols:
+        z = df.select(F.inline(F.arrays_zip(F.col("chunks").alias("text"), F.col("meta").alias("meta"))))
+        return z.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), _meta_map(F.col("meta")).alias("meta"))
+    if "records" in cols:
+        df = df.select(F.inline("records"))
+    if "meta" in df.columns:
+        df = df.withColumn("meta", _meta_map(F.col("meta")))
+    return corpus_records(df)
+
+
 def config_tables(spark: SparkSession) -> dict[str, DataFrame]:
     """SRC-10: segments, questions and patterns as small tables."""
     return {"segments": C.segments_df(spark), "questions": C.questions_df(spark),
