@@ -56,11 +56,15 @@ def normalize_answer(c) -> Column:
     return F.trim(F.regexp_replace(s, r"[^\p{L}\p{N}_]+", " "))
 
 
+# A word of the normalised text is a maximal run of word characters; keep runs of two or
+# more characters that are not exactly a stop word (one regex pass, no per-token lambda).
+ANSWER_TOKEN_RE = (rf"(?<!{WORD})(?!(?:{'|'.join(C.STOP_WORDS)})(?!{WORD})){WORD}{{2,}}")
+
+
 def answer_tokens(c) -> Column:
-    """TXT-11: normalised words minus stop words and one-letter (or empty) tokens."""
-    stop = F.array(*[F.lit(w) for w in C.STOP_WORDS])
-    words = F.split(normalize_answer(c), " ")
-    return F.filter(words, lambda x: (F.length(x) > 1) & ~F.array_contains(stop, x))
+    """TXT-11: normalised words minus stop words and one-letter tokens (same tokens as
+    splitting :func:`normalize_answer` on spaces and filtering)."""
+    return F.regexp_extract_all(F.lower(F.coalesce(_c(c), F.lit(""))), F.lit(ANSWER_TOKEN_RE), F.lit(0))
 
 
 def normalize_extract(c) -> Column:

@@ -34,19 +34,39 @@ def question_contexts(spark: SparkSession, sf: str, stage: str = "top", qv: Data
 
     ``qv`` defaults to the q_v question table; ``priority`` is the category predicate used
     to put contexts first: ``regex`` (FLT-4, evaluation) or ``substring`` (FLT-5, training).
+
+    The predicate depends only on (category, document), so it is evaluated once per pool
+    row (at most 3 x POOL rows), not per (question, document) pair; texts are joined back
+    only for the kept contexts.
     """
     fil = filings(spark, sf)
     qv = questions(spark, fil) if qv is None else qv
     pool = category_pool(spark, fil)
-    docs = fil.select("doc_id", F.col("company").alias("doc_company"), "text")
+    pred = EX.category_match if priority == "regex" else EX.category_match_substring
+    pool_t = pool.join(fil.select("doc_id", F.col("company").alias("doc_company"), "text"), "doc_id", "inner")
+    pool_meta = pool_t.select("category", "doc_id", "in_rank", "doc_company",
+                              pred(F.col("text"), F.col("category")).alias("_is_cat"))
     # q x pool: a question sees its category's pool (bounded: POOL rows per category)
-    cand = qv.join(F.broadcast(pool), "category", "inner").join(docs, "doc_id", "inner")
+    cand = qv.join(F.broadcast(pool_meta), "category", "inner")
     pref = R.prefer_group(cand, "qid", F.col("doc_company") == F.col("company"))
     if stage == "prefer":
-        return pref
-    pred = EX.category_match if priority == "regex" else EX.category_match_substring
-    pr = R.priority_top(pref, "qid", pred(F.col("text"), F.col("category")), "in_rank", ["doc_id"], n=TOP_CONTEXTS)
-    return pr.withColumn("ctx_rank", (F.col("prio_rank") - 1).cast("int")).drop("prio_rank", "_p")
+        return pref.join(pool_t.select("category", "doc_id", "text"), ["category", "doc_id"], "inner")
+    pr = R.priority_top(pref, "qid", F.col("_is_cat"), "in_rank", ["doc_id"], n=TOP_CONTEXTS)
+    pr = pr.withColumn("ctx_rank", (F.col("prio_rank") - 1).cast("int")).drop("prio_rank", "_p", "_is_cat")
+    return pr.join(pool_t.select("category", "doc_id", "text"), ["category", "doc_id"], "inner")
+
+
+def question_candidates(spark: SparkSession, sf: str, qv: DataFrame | None = None, priority: str = "regex",
+                        keep: list[str] | None = None) -> DataFrame:
+    """Candidates (EXT-4) of every question's contexts.  Extraction depends only on the
+    context text and the category, so it runs once per distinct (category, document)
+    and the question keys are joined back."""
+    ctx = question_contexts(spark, sf, qv=qv, priority=priority)
+    keys = ctx.select("qid", "category", "doc_id", "ctx_rank", *(keep or []))
+    distinct = (ctx.select("category", "doc_id", "text").dropDuplicates(["category", "doc_id"])
+                .withColumn("_r", F.lit(0)))
+    c = EX.extract_candidates(distinct, q_key="doc_id", rank_col="_r").drop("ctx_rank")
+    return keys.join(c, ["category", "doc_id"], "inner")
 
 
 def _sql_regex_bool(text: str, rx: str) -> str:

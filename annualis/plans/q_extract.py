@@ -9,7 +9,8 @@ from annualis import config as C
 from annualis.functions import text as TX
 from annualis.operators import extract as EX
 from annualis.operators import rank as R
-from annualis.plans.pipeline import CONTEXTS_SQL, category_match_sql, question_contexts, substring_match_sql
+from annualis.plans.pipeline import (CONTEXTS_SQL, category_match_sql, question_candidates, question_contexts,
+                                     substring_match_sql)
 from annualis.plans.q_text import SENT_SQL
 from annualis.plans.registry import register
 from annualis.sources.tables import FILINGS_V_SQL, Q_V_SQL, filings, questions
@@ -191,7 +192,7 @@ CANDS_SQL = f"""{CONTEXTS_SQL},
 
 
 def _cands(spark, sf):
-    return EX.extract_candidates(question_contexts(spark, sf), keep=["doc_id"])
+    return question_candidates(spark, sf)
 
 
 @register("candidates", f"""{CANDS_SQL}

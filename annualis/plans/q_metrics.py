@@ -10,7 +10,7 @@ from annualis.operators import extract as EX
 from annualis.operators import metrics as M
 from annualis.operators import select as SL
 from annualis.functions import text as TX
-from annualis.plans.pipeline import contexts_sql, question_contexts
+from annualis.plans.pipeline import contexts_sql, question_candidates, question_contexts
 from annualis.plans.q_extract import _first_hit_sql, _q, canonicalize_sql, candidates_sql
 from annualis.plans.q_select import _items, eval_items_sql, select_sql
 from annualis.plans.q_text import answer_tokens_sql, norm_answer_sql
@@ -54,7 +54,7 @@ def _pred_items(spark, sf):
     ctx = question_contexts(spark, sf, qv=it.select("qid", "category", "company", "year"), priority="regex")
     gold_can = TX.canonicalize(F.lower("answer"))
     hints = it.select("qid", SL.answer_group(gold_can).alias("hint"))
-    cands = EX.extract_candidates(ctx, keep=["doc_id"]).join(hints, "qid", "inner")
+    cands = question_candidates(spark, sf, qv=it.select("qid", "category", "company", "year")).join(hints, "qid", "inner")
     sel = SL.select_heuristic(cands, hint_col="hint").select("qid", F.col("phrase").alias("sel"))
     fh = EX.first_hit_phrase(ctx).select("qid", F.col("phrase").alias("fh"))
     ctxs = ctx.groupBy("qid").agg(  # at most 5 contexts per item

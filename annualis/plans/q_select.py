@@ -9,7 +9,7 @@ from annualis import config as C
 from annualis.functions import text as TX
 from annualis.operators import extract as EX
 from annualis.operators import select as SL
-from annualis.plans.pipeline import contexts_sql, question_contexts
+from annualis.plans.pipeline import contexts_sql, question_candidates, question_contexts
 from annualis.plans.q_extract import CANDS_SQL, _q, canonicalize_sql, candidates_sql
 from annualis.plans.registry import register
 from annualis.sources.tables import FILINGS_V_SQL, Q_V_SQL, filings
@@ -33,7 +33,7 @@ pick AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY aligned DESC, ce
 
 
 def _q_cands(spark, sf):
-    return EX.extract_candidates(question_contexts(spark, sf), keep=["doc_id"])
+    return question_candidates(spark, sf)
 
 
 @register("select_heuristic", f"""{CANDS_SQL},
@@ -129,8 +129,8 @@ def answer_groups(spark, sf):
 
 def _item_cands(spark, sf):
     it = _items(spark, sf).withColumnRenamed("item_id", "qid")
-    ctx = question_contexts(spark, sf, qv=it.select("qid", "category", "company", "year", "answer"), priority="substring")
-    return EX.extract_candidates(ctx, keep=["doc_id", "answer"])
+    return question_candidates(spark, sf, qv=it.select("qid", "category", "company", "year", "answer"),
+                               priority="substring", keep=["answer"])
 
 
 TRAIN_SQL = f"""WITH {FILINGS_V_SQL},

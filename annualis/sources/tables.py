@@ -21,10 +21,48 @@ TABLES = [
 ]
 
 
+# Inputs smaller than this are never worth a redistribution shuffle.
+SPREAD_MIN_BYTES = 1 << 20
+
+
+def _row_groups(files: list[str]) -> int | None:
+    """Row groups of local parquet files (footer reads only); None when unknown."""
+    try:
+        import pyarrow.parquet as pq
+        total = 0
+        for f in files:
+            if not f.startswith("file:"):
+                return None
+            path = f[len("file:"):]
+            if os.path.getsize(path) < SPREAD_MIN_BYTES:
+                continue
+            total += pq.ParquetFile(path).metadata.num_row_groups
+        return total
+    except Exception:  # noqa: BLE001 - any doubt: leave the scan as it is
+        return None
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Scan parallelism follows parquet row groups: a large single-row-group file is one
+    task however many cores there are.  When the input has fewer (large) row groups than
+    the session's parallelism, round-robin the rows over that many partitions; large
+    multi-file inputs are left alone (their scan is already parallel)."""
+    spark = df.sparkSession
+    target = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if not files or len(files) >= target:
+        return df
+    rg = _row_groups(files)
+    if rg is None or rg == 0 or rg >= target:
+        return df
+    return df.repartition(target)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
     """Parquet scan; selecting ``columns`` right away keeps the ReadSchema pruned."""
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    return spread(df)
 
 
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
