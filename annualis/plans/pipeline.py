@@ -7,6 +7,7 @@ Spark and DuckDB versions are written side by side so the oracle follows the sam
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,44 +29,65 @@ def category_pool(spark: SparkSession, fil: DataFrame, pool: int = POOL) -> Data
     return top.select("category", "doc_id", F.col("rank").alias("in_rank"))
 
 
+_POOLS: dict[tuple[str, str], DataFrame] = {}
+
+
+def pool_with_text(spark: SparkSession, sf: str) -> DataFrame:
+    """The category pools with their texts and both category predicates, computed once.
+
+    At most 3 x POOL rows by construction, so it is persisted and memoised per
+    (application, input) and shared by every branch of every query (the broadcast
+    question join, the text join, the extraction).  The memo holds the DataFrame
+    itself: plans with scalar subqueries do not match the cache by plan equality."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _POOLS:
+        fil = filings(spark, sf)
+        pool = category_pool(spark, fil)
+        t = F.col("text")
+        _POOLS[key] = (pool.join(fil.select("doc_id", F.col("company").alias("doc_company"), "text"), "doc_id", "inner")
+                       .withColumn("_cat_regex", EX.category_match(t, F.col("category")))
+                       .withColumn("_cat_sub", EX.category_match_substring(t, F.col("category")))
+                       .persist(StorageLevel.MEMORY_AND_DISK))
+    return _POOLS[key]
+
+
 def question_contexts(spark: SparkSession, sf: str, stage: str = "top", qv: DataFrame | None = None,
-                      priority: str = "regex") -> DataFrame:
+                      priority: str = "regex", with_text: bool = True) -> DataFrame:
     """(qid, category, company, year, doc_id, ctx_rank 0-based, text, in_rank) per question.
 
     ``qv`` defaults to the q_v question table; ``priority`` is the category predicate used
     to put contexts first: ``regex`` (FLT-4, evaluation) or ``substring`` (FLT-5, training).
-
-    The predicate depends only on (category, document), so it is evaluated once per pool
-    row (at most 3 x POOL rows), not per (question, document) pair; texts are joined back
-    only for the kept contexts.
+    The predicates depend only on (category, document): they come precomputed with the
+    pool, so per-question work carries keys only; texts are joined back at the end.
     """
     fil = filings(spark, sf)
     qv = questions(spark, fil) if qv is None else qv
-    pool = category_pool(spark, fil)
-    pred = EX.category_match if priority == "regex" else EX.category_match_substring
-    pool_t = pool.join(fil.select("doc_id", F.col("company").alias("doc_company"), "text"), "doc_id", "inner")
-    pool_meta = pool_t.select("category", "doc_id", "in_rank", "doc_company",
-                              pred(F.col("text"), F.col("category")).alias("_is_cat"))
+    pool_t = pool_with_text(spark, sf)
+    flag = "_cat_regex" if priority == "regex" else "_cat_sub"
+    pool_meta = pool_t.select("category", "doc_id", "in_rank", "doc_company", F.col(flag).alias("_is_cat"))
     # q x pool: a question sees its category's pool (bounded: POOL rows per category)
     cand = qv.join(F.broadcast(pool_meta), "category", "inner")
     pref = R.prefer_group(cand, "qid", F.col("doc_company") == F.col("company"))
     if stage == "prefer":
-        return pref.join(pool_t.select("category", "doc_id", "text"), ["category", "doc_id"], "inner")
-    pr = R.priority_top(pref, "qid", F.col("_is_cat"), "in_rank", ["doc_id"], n=TOP_CONTEXTS)
-    pr = pr.withColumn("ctx_rank", (F.col("prio_rank") - 1).cast("int")).drop("prio_rank", "_p", "_is_cat")
-    return pr.join(pool_t.select("category", "doc_id", "text"), ["category", "doc_id"], "inner")
+        out = pref.drop("_is_cat")
+    else:
+        pr = R.priority_top(pref, "qid", F.col("_is_cat"), "in_rank", ["doc_id"], n=TOP_CONTEXTS)
+        out = pr.withColumn("ctx_rank", (F.col("prio_rank") - 1).cast("int")).drop("prio_rank", "_p", "_is_cat")
+    if not with_text:
+        return out
+    return out.join(F.broadcast(pool_t.select("category", "doc_id", "text")), ["category", "doc_id"], "inner")
 
 
 def question_candidates(spark: SparkSession, sf: str, qv: DataFrame | None = None, priority: str = "regex",
                         keep: list[str] | None = None) -> DataFrame:
     """Candidates (EXT-4) of every question's contexts.  Extraction depends only on the
-    context text and the category, so it runs once per distinct (category, document)
-    and the question keys are joined back."""
-    ctx = question_contexts(spark, sf, qv=qv, priority=priority)
-    keys = ctx.select("qid", "category", "doc_id", "ctx_rank", *(keep or []))
-    distinct = (ctx.select("category", "doc_id", "text").dropDuplicates(["category", "doc_id"])
-                .withColumn("_r", F.lit(0)))
-    c = EX.extract_candidates(distinct, q_key="doc_id", rank_col="_r").drop("ctx_rank")
+    context text and the category, so it runs once per pool row (category, document) and
+    the question keys are joined to it."""
+    keys = question_contexts(spark, sf, qv=qv, priority=priority, with_text=False)
+    keys = keys.select("qid", "category", "doc_id", "ctx_rank", *(keep or []))
+    pool_t = pool_with_text(spark, sf)
+    c = EX.extract_candidates(pool_t.select("category", "doc_id", "text", F.lit(0).alias("_r")),
+                              q_key="doc_id", rank_col="_r").drop("ctx_rank")
     return keys.join(c, ["category", "doc_id"], "inner")
 
 
