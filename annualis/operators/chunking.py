@@ -10,6 +10,7 @@ inside each bucket.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,6 +56,24 @@ def global_offsets(df: DataFrame, order_col: str, count_col: str, buckets: int =
             .drop("_bucket", "_base", "_in"))
 
 
+def chunk_and_number(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                     size: int = C.CHUNK_TOKENS, overlap: int = C.CHUNK_OVERLAP, keep: list[str] | None = None,
+                     out_col: str = "chunk_id") -> DataFrame:
+    """TXT-5/6/7 in one pass over the corpus: tokenise each document once (persisted),
+    prefix-sum the per-document window counts in place (one shuffle of the document rows
+    by range bucket, no join back), then emit the windows with global ids."""
+    keep = keep or []
+    toks = docs.select(id_col, *keep, TX.word_pieces(text_col).alias("_toks"))
+    toks = toks.withColumn("_starts", TX.window_starts(F.size("_toks"), size, overlap))
+    toks = toks.withColumn("_n", F.size("_starts")).persist(StorageLevel.MEMORY_AND_DISK)
+    with_off = global_offsets(toks, id_col, "_n", out_col="_off")
+    rows = with_off.select(id_col, *keep, "_toks", "_off", F.posexplode("_starts").alias("chunk_no", "_start"))
+    win = F.slice("_toks", F.col("_start") + 1, size)
+    return rows.select(id_col, *keep, F.col("chunk_no").cast("int").alias("chunk_no"),
+                       (F.col("_off") + F.col("chunk_no")).alias(out_col),
+                       F.size(win).alias("n_tokens"), TX.detokenize(win).alias("text"))
+
+
 def number_chunks(chunks: DataFrame, id_col: str = "doc_id", pos_col: str = "chunk_no",
                   out_col: str = "chunk_id") -> DataFrame:
     """TXT-7: global chunk id = chunks of all earlier documents + position in the document."""

@@ -68,7 +68,7 @@ SELECT c.doc_id, c.chunk_no, CAST(off.o + c.chunk_no AS BIGINT) AS chunk_id FROM
 def chunk_ids(spark, sf):
     """TXT-7: global chunk ids in document order, distributed prefix sum."""
     docs = table(spark, sf, "documents", ["doc_id", "text"])
-    return CH.number_chunks(CH.chunk_documents(docs)).select("doc_id", "chunk_no", "chunk_id")
+    return CH.chunk_and_number(docs).select("doc_id", "chunk_no", "chunk_id")
 
 
 def norm_answer_sql(col: str) -> str:
