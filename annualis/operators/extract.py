@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from annualis import config as C
 from annualis.functions import text as TX
+from annualis.session import bounded_broadcast
 
 # Token pattern of the proximity rule (Python's \w+|\S with Unicode word characters).
 PROX_TOKEN_RE = r"[\p{L}\p{N}_]+|\S"
@@ -166,7 +167,9 @@ def driver_lookup(lookups: DataFrame, corpus: DataFrame, top_k: int = 8, pattern
     corp = corpus.select("doc_id", F.lower(TX.strip_ws(F.col("company").cast("string"))).alias("_co"),
                          F.col("year").alias("_yr"), TX.strip_ws(F.coalesce("text", F.lit(""))).alias("text"))
     lk = lookups.select(q_key, F.lower(TX.strip_ws(F.col("company"))).alias("_co"), F.col("year").alias("_qyr"))
-    ctx = corp.join(lk, "_co", "inner").filter(F.col("_qyr").isNull() | (F.col("_yr") == F.col("_qyr")))
+    # lookups are the small side (one row per question): broadcast behind a size check so a
+    # company holding a third of the corpus is never a shuffle partition of its own
+    ctx = corp.join(bounded_broadcast(lk), "_co", "inner").filter(F.col("_qyr").isNull() | (F.col("_yr") == F.col("_qyr")))
     keep = max(top_k, 8)
     w = Window.partitionBy(q_key).orderBy(F.col("_score").desc(), F.col("doc_id"))
     ctx = (ctx.withColumn("_score", keyword_score(F.col("text")))

@@ -83,6 +83,12 @@ def rerank(hits: DataFrame, score: Column | None = None, q_key: str = "qid", in_
     return scored.withColumn(out_rank, F.row_number().over(w)).filter(F.col(out_rank) <= top_k)
 
 
+def compress(hits: DataFrame, score: Column | None = None, q_key: str = "qid", in_rank: str = "rank",
+             top_k: int = C.DEFAULT_TOP_K) -> DataFrame:
+    """WIN-2: rerank, keep top_k, drop the scores (same document shape as the input)."""
+    return rerank(hits, score, q_key, in_rank, top_k).drop("ce_score")
+
+
 def overlap_score(question_col: str, text_col: str) -> Column:
     """Token-set F1 between question and passage: a deterministic, JVM-side pair scorer."""
     from annualis.functions.text import token_f1

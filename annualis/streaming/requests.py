@@ -38,6 +38,28 @@ def window_stats(log: DataFrame, ts: str = "ts", every: str = "1 hour", approx_p
     return out
 
 
+def window_stats_stream(log: DataFrame, ts: str = "ts", every: str = "1 hour", watermark: str = "10 minutes") -> DataFrame:
+    """STR-2 for a stream: event-time tumbling windows with a watermark, so state for
+    windows older than the watermark is dropped and append mode emits closed windows.
+    TIMESTAMP_NTZ inputs are read as UTC timestamps (watermarks need TIMESTAMP)."""
+    s = log.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
+    g = s.groupBy(F.window(ts, every).alias("w")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum((~F.col("ok")).cast("long")).alias("n_err"),
+        F.avg("latency_ms").alias("mean_ms"), F.max("latency_ms").alias("max_ms"),
+        F.percentile_approx("latency_ms", F.array(F.lit(0.5), F.lit(0.95)), 10000).alias("pcts"))
+    return g.select(F.date_format(F.col("w.start"), TS_FMT).alias("window_start"), "n", "n_err",
+                    F.round(F.col("n_err") / F.col("n"), 6).alias("error_rate"), F.round("mean_ms", 6).alias("mean_ms"),
+                    "max_ms", "pcts")
+
+
+def rate_violations_stream(log: DataFrame, ts: str = "ts", user: str = "user_id", unit: str = "1 minute",
+                           limit: int = C.RATE_PER_MINUTE, watermark: str = "2 minutes") -> DataFrame:
+    """STR-3 for a stream: per client fixed windows over a watermark, rows over the limit."""
+    s = log.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
+    g = s.groupBy(user, F.window(ts, unit).alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    return g.filter(F.col("n") > limit).select(user, F.date_format("w.start", TS_FMT).alias("window_start"), "n")
+
+
 def rate_violations(log: DataFrame, ts: str = "ts", user: str = "user_id",
                     per_minute: int = C.RATE_PER_MINUTE, per_second: int = C.RATE_PER_SECOND) -> DataFrame:
     """STR-3: clients over the limits in fixed windows (> per_minute / minute, > per_second / second)."""
