@@ -47,8 +47,11 @@ def global_offsets(df: DataFrame, order_col: str, count_col: str, buckets: int =
     x = F.col(order_col).cast("double")
     with_b = df.withColumn("_bucket", F.array_position(F.sort_array(F.concat(bounds.cast("array<double>"), F.array(x))), x) - 1)
     totals = with_b.groupBy("_bucket").agg(F.sum(count_col).alias("_tot"))
-    wt = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # <= `buckets` rows
-    base = totals.select("_bucket", F.coalesce(F.sum("_tot").over(wt), F.lit(0)).alias("_base"))
+    # running sum over the (at most `buckets`) bucket totals as one small array
+    arr = totals.agg(F.sort_array(F.collect_list(F.struct("_bucket", "_tot"))).alias("a"))
+    base = arr.select(F.inline(F.transform("a", lambda x, i: F.struct(
+        x["_bucket"].alias("_bucket"),
+        F.aggregate(F.slice("a", 1, i), F.lit(0).cast("long"), lambda acc, y: acc + y["_tot"]).alias("_base")))))
     win = Window.partitionBy("_bucket").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
     inner = with_b.withColumn("_in", F.coalesce(F.sum(count_col).over(win), F.lit(0)))
     return (inner.join(F.broadcast(base), "_bucket", "inner")  # bounded: one row per bucket

@@ -16,6 +16,7 @@ from annualis.operators import extract as EX
 from annualis.operators import lexical as LX
 from annualis.operators import rank as R
 from annualis.plans.q_retrieval import bm25_sql
+from annualis.session import session_key
 from annualis.sources.tables import FILINGS_V_SQL, Q_V_SQL, filings, questions
 
 POOL = 40
@@ -39,7 +40,7 @@ def pool_with_text(spark: SparkSession, sf: str) -> DataFrame:
     (application, input) and shared by every branch of every query (the broadcast
     question join, the text join, the extraction).  The memo holds the DataFrame
     itself: plans with scalar subqueries do not match the cache by plan equality."""
-    key = (spark.sparkContext.applicationId, sf)
+    key = (session_key(spark), sf)
     if key not in _POOLS:
         fil = filings(spark, sf)
         pool = category_pool(spark, fil)

@@ -32,6 +32,23 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+def session_key(spark: SparkSession) -> str:
+    """Identity of the running application (Spark Connect sessions have no SparkContext)."""
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001
+        return spark.conf.get("spark.app.id", None) or str(id(spark))
+
+
+def parallelism(spark: SparkSession) -> int:
+    """Default task parallelism of the session (cores of local mode, executors x cores)."""
+    try:
+        return int(spark.sparkContext.defaultParallelism)
+    except Exception:  # noqa: BLE001
+        v = spark.conf.get("spark.default.parallelism", None)
+        return int(v) if v else (os.cpu_count() or 8)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
