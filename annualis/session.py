@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 # Above this many rows a "small" side is not broadcast; the join falls back to a shuffle.
 DEFAULT_BROADCAST_ROWS = 200_000
+DEFAULT_BROADCAST_BYTES = 64 << 20
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "annualis") -> SparkSession:
@@ -70,11 +71,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only if its row count is proven to be at most ``max_rows``.
+def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
+                      max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` only if it is proven small: at most ``max_rows`` rows and about
+    ``max_bytes`` (estimated by the JSON length of its rows, an over-estimate for
+    numeric arrays such as question vectors).  Otherwise the plain DataFrame is returned
+    and Spark plans a shuffle join (AQE may still convert it at run time).
 
-    The count is an action on the (expected small) side; beyond the bound the plain
-    DataFrame is returned so Spark plans a shuffle join (AQE may still convert it).
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    The check is one aggregate over at most ``max_rows + 1`` rows of the small side."""
+    capped = df.limit(max_rows + 1)
+    r = capped.agg(F.count(F.lit(1)).alias("n"),
+                   F.coalesce(F.sum(F.length(F.to_json(F.struct(*[F.col(c) for c in df.columns])))), F.lit(0)).alias("b")
+                   ).first()
+    return F.broadcast(df) if r["n"] <= max_rows and r["b"] <= max_bytes else df

@@ -163,3 +163,19 @@ def test_html_to_text(spark):
             "<script>var a='</p>';</script></head><body><!-- c --><b>By</b>. x&nbsp;y<noscript>n</noscript></body></html>")
     df = spark.createDataFrame([(html,)], "h string")
     assert df.select(TX.html_to_text(F.col("h"))).first()[0] == "T & Co By . x y"
+
+
+def test_bounded_broadcast_checks_rows_and_bytes(spark):
+    from annualis.session import bounded_broadcast
+    small = spark.range(10).withColumn("v", F.array_repeat(F.lit(0.5), 8))
+    assert "BroadcastHashJoin" in spark.range(100).join(bounded_broadcast(small), "id")._jdf.queryExecution().executedPlan().toString()
+    assert bounded_broadcast(small, max_rows=5) is small
+    assert bounded_broadcast(small, max_bytes=100) is small
+
+
+def test_chunk_and_number_matches_two_pass(spark):
+    rows = [(i, " ".join(f"t{j}" for j in range(90 * (i % 9)))) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one = sorted(tuple(r) for r in CH.chunk_and_number(df).select("doc_id", "chunk_no", "chunk_id", "text").collect())
+    two = sorted(tuple(r) for r in CH.number_chunks(CH.chunk_documents(df)).select("doc_id", "chunk_no", "chunk_id", "text").collect())
+    assert one == two and [r[2] for r in one] == list(range(len(one)))
