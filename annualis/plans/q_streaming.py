@@ -45,5 +45,13 @@ def _keyed(spark, sf):
 @register("request_dedupe")
 def request_dedupe(spark, sf):
     """STR-4: 600 s TTL cache audit keyed by SHA-1 of the canonical request JSON: hit or miss
-    per request (sequential per key: rows-only check; brute-force test in tests/)."""
+    per request.  Skew-safe form: as-of next-miss pointers by (key, time bucket) and pointer
+    doubling, so a hot key is never one task (rows-only check; brute-force test in tests/)."""
+    return RQ.ttl_dedupe_parallel(_keyed(spark, sf))
+
+
+@register("request_dedupe_scan")
+def request_dedupe_scan(spark, sf):
+    """STR-4, scan form for logs without hot keys: one shuffle by key, then a time-sorted
+    scan with O(1) state per key streamed through mapInPandas (rows-only check)."""
     return RQ.ttl_dedupe(_keyed(spark, sf))

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -144,3 +144,65 @@ def ttl_dedupe_stream(log: DataFrame, key_col: str = "key", ts: str = "ts", id_c
     return d.groupBy("key").applyInPandasWithState(
         fn, outputStructType="event_id long, key string, hit int", stateStructType=DEDUPE_STATE,
         outputMode="append", timeoutConf="NoTimeout")
+
+
+def ttl_dedupe_parallel(log: DataFrame, key_col: str = "key", ts: str = "ts", id_col: str = "event_id",
+                        ttl_s: int = C.CACHE_TTL_SECONDS) -> DataFrame:
+    """STR-4 (batch) without putting a key's rows into one task.
+
+    The misses of a key form the chain e0 -> next(e0) -> ..., where e0 is its first
+    request and next(e) is its first request at or after ts(e) + ttl.  ``next`` is an
+    as-of lookup done with running windows partitioned by (key, time bucket of width
+    ttl), so a hot key is split by time; a request with no later request in its bucket
+    falls back to the first request of the next non-empty bucket (one row per bucket).
+    The chain is then enumerated by pointer doubling: J_0 = next, J_k = J_{k-1}(J_{k-1}),
+    each round checkpointed into the shared checkpoint folder; positions 0..L-1 of every
+    key resolve through the bits of the position.  Everything else is a hit.
+    """
+    import math
+
+    from annualis.session import cut_lineage
+
+    ttl_us = ttl_s * 1_000_000
+    d = log.select(F.col(id_col).cast("long").alias("id"), F.col(key_col).alias("key"),
+                   F.unix_micros(F.col(ts).cast("timestamp")).alias("t"))
+    ev = F.struct(F.col("t"), F.col("id"))
+    # 1. next(e): probes at t + T meet the events of the same (key, bucket)
+    events = d.select("key", F.floor(F.col("t") / ttl_us).alias("b"), F.col("t").alias("x"), F.lit(1).alias("typ"),
+                      F.col("id").alias("ord"), ev.alias("e"), F.lit(None).cast("long").alias("src"))
+    probes = d.select("key", F.floor((F.col("t") + ttl_us) / ttl_us).alias("b"), (F.col("t") + ttl_us).alias("x"), F.lit(0).alias("typ"),
+                      F.col("id").alias("ord"), F.lit(None).cast(events.schema["e"].dataType).alias("e"),
+                      F.col("id").alias("src"))
+    u = events.unionByName(probes)
+    # descending scan: the running last non-null event is the first event at or after x
+    w = (Window.partitionBy("key", "b").orderBy(F.col("x").desc(), F.col("typ").desc(), F.col("ord").desc())
+         .rowsBetween(Window.unboundedPreceding, 0))
+    in_bucket = u.withColumn("_n", F.last("e", ignorenulls=True).over(w)).filter(F.col("typ") == 0) \
+        .select("key", "b", "src", F.col("_n").alias("nb"))
+    # first event of any later bucket (one row per (key, bucket): bounded by the time span)
+    firsts = u.groupBy("key", "b").agg(F.min("e").alias("m"))
+    wb = Window.partitionBy("key").orderBy(F.col("b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    after = firsts.withColumn("after", F.min("m").over(wb)).select("key", "b", "after")
+    nxt = (in_bucket.join(after, ["key", "b"], "left")
+           .select(F.col("src").alias("id"), F.coalesce("nb", "after")["id"].alias("nx")))
+    # 2. chain length bound per key: min(requests, span / ttl + 1)
+    per_key = d.groupBy("key").agg(F.min(ev).alias("e0"), F.count(F.lit(1)).alias("n"),
+                                   ((F.max("t") - F.min("t")) / ttl_us).cast("long").alias("span"))
+    per_key = per_key.select("key", F.col("e0")["id"].alias("e0"), F.least("n", F.col("span") + 1).alias("L"))
+    max_len = per_key.agg(F.max("L")).first()[0] or 0
+    rounds = max(1, math.ceil(math.log2(max_len + 1)))
+    jumps = [cut_lineage(nxt)]
+    for _ in range(1, rounds):
+        j = jumps[-1]
+        jumps.append(cut_lineage(j.alias("a").join(j.alias("b"), F.col("a.nx") == F.col("b.id"), "left")
+                                 .select(F.col("a.id").alias("id"), F.col("b.nx").alias("nx"))))
+    # 3. position p of each key's chain = e0 moved by the set bits of p
+    pos = per_key.select("key", F.col("e0").alias("cur"), F.explode(F.sequence(F.lit(0), F.col("L") - 1)).alias("p"))
+    for k, j in enumerate(jumps):
+        moved = pos.join(j, pos.cur == j.id, "left").select("key", "p", F.col("nx").alias("moved"), "cur")
+        pos = moved.select("key", "p", F.when(F.col("p").bitwiseAND(1 << k) != 0, F.col("moved"))
+                           .otherwise(F.col("cur")).alias("cur")).filter(F.col("cur").isNotNull())
+        pos = cut_lineage(pos) if k % 4 == 3 else pos
+    misses = pos.select(F.col("cur").alias("id")).distinct().withColumn("_miss", F.lit(1))
+    out = d.join(misses, "id", "left")
+    return out.select(F.col("id").alias("event_id"), "key", F.when(F.col("_miss").isNull(), 1).otherwise(0).alias("hit"))

@@ -159,3 +159,11 @@ def test_compress_keeps_shape(spark):
     hits = spark.createDataFrame([(1, i, f"t{i}") for i in range(1, 8)], "qid long, rank int, text string")
     out = R.compress(hits, top_k=5)
     assert out.columns == ["qid", "rank", "text", "rr_rank"] and out.count() == 5
+
+
+@pytest.mark.parametrize("ttl", [600, 86400])
+def test_ttl_parallel_matches_brute_force(spark, ttl):
+    keyed = QS._keyed(spark, SF_SMALL)
+    got = {r.event_id: r.hit for r in RQ.ttl_dedupe_parallel(keyed, ttl_s=ttl).collect()}
+    pdf = keyed.select("event_id", "key", "ts").toPandas()
+    assert got == _brute_ttl(pdf, ttl)
