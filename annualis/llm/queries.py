@@ -29,3 +29,24 @@ def op8_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of documents: doc_id, class_id, kept."""
     from annualis.llm.op08_probminhash import near_duplicates
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register("op5_cgk_decontaminate")
+def op5_cgk_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents: doc_id, item_id, distance, start."""
+    from annualis.llm.op05_cgk_decontaminate import find_leaks
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op6_pca_tiles")
+def op6_pca_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosine links and components of all embeddings: vec_id, n_links, component_id, kept."""
+    from annualis.llm.op06_pca_tiles import cosine_components
+    return cosine_components(table(spark, sf_dir, "embeddings"))
+
+
+@register("op3_nearest_url_diff")
+def op3_nearest_url_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages: page_id, url, text, n_chars."""
+    from annualis.llm.op03_nearest_url_diff import extract_main_text
+    return extract_main_text(table(spark, sf_dir, "pages"))
