@@ -50,3 +50,82 @@ def op3_nearest_url_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of all pages: page_id, url, text, n_chars."""
     from annualis.llm.op03_nearest_url_diff import extract_main_text
     return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+@register("op7_zip_warc", """
+WITH p AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+  FROM pages WHERE page_id IS NOT NULL),
+h AS (SELECT payload_digest, max(page_id) AS head FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT page_id, payload_bytes, p.payload_digest,
+       CASE WHEN page_id < head THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < head THEN head END AS refers_to
+FROM p LEFT JOIN h ON p.payload_digest = h.payload_digest AND payload_bytes >= 1000""")
+def op7_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages through ZIP-packaged WARC archives and back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    from annualis.llm.op07_zip_warc import archive_round_trip
+    return archive_round_trip(spark, table(spark, sf_dir, "pages")).drop("url")
+
+
+@register("op10_ac_viterbi")
+def op10_ac_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of all documents: doc_id, n_tokens, ids, n_byte_tokens, round_trip."""
+    from annualis.llm.op10_ac_viterbi import encode_documents
+    return encode_documents(table(spark, sf_dir, "documents"))
+
+
+@register("op2_factorization_toxicity")
+def op2_factorization_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents: doc_id, held_out, score, predicted."""
+    from annualis.llm import op02_factorization_toxicity as tox
+    docs = table(spark, sf_dir, "documents")
+    return tox.score_documents(docs, tox.train(docs, table(spark, sf_dir, "labels")))
+
+
+@register("op4_ftrl_language")
+def op4_ftrl_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents: doc_id, held_out, lang_pred, score."""
+    from annualis.llm import op04_ftrl_language as lang
+    docs = table(spark, sf_dir, "documents")
+    return lang.identify(docs, lang.train(docs))
+
+
+OP1_SQL = """
+WITH t AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+m AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM t),
+e AS (SELECT conv_id, max(k) AS last FROM m WHERE role = 'assistant' GROUP BY 1),
+o AS (SELECT xor(m.conv_id, 1) AS conv_id, text FROM m JOIN e ON m.conv_id = e.conv_id AND k = last),
+s AS (
+  SELECT m.conv_id, k, last, role, m.text, o.text AS other, k < last OR m.text = o.text AS same,
+         '<|' || role || '|>' || chr(10) AS head
+  FROM m JOIN e ON m.conv_id = e.conv_id AND k <= last JOIN o ON m.conv_id = o.conv_id),
+r AS (SELECT *, head || text || '<|end|>' || chr(10) AS whole, head || other || '<|end|>' || chr(10) AS swapped FROM s)
+SELECT conv_id AS pair_id, CAST(count(*) FILTER (same) AS INTEGER) AS prompt_turns,
+       coalesce(string_agg(whole, '' ORDER BY k) FILTER (same), '') AS prompt,
+       coalesce(string_agg(whole, '') FILTER (NOT same), '') AS chosen,
+       coalesce(string_agg(swapped, '') FILTER (NOT same), '') AS rejected,
+       coalesce(string_agg(length(head) || '-' || length(whole), ',') FILTER (NOT same), '') AS chosen_mask,
+       coalesce(string_agg(length(head) || '-' || length(swapped), ',') FILTER (NOT same), '') AS rejected_mask
+FROM r GROUP BY conv_id"""
+
+
+@register("op1_preferences", OP1_SQL)
+def op1_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Preference pairs of all conversations: pair_id, prompt_turns, prompt, chosen, rejected and
+    the trained spans of both completions as "start-end,..."."""
+    from annualis.llm.op01_preferences import answer_swaps, format_preferences
+    out = format_preferences(answer_swaps(table(spark, sf_dir, "conversations")))
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return out.withColumns({c: spans(c) for c in ("chosen_mask", "rejected_mask")})
+
+
+from annualis.llm.op09_licence_rules import licences_sql  # noqa: E402
+
+
+@register("op9_licence_rules", licences_sql())
+def op9_licence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of all documents: doc_id, sentences and licences (both joined by commas)."""
+    from annualis.llm.op09_licence_rules import scan_licences
+    out = scan_licences(table(spark, sf_dir, "documents"))
+    return out.withColumns({c: F.array_join(c, ",") for c in ("sentences", "licences")})
