@@ -10,11 +10,14 @@ Registers are cut into bands; documents that agree in a whole band share a bucke
 bucket links are verified exactly (J_P of the real counts >= threshold):
 
 1. every member against the bucket's smallest member (a star, linear in the bucket);
-2. only where a bucket still spans several components, its members of different
-   components against each other, in blocks of bounded size spread over the tasks.
+2. where a bucket still spans several components: its members against a few heads of other
+   components (linear again);
+3. where it spans several even then, the members outside its largest component (the strays)
+   against each other and against that component, in blocks of bounded size spread over the
+   tasks; a stray meets a component once, however many buckets they share.
 
-So a bucket with a third of all rows costs a star, not its square, and no verified link
-between two components is lost.  Exact copies (equal word sequences) are folded before."""
+So a bucket with a third of all rows costs stars, not its square, and no link between two
+components that share a bucket is lost.  Exact copies (equal word sequences) are folded before."""
 
 from __future__ import annotations
 
@@ -32,7 +35,10 @@ from annualis.llm.components import connected_components
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 5
-BLOCK = 64
+#: Heads of a bucket in each further star round, number of these rounds, members of a tile.
+HEADS, ROUNDS, BLOCK = 8, 1, 128
+#: Pairs that one task verifies.
+PAIRS = 4_000
 _WORD_CACHE = 400_000
 
 _U = np.uint64
@@ -75,9 +81,17 @@ class Shingler:
             h = _mix(h * _GOLD + words[j:n - k + 1 + j] + _U(j + 1))
         return h
 
-    def counted(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    def counted(self, text: str | None) -> "Counted":
         s = self.shingles(self.word_hashes(text or ""))
-        return np.unique(s, return_counts=True) if len(s) else (s, s.astype(np.int64))
+        return Counted(*np.unique(s, return_counts=True)) if len(s) else Counted(s, s.astype(np.int64))
+
+
+class Counted:
+    """Distinct shingles, ascending, with their counts; a set where no shingle repeats."""
+
+    def __init__(self, shingles: np.ndarray, counts: np.ndarray):
+        self.shingles, self.counts = shingles, counts
+        self.plain = frozenset(shingles.tolist()) if len(counts) and counts.max() == 1 else None
 
 
 def signatures(owner: np.ndarray, shingle: np.ndarray, weight: np.ndarray, docs: int, registers: int):
@@ -116,17 +130,20 @@ def band_keys(win: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return h.view(np.int64)
 
 
-def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+def probability_jaccard(a: Counted, b: Counted) -> float:
     """Exact J_P of two counted shingle sets: sum over shared i of
-    1 / sum_j max(x_j / x_i, y_j / y_i), by sorting the shared ones on x_i / y_i."""
-    (ha, ca), (hb, cb) = a, b
-    if not len(ha) or not len(hb):
+    1 / sum_j max(x_j / x_i, y_j / y_i), by sorting the shared ones on x_i / y_i.
+    Without repeated shingles that is the Jaccard similarity of the sets."""
+    if a.plain and b.plain:
+        both = len(a.plain & b.plain)
+        return both / (len(a.plain) + len(b.plain) - both)
+    if not len(a.shingles) or not len(b.shingles):
         return 0.0
-    _, ia, ib = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
+    _, ia, ib = np.intersect1d(a.shingles, b.shingles, assume_unique=True, return_indices=True)
     if not len(ia):
         return 0.0
-    x, y = ca[ia].astype(float), cb[ib].astype(float)
-    only_x, only_y = ca.sum() - x.sum(), cb.sum() - y.sum()
+    x, y = a.counts[ia].astype(float), b.counts[ib].astype(float)
+    only_x, only_y = a.counts.sum() - x.sum(), b.counts.sum() - y.sum()
     order = np.argsort(x / y, kind="stable")
     x, y = x[order], y[order]
     # j up to i in this order (x_j / y_j <= x_i / y_i): y_j / y_i is the larger one
@@ -134,6 +151,12 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     return float((1.0 / (below_y / y + above_x / x)).sum())
 
 
+def similar(a: Counted, b: Counted, threshold: float) -> bool:
+    if a.plain and b.plain and min(len(a.plain), len(b.plain)) < threshold * max(len(a.plain), len(b.plain)):
+        return False
+    return probability_jaccard(a, b) >= threshold
+
+
 def _signed(docs: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sh = Shingler(width)
@@ -160,31 +183,40 @@ def _signed(docs: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
 
 
 def _linked_pairs(pairs: DataFrame, texts: DataFrame, threshold: float, width: int) -> DataFrame:
-    """The pairs (a, b) whose exact J_P reaches the threshold, others flagged False."""
+    """The pairs (a, b) whose exact J_P reaches the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sh, last = Shingler(width), (None, None)
-        for b in batches:
+        sh, heads, last = Shingler(width), {}, (None, None)
+        for batch in batches:
             ok = []
-            for ta, tb in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                if last[0] != tb:
-                    last = (tb, sh.counted(tb))
-                ok.append(probability_jaccard(sh.counted(ta), last[1]) >= threshold)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(ok)], ["a", "b", "linked"])
-
-    both = (pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-            .join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b"))
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, linked boolean")
+            for a, b, ta, tb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if last[0] != a:
+                    last = (a, sh.counted(ta))
+                if b not in heads:
+                    if len(heads) >= 256:
+                        heads.clear()
+                    heads[b] = sh.counted(tb)
+                ok.append(similar(last[1], heads[b], threshold))
+            yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    pairs = written(pairs, "pairs")
+    tasks = -(-pairs.count() // PAIRS)
+    # b is often the head of many pairs, so they are dealt out by a
+    both = (pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+            .join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a"))
+    both = both.select("a", "b", "ta", "tb").repartition(max(1, tasks), "a")
+    return written(both.mapInArrow(run, "a long, b long"), "stars")
 
 
 def _block_links(members: DataFrame, threshold: float, width: int) -> DataFrame:
-    """Links between members of different components in blocks (bucket, i, j): a block holds
-    at most two tiles of members; links already implied inside the block are not tested and a
-    pair that shares several buckets is tested only in the first one they share."""
+    """Links between members of different components in blocks (inner, place, i, j): tiles i
+    and j of a bucket's strays (``inner``; place is the bucket, and a pair that shares several
+    buckets is tested in the first), or tile i of the strays against tile j of the component
+    ``place``.  Links already implied inside the block are not tested."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        bucket, ti, tj = (k.as_py() for k in key)
-        rows = table.select(["id", "component", "tile", "keys", "text"]).to_pylist()
+        inner, place, i, j = (k.as_py() for k in key)
+        rows = table.select(["id", "component", "stray", "tile", "keys", "text"]).to_pylist()
         sh = Shingler(width)
         counted = [sh.counted(r["text"]) for r in rows]
         root = {r["component"]: r["component"] for r in rows}
@@ -195,17 +227,57 @@ def _block_links(members: DataFrame, threshold: float, width: int) -> DataFrame:
             return x
 
         out = []
-        for i, p in enumerate(rows):
-            for q, cq in zip(rows[:i], counted[:i], strict=True):
-                if (ti != tj and p["tile"] == q["tile"]) or find(p["component"]) == find(q["component"]):
+        first = [n for n, r in enumerate(rows) if (r["tile"] == i if inner else r["stray"])]
+        second = [n for n, r in enumerate(rows) if (r["tile"] == j if inner else not r["stray"])]
+        for n in first:
+            p, own, top = rows[n], counted[n], find(rows[n]["component"])
+            for m in second:
+                if inner and i == j and m >= n:
+                    break
+                q = rows[m]
+                if find(q["component"]) == top:
+                    continue
+                if inner and next(k for k, x in zip(p["keys"], q["keys"], strict=True) if k == x) != place:
                     continue
-                shared = next(k for k, m in zip(p["keys"], q["keys"], strict=True) if k == m)
-                if shared == bucket and probability_jaccard(counted[i], cq) >= threshold:
+                if similar(own, counted[m], threshold):
                     out.append((p["id"], q["id"]))
-                    root[find(p["component"])] = find(q["component"])
+                    root[top] = top = find(q["component"])
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
-    return members.groupBy("bucket", "ti", "tj").applyInArrow(run, "a long, b long")
+    return members.groupBy("inner", "place", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def _open_members(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """bucket, node, component of the buckets of three or more that span several components."""
+    placed = shared.where("n > 2").join(found, F.col("node") == F.col("id"), "left") \
+        .select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    several = placed.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1")
+    return placed.join(several.select("bucket"), "bucket")
+
+
+def _blocks(members: DataFrame, block: int) -> DataFrame:
+    """The members of open buckets in the blocks they are compared in."""
+    per = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    per = per.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n")) \
+        .select("bucket", F.col("top.component").alias("major"), (F.col("n") - F.col("top.n")).alias("strays"))
+    m = members.join(per, "bucket").withColumn("stray", F.col("component") != F.col("major"))
+    tiles = lambda n: F.greatest(F.ceil(n / F.lit(block)), F.lit(1)).cast("long")
+    each = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    at = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    tile, head = F.col("tile"), ["inner", "place", "node", "component", "stray", "tile"]
+
+    inner = m.where("stray").withColumns({"inner": F.lit(True), "place": F.col("bucket"), "n": tiles(F.col("strays"))})
+    inner = inner.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("n")))
+    inner = inner.select(*head, F.inline(F.transform(each(F.col("n")), lambda j: at(F.least(tile, j), F.greatest(tile, j)))))
+
+    outer = m.select(F.lit(False).alias("inner"), F.col("major").alias("place"), "node", "component", "stray").distinct()
+    sizes = outer.groupBy("place").agg(F.count_if("stray").alias("strays"), F.count_if(~F.col("stray")).alias("others")) \
+        .select("place", tiles(F.col("strays")).alias("strays"), tiles(F.col("others")).alias("others"))
+    outer = outer.join(sizes, "place").withColumn(
+        "tile", F.pmod(F.xxhash64("node"), F.when(F.col("stray"), F.col("strays")).otherwise(F.col("others"))))
+    outer = outer.select(*head, F.inline(F.when(F.col("stray"), F.transform(each(F.col("others")), lambda j: at(tile, j)))
+                                         .otherwise(F.transform(each(F.col("strays")), lambda i: at(i, tile)))))
+    return inner.unionAll(outer)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
@@ -230,26 +302,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     entry = copies.select("node", F.explode("keys").alias("bucket"))
     heads = entry.groupBy("bucket").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = written(entry.join(heads, "bucket"), "buckets")
+    text = docs.join(shared.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
+    text = written(text.groupBy("id").agg(F.max("text").alias("text")), "texts")
     stars = shared.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
-    used = stars.select(F.inline(F.array(F.struct(F.col("a").alias("id")), F.struct(F.col("b").alias("id"))))).distinct()
-    text = written(docs.join(used, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")), "texts")
-    tested = written(_linked_pairs(stars, text, threshold, width), "stars")
-    links = tested.where("linked").select("a", "b")
+    links = _linked_pairs(stars, text, threshold, width)
     found = connected_components(links)
-    placed = (shared.join(found, shared["node"] == found["id"], "left")
-              .select("bucket", "node", "n", F.coalesce("component", "node").alias("component")))
-    open_ = (placed.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
-             .where("c0 <> c1").select("bucket"))
-    tiles = F.ceil(F.col("n") / F.lit(block)).cast("long")
-    tile = F.pmod(F.xxhash64("node"), tiles)
-    todo = written(placed.join(open_, "bucket").withColumn("tile", tile).withColumn("tiles", tiles), "open")
-    if todo.limit(1).count():
-        blocks = todo.select("bucket", "node", "component", "tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
-        blocks = blocks.select(F.col("node").alias("id"), "bucket", "component", "tile",
-                               F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj"))
+    for turn in range(ROUNDS):
+        members = written(_open_members(shared, found), "open")
+        if not members.limit(1).count():
+            break
+        spread = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(HEADS))
+        heads = members.groupBy("bucket", spread.alias("_")).agg(F.min(F.struct("node", "component")).alias("head"))
+        stars = members.join(heads, "bucket").where("component <> head.component") \
+            .select(F.col("node").alias("a"), F.col("head.node").alias("b")).distinct()
+        links = links.unionAll(_linked_pairs(stars, text, threshold, width))
+        found = connected_components(links)
+    members = written(_open_members(shared, found), "open")
+    if members.limit(1).count():
+        blocks = written(_blocks(members, block).withColumnRenamed("node", "id"), "blocks")
+        tasks = -(-blocks.count() // (4 * block))
         keys = copies.select(F.col("node").alias("id"), "keys")
-        more = _block_links(blocks.join(keys, "id").join(text, "id"), threshold, width)
-        links = links.unionAll(written(more, "blocks"))
+        blocks = blocks.join(keys, "id").join(text, "id").repartition(tasks, "inner", "place", "i", "j")
+        links = links.unionAll(written(_block_links(blocks, threshold, width), "strays"))
         found = connected_components(links)
     found = found.select(F.col("id").alias("node"), "component")
     out = member.join(found, "node", "left").select(
