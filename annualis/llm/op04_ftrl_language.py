@@ -12,7 +12,9 @@ words are summed from a bounded cache, and a text costs one look-up per word."""
 
 from __future__ import annotations
 
+import itertools
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,11 +41,20 @@ LEAST_SCORE = 0.4
 _CACHE = 200_000
 
 
-def word_buckets(word: str) -> np.ndarray:
-    """Buckets of a word's n-grams, repeated as often as they occur."""
+class _Grams(dict):
+    """n-gram -> bucket, computed when first asked for, forgotten beyond a bound."""
+
+    def __missing__(self, gram: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        b = self[gram] = zlib.crc32(gram.encode("utf-8", "surrogatepass")) % BUCKETS
+        return b
+
+
+def word_buckets(word: str, grams: _Grams) -> list[int]:
+    """Buckets of a word's n-grams, repeated as often as they occur; ORDERS beyond 1 see the marks."""
     w = f" {word} "
-    return np.fromiter((zlib.crc32(w[i:i + k].encode("utf-8", "surrogatepass")) % BUCKETS
-                        for k in ORDERS for i in range(k == 1, len(w) - k + (k != 1))), np.int64)
+    return [grams[c] for c in word] * (1 in ORDERS) + [grams[w[i:i + k]] for k in ORDERS if k > 1 for i in range(len(w) - k + 1)]
 
 
 def words_of(text: str | None) -> list[str]:
@@ -51,16 +62,23 @@ def words_of(text: str | None) -> list[str]:
 
 
 class _Words(dict):
-    """word -> buckets, computed when first asked for, forgotten beyond a bound."""
+    """word -> packed buckets, computed when first asked for, forgotten beyond a bound."""
+
+    def __init__(self):
+        super().__init__()
+        self.grams = _Grams()
 
-    def __missing__(self, word: str) -> np.ndarray:
+    def __missing__(self, word: str) -> bytes:
         if len(self) > _CACHE:
             self.clear()
-        b = word_buckets(word)
+        b = array("i", word_buckets(word, self.grams)).tobytes()
         if len(word) <= 64:
             self[word] = b
         return b
 
+    def buckets(self, words) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.__getitem__, words)), np.int32)
+
 
 @dataclass
 class Model:
@@ -79,32 +97,31 @@ class Model:
         table = self.idf[:, None] * self.weights * SCALE
         k = len(self.languages)
         cache: dict[str, int] = {}
-        rows = np.zeros((_CACHE + 1, k + 1))
+        rows = np.zeros((_CACHE, k + 1))  # what a known word adds: logits and its number of n-grams
+        grams = _Grams()
 
-        def amounts(word: str) -> np.ndarray:
-            b = word_buckets(word)
-            return np.append(table[b].sum(axis=0), len(b))
+        def amounts(words: list[str]) -> np.ndarray:
+            each = [word_buckets(w, grams) for w in words]
+            n = np.array([len(b) for b in each])
+            flat = np.fromiter(itertools.chain.from_iterable(each), np.int64, n.sum())
+            return np.column_stack([np.add.reduceat(table[flat], np.cumsum(n) - n, axis=0), n])
 
         def predict(text: str | None) -> tuple[str, float]:
             words = words_of(text)
             if not words or not k:
                 return UNDETERMINED, 0.0
-            total = np.zeros(k + 1)
-            at = []
-            for w in words:
-                i = cache.get(w)
-                if i is None:
-                    if len(w) > 64:
-                        total += amounts(w)
-                        continue
-                    if len(cache) >= _CACHE:
-                        total += rows[at].sum(axis=0)
-                        at = []
-                        cache.clear()
-                    i = cache[w] = len(cache)
-                    rows[i] = amounts(w)
-                at.append(i)
-            total += rows[at].sum(axis=0)
+            new = [w for w in set(words) if w not in cache]
+            if len(cache) + len(new) > _CACHE:
+                cache.clear()
+                new = list(set(words))
+            if len(new) > _CACHE:  # a text with more different words than are kept
+                total = sum(amounts(words[s:s + _CACHE]).sum(axis=0) for s in range(0, len(words), _CACHE))
+            else:
+                if new:
+                    at = len(cache)
+                    rows[at:at + len(new)] = amounts(new)
+                    cache.update(zip(new, range(at, at + len(new)), strict=True))
+                total = rows[np.fromiter(map(cache.__getitem__, words), np.int64, len(words))].sum(axis=0)
             z = (total[:k] / total[k] + self.bias) / self.temperature
             p = np.exp(z - z.max())
             best = int(np.argmax(p))
@@ -177,7 +194,7 @@ def document_frequencies(docs: DataFrame, text_col: str) -> tuple[int, np.ndarra
                 own = set(words_of(t))
                 n += 1
                 if own:
-                    idx = np.concatenate([words[w] for w in own])
+                    idx = words.buckets(own)
                     df[idx] = df[idx] + 1  # once per bucket, however often it stands in idx
         some = np.flatnonzero(df)
         yield pa.record_batch([pa.array(np.append(some, -1)), pa.array(np.append(df[some], n))], ["bucket", "n"])
@@ -215,9 +232,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         for b in batches:
             out = []
             for t in b.column(2).to_pylist():
-                own = words_of(t)
-                idx = np.concatenate([words[w] for w in own]) if own else np.zeros(0, np.int64)
-                u, c = np.unique(idx, return_counts=True)
+                u, c = np.unique(words.buckets(words_of(t)), return_counts=True)
                 out.append(np.stack([u, c]).astype(np.uint32).tobytes())
             yield pa.record_batch([b.column(0), b.column(1), pa.array(out, pa.binary())], ["id", "lang", "grams"])
 
