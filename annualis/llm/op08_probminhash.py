@@ -37,8 +37,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 24, 5
 #: Heads of a bucket in each further star round, number of these rounds, members of a tile.
 HEADS, ROUNDS, BLOCK = 8, 1, 128
-#: Pairs that one task verifies.
-PAIRS = 4_000
+#: Shingles up to which a document's set is kept as a Python set.
+SMALL = 4_000
 _WORD_CACHE = 400_000
 
 _U = np.uint64
@@ -87,11 +87,11 @@ class Shingler:
 
 
 class Counted:
-    """Distinct shingles, ascending, with their counts; a set where no shingle repeats."""
+    """Distinct shingles, ascending, with their counts; also a set if they are few and none repeats."""
 
     def __init__(self, shingles: np.ndarray, counts: np.ndarray):
         self.shingles, self.counts = shingles, counts
-        self.plain = frozenset(shingles.tolist()) if len(counts) and counts.max() == 1 else None
+        self.plain = frozenset(shingles.tolist()) if 0 < len(counts) <= SMALL and counts.max() == 1 else None
 
 
 def signatures(owner: np.ndarray, shingle: np.ndarray, weight: np.ndarray, docs: int, registers: int):
@@ -182,30 +182,28 @@ def _signed(docs: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, copy binary, keys array<long>")
 
 
-def _linked_pairs(pairs: DataFrame, texts: DataFrame, threshold: float, width: int) -> DataFrame:
-    """The pairs (a, b) whose exact J_P reaches the threshold."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sh, heads, last = Shingler(width), {}, (None, None)
-        for batch in batches:
-            ok = []
-            for a, b, ta, tb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if last[0] != a:
-                    last = (a, sh.counted(ta))
-                if b not in heads:
-                    if len(heads) >= 256:
-                        heads.clear()
-                    heads[b] = sh.counted(tb)
-                ok.append(similar(last[1], heads[b], threshold))
-            yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+def _linked_pairs(pairs: DataFrame, texts: DataFrame, threshold: float, width: int, block: int) -> DataFrame:
+    """The pairs (a, b) whose exact J_P reaches the threshold; b is often the head of many.
 
+    The pairs of a head are cut into parts of about ``block``; parts are dealt out into bins
+    of about four blocks, and every part has the text of its head once."""
     pairs = written(pairs, "pairs")
-    tasks = -(-pairs.count() // PAIRS)
-    # b is often the head of many pairs, so they are dealt out by a
-    both = (pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-            .join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a"))
-    both = both.select("a", "b", "ta", "tb").repartition(max(1, tasks), "a")
-    return written(both.mapInArrow(run, "a long, b long"), "stars")
+    bins = max(1, -(-pairs.count() // (4 * block)))
+    per = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("long").alias("parts"))
+    part = F.pmod(F.xxhash64("a"), F.col("parts"))
+    member = pairs.join(per, "b").select("b", "a", F.pmod(F.xxhash64("b", part), F.lit(bins)).alias("bin"))
+    head = member.select("bin", "b", F.col("b").alias("id")).distinct()
+    rows = member.select("bin", "b", F.col("a").alias("id")).unionAll(head).join(texts, "id")
+
+    def run(table: pa.Table) -> pa.Table:
+        sh = Shingler(width)
+        rows = table.select(["b", "id", "text"]).to_pylist()
+        heads = {r["b"]: sh.counted(r["text"]) for r in rows if r["id"] == r["b"]}
+        out = [(r["id"], r["b"]) for r in rows if r["id"] != r["b"] and similar(sh.counted(r["text"]), heads[r["b"]], threshold)]
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    dealt = rows.repartition(-(-bins // 8), "bin").groupBy("bin")
+    return written(dealt.applyInArrow(run, "a long, b long"), "stars")
 
 
 def _block_links(members: DataFrame, threshold: float, width: int) -> DataFrame:
@@ -305,7 +303,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = docs.join(shared.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
     text = written(text.groupBy("id").agg(F.max("text").alias("text")), "texts")
     stars = shared.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
-    links = _linked_pairs(stars, text, threshold, width)
+    links = _linked_pairs(stars, text, threshold, width, block)
     found = connected_components(links)
     for turn in range(ROUNDS):
         members = written(_open_members(shared, found), "open")
@@ -315,7 +313,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         heads = members.groupBy("bucket", spread.alias("_")).agg(F.min(F.struct("node", "component")).alias("head"))
         stars = members.join(heads, "bucket").where("component <> head.component") \
             .select(F.col("node").alias("a"), F.col("head.node").alias("b")).distinct()
-        links = links.unionAll(_linked_pairs(stars, text, threshold, width))
+        links = links.unionAll(_linked_pairs(stars, text, threshold, width, block))
         found = connected_components(links)
     members = written(_open_members(shared, found), "open")
     if members.limit(1).count():
