@@ -36,7 +36,7 @@ SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 5
 #: Heads of a bucket in each further star round, number of these rounds, members of a tile.
-HEADS, ROUNDS, BLOCK = 8, 1, 128
+HEADS, ROUNDS, BLOCK = 4, 1, 128
 #: Shingles up to which a document's set is kept as a Python set.
 SMALL = 4_000
 _WORD_CACHE = 400_000
@@ -193,7 +193,7 @@ def _linked_pairs(pairs: DataFrame, texts: DataFrame, threshold: float, width: i
     part = F.pmod(F.xxhash64("a"), F.col("parts"))
     member = pairs.join(per, "b").select("b", "a", F.pmod(F.xxhash64("b", part), F.lit(bins)).alias("bin"))
     head = member.select("bin", "b", F.col("b").alias("id")).distinct()
-    rows = member.select("bin", "b", F.col("a").alias("id")).unionAll(head).join(texts, "id")
+    rows = member.select("bin", "b", F.col("a").alias("id")).unionAll(head).join(texts.select("id", "text"), "id")
 
     def run(table: pa.Table) -> pa.Table:
         sh = Shingler(width)
@@ -301,7 +301,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     heads = entry.groupBy("bucket").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = written(entry.join(heads, "bucket"), "buckets")
     text = docs.join(shared.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
-    text = written(text.groupBy("id").agg(F.max("text").alias("text")), "texts")
+    text = text.groupBy("id").agg(F.max("text").alias("text"))
+    text = written(text.join(copies.select(F.col("node").alias("id"), "keys"), "id"), "texts")
     stars = shared.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     links = _linked_pairs(stars, text, threshold, width, block)
     found = connected_components(links)
@@ -319,8 +320,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if members.limit(1).count():
         blocks = written(_blocks(members, block).withColumnRenamed("node", "id"), "blocks")
         tasks = -(-blocks.count() // (4 * block))
-        keys = copies.select(F.col("node").alias("id"), "keys")
-        blocks = blocks.join(keys, "id").join(text, "id").repartition(tasks, "inner", "place", "i", "j")
+        blocks = blocks.join(text, "id").repartition(tasks, "inner", "place", "i", "j")
         links = links.unionAll(written(_block_links(blocks, threshold, width), "strays"))
         found = connected_components(links)
     found = found.select(F.col("id").alias("node"), "component")
