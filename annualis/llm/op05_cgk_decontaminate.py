@@ -7,8 +7,8 @@ random bit that depends on (j, character).  Equal stretches give equal outputs,
 edit two walks meet again, so edit distance becomes Hamming distance.  Bit sampling keeps
 ``SAMPLES`` of the outputs as the hash of a window; ``REPEATS`` independent walks and samples
 raise recall.  Windows start at every word of a document and at every word of an item, so
-one undamaged or re-synchronised stretch anywhere in the passage is enough; step count is the
-largest power of two within the item (``STEPS`` at most), so that no walk leaves its item.
+one undamaged or re-synchronised stretch anywhere in the passage is enough; short items have
+shorter and more walks, so that no walk leaves its item and every item has several starts.
 
 Every hash hit is aligned to the whole item and verified exactly: the smallest edit distance
 (Myers' bit-parallel algorithm) between the item and any stretch of the item-sized window
@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 from annualis.llm.common import filter_batches, slices_by_size
 
 SIMILARITY = 0.8
-STEPS, SAMPLES, REPEATS = 64, 16, 4
+STEPS, SAMPLES, REPEATS = 64, 16, 2
+#: Steps for items below twice ``STEPS`` characters: the walks of these are twice as many.
+SHORT_STEPS = (48, 32, 16, 8, 4, 2, 1)
 BLOCK_CHARS = 4_000_000
 #: Hits are first looked up after so many sampled characters, then after all.
 _STAGES = (5, 9)
@@ -81,6 +83,13 @@ def _codes(text: str) -> np.ndarray:
     return (c ^ (c >> np.uint32(8))).astype(np.uint8)
 
 
+def _steps(length: int) -> int:
+    """Steps of an item's walks: few enough to leave many starts in it."""
+    if length >= 2 * STEPS:
+        return STEPS
+    return next((s for s in SHORT_STEPS if 4 * s <= 3 * length), 1)
+
+
 def _word_starts(codes: np.ndarray) -> np.ndarray:
     at = np.flatnonzero(codes == 32) + 1
     return np.concatenate([np.zeros(1, at.dtype), at])
@@ -150,7 +159,7 @@ class ItemIndex:
         self.classes: list[tuple[list[_Walk], np.ndarray, np.ndarray]] = []
         by_steps: dict[int, list[int]] = {}
         for n, (_, t, _) in enumerate(self.items):
-            by_steps.setdefault(min(STEPS, 1 << (len(t).bit_length() - 1)), []).append(n)
+            by_steps.setdefault(_steps(len(t)), []).append(n)
         for steps, members in sorted(by_steps.items()):
             texts = [self.items[n][1] for n in members]
             codes, number, offset, base, at = [], [], [], [], 0
@@ -164,7 +173,7 @@ class ItemIndex:
                 base.append(s + at)
                 at += len(c)
             joined = np.concatenate([*codes, np.zeros(steps + 1, np.uint8)])
-            walks = [_Walk(steps, seed) for seed in range(repeats)]
+            walks = [_Walk(steps, seed) for seed in range(repeats if steps == STEPS else 2 * repeats)]
             for w in walks:
                 w.learn(joined, np.concatenate(base))
             self.classes.append((walks, np.concatenate(number), np.concatenate(offset)))

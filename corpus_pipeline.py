@@ -44,10 +44,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Of rows that repeat an id one stays (the one with the largest text); rows without an id
     belong to no class and stay."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept_id"))
-    here = docs.where(F.col("doc_id").isNotNull()).join(kept, F.col("doc_id") == F.col("_kept_id")).drop("_kept_id")
-    one = here.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").desc_nulls_last())))
-    return one.where("_nth = 1").drop("_nth").unionAll(docs.where(F.col("doc_id").isNull()))
+    kept = near_duplicates(docs).where("kept").select("doc_id")
+    here = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi")
+    nth = "_" * max(map(len, docs.columns)) + "nth"  # longer than any column, so none is named so
+    one = here.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").desc_nulls_last())))
+    return one.where(F.col(nth) == 1).drop(nth).unionAll(docs.where(F.col("doc_id").isNull()))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
