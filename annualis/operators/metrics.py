@@ -69,13 +69,15 @@ def quality_summary(items: DataFrame) -> DataFrame:
 
 
 def by_category(items: DataFrame, cat_col: str = "category") -> DataFrame:
-    """AGG-6: overall and per-category n, recall@5, EM, canonical EM (rollup)."""
+    """AGG-6: overall and per-category n, recall@5, EM, canonical EM (rollup); items without a
+    category are a bucket of their own, null, not a second overall row."""
     return items.rollup(cat_col).agg(
+        F.grouping(cat_col).alias("_all"),
         F.count(F.lit(1)).alias("n"),
         F.avg(F.col("recall_at_5").cast("double")).alias("recall_at_5"),
         F.avg(F.col("em_raw").cast("double")).alias("em"),
         F.avg(F.col("em_canonical").cast("double")).alias("em_canonical"),
-    ).withColumn("bucket", F.coalesce(F.col(cat_col), F.lit("overall"))).drop(cat_col)
+    ).withColumn("bucket", F.when(F.col("_all") == 1, F.lit("overall")).otherwise(F.col(cat_col))).drop(cat_col, "_all")
 
 
 def exact_percentiles(df: DataFrame, col: str, qs: list[float]) -> dict[float, Column]:

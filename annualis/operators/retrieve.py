@@ -33,12 +33,17 @@ def _distance(metric: str):
 
 
 def _top_k(scored: DataFrame, k: int, key: str, order_cols, rank_col: str = "rank", per_row_k: str | None = None) -> DataFrame:
+    """The first ``k`` rows of each key; with ``per_row_k`` the first that many of each, where
+    ``k`` is the largest of these (a literal, so that Spark limits before the shuffle)."""
     w = Window.partitionBy(key).orderBy(*order_cols)
-    out = scored.withColumn(rank_col, F.row_number().over(w))
-    cond = F.col(rank_col) <= F.lit(k)
-    if per_row_k is not None:
-        cond = cond & (F.col(rank_col) <= F.col(per_row_k))
-    return out.filter(cond)
+    out = scored.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= F.lit(k))
+    return out if per_row_k is None else out.filter(F.col(rank_col) <= F.col(per_row_k))
+
+
+def _given(c: str):
+    """A filter value that filters: not null, not empty, not zero."""
+    v = F.trim(F.col(c).cast("string"))
+    return v.isNotNull() & ~v.isin("", "0", "0.0")
 
 
 def knn_prefilter(
@@ -57,13 +62,15 @@ def knn_prefilter(
     """Nearest ``k`` chunks per question among the chunks that pass its filters.
 
     ``filters`` pairs a question column with a chunk column; a null question value means
-    "no filter" for that column.  Returns (q_key, chunk_key, dist, rank) plus ``keep``
+    "no filter" for that column.  ``q_top_k`` names a question column with its own k, as large
+    as asked for (not positive: 5), which takes the place of ``k``.  Returns (q_key, chunk_key, dist, rank) plus ``keep``
     chunk columns.  Ties are broken by the chunk key.
     """
     keep = keep or []
     k = k if k > 0 else 5
     if q_top_k is not None:
         questions = questions.withColumn(q_top_k, F.when(F.col(q_top_k) > 0, F.col(q_top_k)).otherwise(F.lit(5)))
+        k = questions.agg(F.max(q_top_k)).first()[0] or k
     qcols = [q_key, q_vec] + ([q_top_k] if q_top_k else []) + [qc for qc, _ in filters]
     q = questions.select(*qcols)
     c = chunks.select(chunk_key, chunk_vec, *{cc for _, cc in filters}, *[x for x in keep if x not in {cc for _, cc in filters}])
@@ -94,8 +101,6 @@ def knn_prefilter(
         *([F.col(f"q.{q_top_k}").alias(q_top_k)] if q_top_k else []),
         *[F.col(f"c.{x}").alias(x) for x in keep],
     )
-    # k is the literal cap (lets Spark insert the partial WindowGroupLimit); a per-question
-    # top_k column can only lower it
     out = _top_k(scored, k, q_key, [F.col("dist"), F.col(chunk_key)], per_row_k=q_top_k)
     return out.drop(q_top_k) if q_top_k else out
 
@@ -114,7 +119,8 @@ def knn_postfilter(
     keep: list[str] | None = None,
 ) -> DataFrame:
     """Nearest min(max_k, k) over *all* chunks, then the filter; if a filtered question
-    keeps nothing, it gets the unfiltered hits back.  ``rank`` is 0-based and taken
+    keeps nothing, it gets the unfiltered hits back.  Null, empty and zero filter values
+    filter nothing.  ``rank`` is 0-based and taken
     before filtering."""
     keep = keep or []
     kk = min(max_k, k if k else 5)
@@ -128,8 +134,8 @@ def knn_postfilter(
     match = F.lit(True)
     any_filter = F.lit(False)
     for qc, cc in filters:
-        match = match & (F.col(qc).isNull() | (F.col(cc) == F.col(qc)))
-        any_filter = any_filter | F.col(qc).isNotNull()
+        match = match & F.when(_given(qc), F.coalesce(F.col(cc) == F.col(qc), F.lit(False))).otherwise(True)
+        any_filter = any_filter | _given(qc)
     w = Window.partitionBy(q_key)
     ranked = ranked.withColumn("_m", match).withColumn("_any", F.max(F.col("_m").cast("int")).over(w))
     kept = ranked.filter(F.col("_m") | ((F.col("_any") == 0) & any_filter))

@@ -19,7 +19,8 @@ from annualis.plans.q_retrieval import bm25_sql
 from annualis.session import session_key
 from annualis.sources.tables import FILINGS_V_SQL, Q_V_SQL, filings, questions
 
-POOL = 40
+#: Candidates of a category question, as many as the extraction evaluates at most.
+POOL = 10_000
 TOP_CONTEXTS = 5
 
 
@@ -66,7 +67,7 @@ def question_contexts(spark: SparkSession, sf: str, stage: str = "top", qv: Data
     pool_t = pool_with_text(spark, sf)
     flag = "_cat_regex" if priority == "regex" else "_cat_sub"
     pool_meta = pool_t.select("category", "doc_id", "in_rank", "doc_company", F.col(flag).alias("_is_cat"))
-    # q x pool: a question sees its category's pool (bounded: POOL rows per category)
+    # a question sees its category's pool: at most POOL narrow rows for each of three categories
     cand = qv.join(F.broadcast(pool_meta), "category", "inner")
     pref = R.prefer_group(cand, "qid", F.col("doc_company") == F.col("company"))
     if stage == "prefer":
@@ -76,7 +77,7 @@ def question_contexts(spark: SparkSession, sf: str, stage: str = "top", qv: Data
         out = pr.withColumn("ctx_rank", (F.col("prio_rank") - 1).cast("int")).drop("prio_rank", "_p", "_is_cat")
     if not with_text:
         return out
-    return out.join(F.broadcast(pool_t.select("category", "doc_id", "text")), ["category", "doc_id"], "inner")
+    return out.join(pool_t.select("category", "doc_id", "text"), ["category", "doc_id"], "inner")
 
 
 def question_candidates(spark: SparkSession, sf: str, qv: DataFrame | None = None, priority: str = "regex",

@@ -156,7 +156,7 @@ def metrics_summary(spark, sf):
 
 
 @register("metrics_by_category", f"""{ITEMS_SQL}
-SELECT coalesce(category, 'overall') AS bucket, count(*) AS n, round(avg(recall_at_5), 6) AS recall_at_5,
+SELECT CASE WHEN grouping(category) = 1 THEN 'overall' ELSE category END AS bucket, count(*) AS n, round(avg(recall_at_5), 6) AS recall_at_5,
   round(avg(em_raw), 6) AS em, round(avg(em_canonical), 6) AS em_canonical FROM m GROUP BY ROLLUP (category)""")
 def metrics_by_category(spark, sf):
     """AGG-6: overall and per-category recall@5, EM, canonical EM."""

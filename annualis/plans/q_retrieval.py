@@ -36,10 +36,10 @@ scored AS (
          list_distance(CAST(c.embedding AS DOUBLE[]), CAST(q.q_vec AS DOUBLE[])) AS dist
   FROM chunks c CROSS JOIN qs q),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, chunk_id) AS rn FROM scored),
-top AS (SELECT *, (f_label IS NULL OR label = f_label) AS m FROM ranked WHERE rn <= 5),
+top AS (SELECT *, (coalesce(f_label, 0) = 0 OR label = f_label) AS m FROM ranked WHERE rn <= 5),
 flag AS (SELECT *, max(CASE WHEN m THEN 1 ELSE 0 END) OVER (PARTITION BY qid) AS anym FROM top)
 SELECT qid, chunk_id, round(dist, 6) AS dist, CAST(rn - 1 AS INTEGER) AS rank
-FROM flag WHERE m OR (anym = 0 AND f_label IS NOT NULL)""")
+FROM flag WHERE m OR (anym = 0 AND coalesce(f_label, 0) <> 0)""")
 def knn_postfilter_fallback(spark, sf):
     """JN-2: nearest 5 over all chunks, then the label filter, falling back to the unfiltered 5."""
     out = RT.knn_postfilter(vector_chunks(spark, sf), vector_questions(spark, sf), [("f_label", "label")], k=5)
@@ -117,7 +117,7 @@ def bm25_topk(spark, sf):
     return out.select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
-HYBRID_POOL = 20
+HYBRID_POOL = 400
 
 
 def _hybrid_questions(spark, sf):

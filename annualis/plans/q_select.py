@@ -81,9 +81,6 @@ def segment_drivers(spark, sf):
     return SL.segment_drivers(_q_cands(spark, sf))
 
 
-EVAL_YEARS = [2021, 2022, 2023]
-
-
 def eval_items_sql() -> str:
     seeds = ", ".join(f"('{cat}', {_q(k.lower().strip())}, {ci}, {ki})"
                       for ci, (cat, keys) in enumerate(C.EVAL_SEED_KEYS.items()) for ki, k in enumerate(keys))
@@ -91,7 +88,7 @@ def eval_items_sql() -> str:
                       for cat in C.EVAL_SEED_KEYS)
     qs = " ".join(f"WHEN '{k}' THEN {_q(v)}" for k, v in C.QUESTIONS.items())
     return f"""ch AS (SELECT doc_id AS chunk_id, doc_id, company, year, coalesce(text, '') AS text FROM filings_v
-  WHERE year IN ({', '.join(map(str, EVAL_YEARS))}) AND regexp_matches(coalesce(text, ''), {_q('(?i)' + C.CUE_ANY)})),
+  WHERE regexp_matches(coalesce(text, ''), {_q('(?i)' + C.CUE_ANY)})),
 seeds(category, answer, ci, ki) AS (VALUES {seeds}),
 er AS (SELECT ch.chunk_id, ch.doc_id, ch.company, ch.year, s.category, s.answer, s.ci, s.ki FROM ch JOIN seeds s
   ON (CASE s.category {anchor} END) AND contains(lower(ch.text), s.answer)),
@@ -103,7 +100,7 @@ items AS (SELECT company || '|' || CAST(year AS VARCHAR) || '|' || category || '
 
 def _items(spark, sf):
     fil = filings(spark, sf).withColumn("chunk_id", F.col("doc_id"))
-    return SL.eval_items(fil, years=EVAL_YEARS)
+    return SL.eval_items(fil)
 
 
 @register("eval_set", f"""WITH {FILINGS_V_SQL},

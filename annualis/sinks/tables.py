@@ -11,6 +11,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from annualis.session import path_exists
+
 CATALOG_KEYS = ["doc_id", "company", "year"]
 VECTOR_COLUMNS = ["company", "year", "chunk_id", "source_doc", "text", "embedding"]
 
@@ -114,8 +116,7 @@ def save_selector(model, path: str, feature_names: list[str]) -> None:
 def load_selector(spark, path: str):
     """Missing artifact -> (None, []): callers fall back to the heuristic select."""
     from pyspark.ml.classification import LogisticRegressionModel
-    try:
-        names = spark.read.json(path.rstrip("/") + "/feature_names").first()["feature_names"]
-        return LogisticRegressionModel.load(path.rstrip("/") + "/model"), list(names)
-    except Exception:  # noqa: BLE001 - absent or unreadable artifact
+    if not path_exists(spark, path.rstrip("/") + "/feature_names"):
         return None, []
+    names = spark.read.json(path.rstrip("/") + "/feature_names").first()["feature_names"]
+    return LogisticRegressionModel.load(path.rstrip("/") + "/model"), list(names)

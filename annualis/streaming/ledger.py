@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annualis.functions import text as TX
+from annualis.session import path_exists
 
 LEDGER_SCHEMA = "company string, year int, files long, stamped_batch long"
 
@@ -24,10 +25,10 @@ def new_stamps(batch: DataFrame, ledger: DataFrame, batch_id: int) -> DataFrame:
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    try:
-        return spark.read.schema(LEDGER_SCHEMA).parquet(path)
-    except Exception:  # noqa: BLE001 - no ledger written yet
+    """The stamps written so far; empty only if the ledger does not exist yet."""
+    if not path_exists(spark, path):
         return spark.createDataFrame([], LEDGER_SCHEMA)
+    return spark.read.schema(LEDGER_SCHEMA).parquet(path)
 
 
 def rebuild(ledger: DataFrame, keys: DataFrame) -> DataFrame:
