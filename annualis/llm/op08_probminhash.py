@@ -190,10 +190,11 @@ def _linked_pairs(pairs: DataFrame, texts: DataFrame, threshold: float, width: i
     pairs = written(pairs, "pairs")
     bins = max(1, -(-pairs.count() // (4 * block)))
     per = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("long").alias("parts"))
-    part = F.pmod(F.xxhash64("a"), F.col("parts"))
-    member = pairs.join(per, "b").select("b", "a", F.pmod(F.xxhash64("b", part), F.lit(bins)).alias("bin"))
-    head = member.select("bin", "b", F.col("b").alias("id")).distinct()
-    rows = member.select("bin", "b", F.col("a").alias("id")).unionAll(head).join(texts.select("id", "text"), "id")
+    place = lambda part: F.pmod(F.xxhash64("b", part), F.lit(bins)).alias("bin")
+    member = pairs.join(per, "b").select(place(F.pmod(F.xxhash64("a"), F.col("parts"))), "b", F.col("a").alias("id"))
+    parts = per.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    head = parts.select(place(F.col("part")), "b", F.col("b").alias("id")).distinct()
+    rows = member.unionAll(head).join(texts.select("id", "text"), "id")
 
     def run(table: pa.Table) -> pa.Table:
         sh = Shingler(width)
