@@ -93,8 +93,8 @@ def _ttl_partition(ttl_us: int):
                     cur_key, expires = keys[s], None
                 i = s
                 while i < e:  # jump from miss to miss with a binary search
-                    if expires is not None and ts[i] < expires:
-                        j = s + np.searchsorted(ts[s:e], expires, side="left")
+                    if expires is not None and ts[i] <= expires:
+                        j = s + np.searchsorted(ts[s:e], expires, side="right")
                         hit[i:j] = 1
                         i = j
                         continue
@@ -106,8 +106,8 @@ def _ttl_partition(ttl_us: int):
 
 def ttl_dedupe(log: DataFrame, key_col: str = "key", ts: str = "ts", id_col: str = "event_id",
                ttl_s: int = C.CACHE_TTL_SECONDS, partitions: int | None = None) -> DataFrame:
-    """STR-4 (batch): a request is a cache hit if it comes before ``last miss + ttl`` of its
-    key; only a miss sets the entry, so expiry runs from the last miss."""
+    """STR-4 (batch): a request is a cache hit if it comes no later than ``last miss + ttl`` of
+    its key; only a miss sets the entry, so expiry runs from the last miss."""
     d = log.select(F.col(id_col).cast("long").alias("event_id"), F.col(key_col).alias("key"),
                    F.unix_micros(F.col(ts).cast("timestamp")).alias("ts_us"))
     d = d.repartition(partitions, "key") if partitions else d.repartition("key")
@@ -121,21 +121,21 @@ DEDUPE_STATE = T.StructType([T.StructField("expires_us", T.LongType())])
 def ttl_dedupe_stream(log: DataFrame, key_col: str = "key", ts: str = "ts", id_col: str = "event_id",
                       ttl_s: int = C.CACHE_TTL_SECONDS) -> DataFrame:
     """STR-4 (stream): ``applyInPandasWithState`` per key; state = expiry of the current
-    entry.  Rows of one key within a micro-batch are ordered by time before the scan."""
+    entry.  Rows of one key within a micro-batch are ordered by time before the scan, however
+    many Arrow batches they come in (two numbers a row are held)."""
     ttl_us = ttl_s * 1_000_000
 
     def fn(key, pdfs, state):
         expires = state.get[0] if state.exists else None
-        for pdf in pdfs:
-            pdf = pdf.sort_values(["ts_us", "event_id"])
-            hits = []
-            for t in pdf["ts_us"].to_numpy(dtype=np.int64):
-                if expires is not None and t < expires:
-                    hits.append(1)
-                else:
-                    expires = int(t) + ttl_us
-                    hits.append(0)
-            yield pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "key": key[0], "hit": hits})
+        rows = pd.concat([pdf[["event_id", "ts_us"]] for pdf in pdfs]).sort_values(["ts_us", "event_id"])
+        hits = []
+        for t in rows["ts_us"].to_numpy(dtype=np.int64):
+            if expires is not None and t <= expires:
+                hits.append(1)
+            else:
+                expires = int(t) + ttl_us
+                hits.append(0)
+        yield pd.DataFrame({"event_id": rows["event_id"].to_numpy(), "key": key[0], "hit": hits})
         if expires is not None:
             state.update((int(expires),))
 
@@ -151,7 +151,7 @@ def ttl_dedupe_parallel(log: DataFrame, key_col: str = "key", ts: str = "ts", id
     """STR-4 (batch) without putting a key's rows into one task.
 
     The misses of a key form the chain e0 -> next(e0) -> ..., where e0 is its first
-    request and next(e) is its first request at or after ts(e) + ttl.  ``next`` is an
+    request and next(e) is its first request after ts(e) + ttl.  ``next`` is an
     as-of lookup done with running windows partitioned by (key, time bucket of width
     ttl), so a hot key is split by time; a request with no later request in its bucket
     falls back to the first request of the next non-empty bucket (one row per bucket).
@@ -174,8 +174,8 @@ def ttl_dedupe_parallel(log: DataFrame, key_col: str = "key", ts: str = "ts", id
                       F.col("id").alias("ord"), F.lit(None).cast(events.schema["e"].dataType).alias("e"),
                       F.col("id").alias("src"))
     u = events.unionByName(probes)
-    # descending scan: the running last non-null event is the first event at or after x
-    w = (Window.partitionBy("key", "b").orderBy(F.col("x").desc(), F.col("typ").desc(), F.col("ord").desc())
+    # descending scan, probes ahead of events: the running last non-null event is the first one after x
+    w = (Window.partitionBy("key", "b").orderBy(F.col("x").desc(), F.col("typ"), F.col("ord").desc())
          .rowsBetween(Window.unboundedPreceding, 0))
     in_bucket = u.withColumn("_n", F.last("e", ignorenulls=True).over(w)).filter(F.col("typ") == 0) \
         .select("key", "b", "src", F.col("_n").alias("nb"))

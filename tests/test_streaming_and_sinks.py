@@ -24,7 +24,7 @@ def _brute_ttl(pdf: pd.DataFrame, ttl_s: int) -> dict:
     for key, g in pdf.sort_values(["ts", "event_id"]).groupby("key", sort=False):
         expires = None
         for eid, ts in zip(g["event_id"], g["ts"]):
-            if expires is not None and ts < expires:
+            if expires is not None and ts <= expires:
                 out[eid] = 1
             else:
                 expires = ts + pd.Timedelta(seconds=ttl_s)
@@ -57,6 +57,28 @@ def test_ttl_stream_matches_batch(spark, tmpdir_path):
     assert got == want
 
 
+def test_ttl_at_expiry_is_a_hit_in_every_form(spark, tmpdir_path):
+    # a miss at 0, hits at 300 and exactly at 600, a miss at 601 (its twin in time a hit), a hit at 1201
+    seconds = [0, 300, 600, 601, 601, 1201, 1202]
+    want = dict(enumerate([0, 1, 1, 0, 1, 1, 0]))
+    log = spark.createDataFrame([(i, "k", s) for i, s in enumerate(seconds)], "event_id long, key string, s long") \
+        .select("event_id", "key", F.timestamp_seconds("s").alias("ts"))
+    assert {r.event_id: r.hit for r in RQ.ttl_dedupe(log, ttl_s=600).collect()} == want
+    assert {r.event_id: r.hit for r in RQ.ttl_dedupe_parallel(log, ttl_s=600).collect()} == want
+    src, key = os.path.join(tmpdir_path, "late"), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    log.orderBy(F.col("ts").desc()).coalesce(1).write.parquet(src)
+    before = spark.conf.get(key)
+    spark.conf.set(key, "2")  # the key spans several Arrow batches, latest rows first
+    try:
+        q = (RQ.ttl_dedupe_stream(spark.readStream.schema(log.schema).parquet(src), ttl_s=600).writeStream
+             .format("memory").queryName("ttl_edge").outputMode("append")
+             .option("checkpointLocation", os.path.join(tmpdir_path, "ck")).trigger(availableNow=True).start())
+        q.awaitTermination(300)
+    finally:
+        spark.conf.set(key, before)
+    assert {r.event_id: r.hit for r in spark.sql("select * from ttl_edge").collect()} == want
+
+
 def test_request_windows_stream_matches_batch(spark, tmpdir_path):
     log = QS.request_log(spark, SF_SMALL)
     src = os.path.join(tmpdir_path, "ev")
