@@ -8,6 +8,7 @@ Python's ``str.strip()`` becomes an explicit ``^\\s+|\\s+$`` replace.
 from __future__ import annotations
 
 from functools import reduce
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,17 +17,19 @@ from annualis import config as C
 
 WORD = r"[\p{L}\p{N}_]"
 TOKEN_RE = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
-# HTML entities decoded by the native HTML cleaner (ampersand last).
+# HTML entities of the given pages, for the SQL twin (ampersand last).
 HTML_ENTITIES = [
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
     ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"),
 ]
+HTML_REFERENCE = "(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*)"
 # Spacing clean-up of the sub-word decoder (space removed before these).
 DECODE_CLEANUPS = [
     (" .", "."), (" ?", "?"), (" !", "!"), (" ,", ","), (" ' ", "'"),
     (" n't", "n't"), (" 'm", "'m"), (" 's", "'s"), (" 've", "'ve"), (" 're", "'re"),
 ]
-WS = r"[\s\x{00A0}]"
+# white space as Unicode has it
+WS = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
 def _c(x) -> Column:
@@ -34,11 +37,11 @@ def _c(x) -> Column:
 
 
 def strip_ws(c) -> Column:
-    return F.regexp_replace(_c(c), r"^\s+|\s+$", "")
+    return F.regexp_replace(_c(c), f"^{WS}+|{WS}+$", "")
 
 
 def collapse_ws(c) -> Column:
-    return F.regexp_replace(_c(c), r"\s+", " ")
+    return F.regexp_replace(_c(c), WS + "+", " ")
 
 
 def strip_chars(c, chars: str) -> Column:
@@ -99,6 +102,35 @@ def canonicalize(c) -> Column:
 
 # ---- HTML ---------------------------------------------------------------------------
 
+def _named_references() -> Column:
+    """A constant map of the standard's named references; numeric ones 128 to 159 mean
+    Windows-1252 characters there, so these are in it as well."""
+    names = {n[:-1]: text for n, text in html5.items() if n.endswith(";")}
+    names |= {f"#{n}": bytes([n]).decode("cp1252", "replace") for n in range(128, 160)}
+    cut = "\x01"
+    return F.map_from_arrays(F.split(F.lit(cut.join(names)), cut, -1), F.split(F.lit(cut.join(names.values())), cut, -1))
+
+
+def unescape(c) -> Column:
+    """Character references decoded once, named and numeric ones; unknown names stay as they
+    are, numbers of no character become U+FFFD."""
+    names = _named_references()
+
+    def decoded(part: Column) -> Column:
+        name = F.regexp_extract(part, f"^&({HTML_REFERENCE});", 1)
+        digits = F.regexp_replace(name, "^#[xX]?0*", "")
+        digits = F.when(digits == "", "0").when(F.length(digits) > 7, "9999999").otherwise(digits)
+        number = F.when(name.rlike("^#[xX]"), F.conv(digits, 16, 10)).when(name.startswith("#"), F.conv(digits, 10, 10)).cast("long")
+        wrong = (number == 0) | number.between(0xD800, 0xDFFF) | (number > 0x10FFFF)
+        character = F.when(wrong, "�").otherwise(F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+        number_name = F.concat(F.lit("#"), number.cast("string"))
+        text = F.when(name.startswith("#"), F.coalesce(F.element_at(names, number_name), character)) \
+            .when(name != "", F.element_at(names, name))
+        return F.coalesce(F.concat(text, F.substr(part, F.length(name) + F.lit(3))), part)
+
+    return F.array_join(F.transform(F.split(_c(c), f"(?=&{HTML_REFERENCE};)"), decoded), "")
+
+
 def html_to_text(c, drop_noscript: bool = True) -> Column:
     """TXT-1: drop script/style(/noscript) with contents, comments and declarations;
     tags become a space; entities decoded; whitespace collapsed and stripped."""
@@ -109,8 +141,7 @@ def html_to_text(c, drop_noscript: bool = True) -> Column:
     s = F.regexp_replace(s, r"(?s)<!--.*?-->", " ")
     s = F.regexp_replace(s, r"(?s)<![^>]*>", " ")
     s = F.regexp_replace(s, r"(?s)<[^>]+>", " ")
-    s = reduce(lambda acc, kv: F.replace(acc, F.lit(kv[0]), F.lit(kv[1])), HTML_ENTITIES, s)
-    s = F.regexp_replace(s, WS + "+", " ")
+    s = F.regexp_replace(unescape(s), WS + "+", " ")
     return F.regexp_replace(s, r"^ +| +$", "")
 
 

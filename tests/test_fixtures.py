@@ -158,6 +158,17 @@ def test_first_hit_phrase_counts_empty_phrase(spark):
     assert (r.phrase, r.hit_rank) == ("azure", 1)
 
 
+def test_character_references_and_unicode_spaces(spark):
+    pairs = [("It&#8217;s 5&#37; &mdash; A&reg;&rsquo;", "It’s 5% — A®’"),
+             ("a&#160;&emsp;b&#x2003; c", "a b c"), ("&amp;lt; &#x1F600;&notaname; &", "&lt; \U0001F600&notaname; &"),
+             ("&#0;&#xD800;&#99999999;&#150;", "���–"), ("&lt;b&gt;&Tab;x", "<b> x"), ("", ""), (None, None)]
+    df = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(pairs)], "i int, h string")
+    got = [r[0] for r in df.orderBy("i").select(TX.html_to_text(F.col("h"))).collect()]
+    assert got == [w for _, w in pairs]
+    s = spark.createDataFrame([("  by   x　",)], "s string")
+    assert s.select(TX.clean_candidate("s"), TX.strip_ws("s")).first() == ("by x", "by   x")
+
+
 def test_html_to_text(spark):
     html = ("<!DOCTYPE html><html><head><title>T &amp; Co</title><style>p{x}</style>"
             "<script>var a='</p>';</script></head><body><!-- c --><b>By</b>. x&nbsp;y<noscript>n</noscript></body></html>")
