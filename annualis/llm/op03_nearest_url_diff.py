@@ -7,9 +7,10 @@ a host are ordered by URL path and each is paired with the neighbour that shares
 longest path prefix.  The two line sequences are aligned by their longest common
 subsequence; the lines they share are template lines and are deleted.
 
-What the markup marks as article is never deleted by the comparison (two articles may quote
-the same passage), and a page whose unmarked text is mostly shared is a copy of its
-neighbour, not a template, so that nothing is deleted from it either.
+Lines inside ``article`` or ``main`` are compared like all others.  The element is a hint only:
+the text is what the page has of its own inside it, unless more stands beside it (a teaser in an
+article, the story in plain boxes).  A page whose text is mostly shared, and its article too, is a
+copy of its neighbour, not a template, so that nothing is deleted from it.
 
 Ordering a host needs no task that holds it: ids and paths (no texts) are range-partitioned,
 neighbours are found inside each range, and the one row that each range lacks on either side
@@ -55,6 +56,8 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"\s+")
 
 BOILERPLATE, OPEN, ARTICLE = 0, 1, 2
+#: A page with an article that shares more than this of its characters with its neighbour is a copy of it.
+COPY = 0.8
 
 
 def _marked(name: str, attrs: dict[str, str], in_article: bool) -> bool:
@@ -213,16 +216,23 @@ def shared_lines(a: list[int], b: list[int]) -> list[bool]:
 
 
 def main_text(lines: list[tuple[str, int, int]], shared: list[bool]) -> str:
-    """Article lines if the markup has any, else the open lines that the neighbour does not
-    share and that are not mere links; joined by a blank line."""
-    article = [t for t, kind, _ in lines if kind == ARTICLE]
+    """Article and open lines that the neighbour does not share and, where open, are not mere
+    links; joined by a blank line.  Open lines count if they outweigh the article."""
+    def size(at: list[int]) -> int:
+        return sum(len(lines[i][0]) for i in at)
+
+    def own(at: list[int]) -> list[int]:
+        return [i for i in at if not shared[i]]
+
+    article, open_ = ([i for i, (_, k, _) in enumerate(lines) if k == kind] for kind in (ARTICLE, OPEN))
     if article:
-        return "\n\n".join(article)
-    open_ = [(t, s, linked) for (t, kind, linked), s in zip(lines, shared, strict=True) if kind == OPEN]
-    size = sum(len(t) for t, _, _ in open_)
-    if 2 * sum(len(t) for t, s, _ in open_ if s) > size:  # a copy of the same page
-        open_ = [(t, False, linked) for t, _, linked in open_]
-    return "\n\n".join(t for t, s, linked in open_ if not s and 2 * linked <= len(t))
+        copy = size(own(article)) < (1 - COPY) * size(article) and size(own(article + open_)) < (1 - COPY) * size(article + open_)
+    else:
+        copy = 2 * (size(open_) - size(own(open_))) > size(list(range(len(lines))))
+    inside, beside = (article, open_) if copy else (own(article), own(open_))
+    beside = [i for i in beside if 2 * lines[i][2] <= len(lines[i][0])]
+    kept = inside if inside and size(inside) >= size(beside) else sorted(inside + beside)
+    return "\n\n".join(lines[i][0] for i in kept)
 
 
 def _hash(text: str) -> int:

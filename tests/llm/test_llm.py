@@ -198,6 +198,20 @@ def test_main_text_by_difference(spark):
     assert extract_main_text(df.limit(0)).count() == 0
 
 
+def test_difference_decides_inside_articles_too(spark):
+    story = lambda i: f"<p>Story {i} begins here and goes on</p><p>It ends {i}</p>"
+    rows = [(i, f"http://main.example/a/{i}", f"<main><p>Read our other stories as well</p>{story(i)}</main>") for i in range(3)]
+    rows += [(10 + i, f"http://teaser.example/a/{i}", f"<article><p>Win a journey</p></article><div>{story(i)}</div><div><a href=/>Home</a></div>") for i in range(3)]
+    rows += [(20 + i, f"http://beside.example/a/{i}", f"<div>{'We are a paper of the town. ' * 9}</div><article>{story(i)}</article><div>Seen {i} times</div>") for i in range(3)]
+    rows += [(30 + i, f"http://copy.example/a/{i}", f"<article>{story(7)}<p>Print {i}</p></article>") for i in range(2)]
+    rows += [(40, "http://lone.example/a", f"<article><p>Win</p></article><div>{story(4)}</div>")]
+    text = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(3):
+        assert text[i] == text[10 + i] == text[20 + i] == f"Story {i} begins here and goes on\n\nIt ends {i}"
+    assert [text[30 + i] for i in range(2)] == [f"Story 7 begins here and goes on\n\nIt ends 7\n\nPrint {i}" for i in range(2)]
+    assert text[40] == "Win\n\nStory 4 begins here and goes on\n\nIt ends 4"
+
+
 # --- 5 -------------------------------------------------------------------------------------
 
 
