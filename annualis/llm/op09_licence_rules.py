@@ -1,16 +1,20 @@
 """Licence recognition by sentence rules.
 
-A text is cut into sentences; each is normalised (lower case, words and version numbers only)
-and looked up in a table of known licence sentences, which gives its identifier.  The
-identifiers, in text order, are then matched against ordered rules: a rule is a sequence of
-identifiers and names a licence; the first rules of the list are tried first, and what a
-rule has matched is used up, so that a specific licence wins over a general notice.
+A text is cut into pieces at stops, colons, semicolons, list marks and line ends; each is normalised
+(lower case, words and version numbers only).  A sentence is a run of pieces, so that a sentence
+wrapped over lines, commented out or with a semicolon in it is the same as on one line; the longest
+known sentence from each piece on gives its identifier.  The identifiers, in text order, are then
+matched against ordered rules: a rule is a sequence of identifiers and names a licence; the first
+rules of the list are tried first, and what a rule has matched is used up, so that a specific
+licence wins over a general notice.
 
 Everything is a function of one row (no shuffle): texts without any word of the table's are
 answered by one pattern test."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -119,23 +123,34 @@ RULES = [
 ]
 #: Only texts and sentences with one of these words can hold a sentence of the table.
 HINT = "(?i)licen[cs]|permission|copyright|redistribut|public domain|rights reserved|warrant|mpl|cc0|unencumbered"
-#: Sentence ends: a stop, question or exclamation mark before white space or the end, or a line end
-#: (a full stop inside a version number ends nothing).
-BREAK = r"[.!?]+(?:\s+|$)|[\r\n]+"
+#: As HINT, with words that stand on two lines.
+WRAPPED_HINT = HINT.replace("public domain", r"public\W+domain").replace("rights reserved", r"rights\W+reserved")
+#: Piece ends: a list mark or comment word at a line's start, a stop, question or exclamation mark
+#: before white space or the end (a full stop inside a version number ends nothing), a line end,
+#: a colon or semicolon before white space.
+BREAK = r"(?im)^\W*(?:\(?(?:\d{1,2}|[a-z]|[ivx]{1,4})[.)]|(?:dnl|rem)\b)(?=\s)|[.!?]+(?:\s+|\z)|[\r\n]+|[:;](?=\s)"
 #: What is not kept of a sentence: everything but letters, digits and stops between them.
 NOISE = r"[^a-z0-9.]+|\.(?:[^a-z0-9]|$)"
 SEPARATOR = "|"
+#: Ends a piece in the normalised text.
+END = "|"
+
+
+def sentence_pattern(sentences: list[str]) -> str:
+    """Pattern of any of the normalised sentences, as a run of whole pieces; the longest first."""
+    runs = [re.escape(x).replace(r"\ ", f"[ {END}]") for x in sorted(sentences, key=lambda x: (-len(x), x))]
+    return rf"(?<![^{END}])(?:{'|'.join(runs)})(?![^{END}])"
 
 
 def sentence_ids(text: Column, known: dict[str, list[str]] = SENTENCES) -> Column:
     """Identifiers of the licence sentences of a text, in order."""
     pairs = [(s, i) for i, ss in known.items() for s in ss]
     table = F.create_map(*[F.lit(x) for p in pairs for x in p])
-    sentences = F.filter(F.split(text, BREAK), lambda s: s.rlike(HINT))
-    plain = F.transform(sentences, lambda s: F.trim(F.regexp_replace(F.lower(s), NOISE, " ")))
-    plain = F.transform(plain, lambda s: F.regexp_replace(s, " +", " "))
-    ids = F.filter(F.transform(plain, lambda s: table[s]), lambda i: i.isNotNull())
-    return F.when(text.rlike(HINT), ids).otherwise(F.array().cast("array<string>"))
+    pieces = F.transform(F.split(text, BREAK), lambda s: F.trim(F.regexp_replace(F.lower(s), NOISE, " ")))
+    plain = F.regexp_replace(F.array_join(F.filter(pieces, lambda s: s != ""), END), " +", " ")
+    found = F.regexp_extract_all(plain, F.lit(sentence_pattern([s for s, _ in pairs])), 0)
+    ids = F.transform(found, lambda s: table[F.translate(s, END, " ")])
+    return F.when(text.rlike(WRAPPED_HINT), ids).otherwise(F.array().cast("array<string>"))
 
 
 def licences(ids: Column, rules: list[tuple[str, list[str]]] = RULES) -> Column:

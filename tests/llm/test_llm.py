@@ -7,6 +7,7 @@ import io
 import random
 import re
 import struct
+import textwrap
 import zipfile
 import zlib
 
@@ -26,7 +27,7 @@ from annualis.llm.op05_cgk_decontaminate import ItemIndex, find_leaks, normalise
 from annualis.llm.op06_pca_tiles import cosine_components
 from annualis.llm.op07_zip_warc import central_directory, pack_archive, range_read, stored_start, write_archives, read_archives
 from annualis.llm.op08_probminhash import Counted, near_duplicates, probability_jaccard, signatures
-from annualis.llm.op09_licence_rules import scan_licences
+from annualis.llm.op09_licence_rules import RULES, SENTENCES, scan_licences
 from annualis.llm.op10_ac_viterbi import MODEL, SPACE, UNKNOWN, Codec, Pieces, encode_documents
 from annualis.sources.tables import TABLES
 from tools.oracle_check import digest
@@ -420,6 +421,57 @@ def test_licence_rules(spark):
     assert got[3] == got[4] == got[5] == got[6] == ([], []) and got[7][1] == ["GPL-3.0"]
 
 
+NOTICES = {
+    "Apache-2.0": (["Apache2Ref", "Apache2Use", "Apache2Copy", "Apache2AsIs"],
+                   'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
+                   'You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to '
+                   'in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, '
+                   'either express or implied.'),
+    "MIT": (["MITRef", "MITGrant", "MITNotice"],
+            'The MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation '
+            'files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, '
+            'publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject '
+            'to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.'),
+    "GPL-3.0-or-later": (["GPLFree", "GPLNoWarranty"],
+                         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+                         "the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the "
+                         "hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."),
+    "GPL-2.0-or-later": (["GPL2Free"],
+                         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+                         "the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    "BSD-3-Clause": (["BSDRedistribute", "BSDNoEndorse"],
+                     "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+                     "redistributions keep this list.\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+                     "promote products derived from this software without specific prior written permission."),
+    "MPL-2.0": (["MPL2Ref", "MPL2Copy"],
+                "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
+                "You can obtain one at http://mozilla.org/MPL/2.0/."),
+    "ISC": (["ISCGrant"],
+            "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
+            "copyright notice and this permission notice appear in all copies."),
+}
+
+
+def _wrapped(text, width, mark):
+    return "\n".join((mark + line).rstrip() for part in text.split("\n") for line in textwrap.wrap(part, width, break_long_words=False, break_on_hyphens=False) or [""])
+
+
+def test_licence_texts_as_distributed(spark):
+    want, texts = [], []
+    for name, (ids, text) in NOTICES.items():
+        for form in (text, *(_wrapped(text, w, m) for w, m in ((72, ""), (40, "# "), (60, " * "), (60, "// "), (66, "dnl ")))):
+            want.append((ids, [name]))
+            texts.append(f"Some words before.\n{form}\nand after them")
+    known = {i for _, ids in RULES for i in ids}
+    for i, sentences in SENTENCES.items():  # every sentence of the table, cut anywhere
+        for s in sentences:
+            for w in (9, 25, 60):
+                want.append(([i], [next(n for n, ids in RULES if ids == [i])] if i in known and [i] in [x for _, x in RULES] else []))
+                texts.append(_wrapped(s, w, "# "))
+    got = {r.doc_id: (r.sentences, r.licences) for r in scan_licences(docs_of(spark, texts)).collect()}
+    assert [(texts[i], got[i]) for i in got if got[i] != want[i]] == []
+
+
 def test_pieces_against_brute_force_and_round_trip(spark):
     import sentencepiece
     known = Pieces.load()
