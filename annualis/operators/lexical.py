@@ -19,14 +19,15 @@ from annualis.functions import text as TX
 MAX_QUERY_TERMS = 1_000_000
 
 
-def bm25_topk(docs: DataFrame, questions: DataFrame, k: int = 5, doc_key: str = "doc_id", doc_text: str = "text",
+def bm25_topk(docs: DataFrame, questions: DataFrame, k: int | None = 5, doc_key: str = "doc_id", doc_text: str = "text",
               q_key: str = "qid", q_text: str = "question", k1: float = 1.5, b: float = 0.75, eps: float = 0.25,
               tokenizer=TX.answer_tokens) -> DataFrame:
     """Okapi BM25 top-k documents per question: (q_key, doc_key, score, rank).
 
     idf = ln((N - df + 0.5) / (df + 0.5)); a negative idf is replaced by eps * mean idf
     over the corpus vocabulary.  Query terms count with their multiplicity.  Only
-    documents sharing at least one term with the question are ranked.
+    documents sharing at least one term with the question are ranked.  ``k=None`` gives
+    the scores of all of them without a rank.
     """
     # The tokenised corpus feeds four aggregates (N, avgdl, df, postings): tokenise once.
     # MEMORY_AND_DISK spills at scale; a lost executor recomputes its blocks from lineage.
@@ -54,6 +55,8 @@ def bm25_topk(docs: DataFrame, questions: DataFrame, k: int = 5, doc_key: str =
     contrib = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (
         F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
     scores = postings.join(q_idf, "term", "inner").groupBy("_q", "_d").agg(F.sum(contrib).alias("score"))
+    if k is None:
+        return scores.select(F.col("_q").alias(q_key), F.col("_d").alias(doc_key), "score")
     # order on the score rounded to 1e-6 so copies of a document tie exactly whatever the
     # summation order, then on the key
     w = Window.partitionBy("_q").orderBy(F.round("score", 6).desc(), F.col("_d"))

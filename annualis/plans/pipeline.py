@@ -1,6 +1,6 @@
 """The question -> contexts composition used by the extraction and selection queries
-(SURVEY 3.3): retrieve a pool per category question (BM25 over filings), prefer the
-question's company, put category-matching contexts first, keep 5.
+(SURVEY 3.3): rank all filings per category question (BM25), prefer the question's
+company, put category-matching contexts first, keep 5.
 
 Spark and DuckDB versions are written side by side so the oracle follows the same rules.
 """
@@ -8,7 +8,7 @@ Spark and DuckDB versions are written side by side so the oracle follows the sam
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from annualis import config as C
@@ -16,41 +16,50 @@ from annualis.operators import extract as EX
 from annualis.operators import lexical as LX
 from annualis.operators import rank as R
 from annualis.plans.q_retrieval import bm25_sql
-from annualis.session import session_key
+from annualis.session import cut_lineage, session_key
 from annualis.sources.tables import FILINGS_V_SQL, Q_V_SQL, filings, questions
 
-#: Candidates of a category question, as many as the extraction evaluates at most.
+#: Cut of the DuckDB twin's pool; the Spark form ranks all filings.
 POOL = 10_000
 TOP_CONTEXTS = 5
 
 
-def category_pool(spark: SparkSession, fil: DataFrame, pool: int = POOL) -> DataFrame:
-    """BM25 top ``pool`` filings per category question: (category, doc_id, in_rank)."""
-    cats = C.questions_df(spark)
-    top = LX.bm25_topk(fil, cats, k=pool, doc_key="doc_id", q_key="category", q_text="question")
-    return top.select("category", "doc_id", F.col("rank").alias("in_rank"))
+def category_ranks(spark: SparkSession, fil: DataFrame) -> DataFrame:
+    """BM25 rank of every filing that shares a term with a category question: (category,
+    doc_id, in_rank).  Ranks are numbered inside range partitions, behind the counts of the
+    partitions before, so no task holds a category."""
+    scores = LX.bm25_topk(fil, C.questions_df(spark), k=None, doc_key="doc_id", q_key="category", q_text="question")
+    # the order of bm25_topk
+    ranged = scores.select("category", "doc_id", (-F.round("score", 6)).alias("_s")).repartitionByRange("category", "_s", "doc_id")
+    ranged = cut_lineage(ranged.withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy("category").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = (ranged.groupBy("category", "_part").agg(F.count(F.lit(1)).alias("_n"))
+            .select("category", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base")))
+    inside = F.row_number().over(Window.partitionBy("category", "_part").orderBy("_s", "doc_id"))
+    # bounded: a row per partition and category
+    return (ranged.withColumn("_in", inside).join(F.broadcast(base), ["category", "_part"], "inner")
+            .select("category", "doc_id", (F.col("_base") + F.col("_in")).alias("in_rank")))
 
 
-_POOLS: dict[tuple[str, str], DataFrame] = {}
+_RANKED: dict[tuple[str, str], DataFrame] = {}
 
 
-def pool_with_text(spark: SparkSession, sf: str) -> DataFrame:
-    """The category pools with their texts and both category predicates, computed once.
+def ranked_filings(spark: SparkSession, sf: str) -> DataFrame:
+    """The ranked filings of each category with their company and both category predicates,
+    without texts: (category, doc_id, in_rank, doc_company, _cat_regex, _cat_sub).
 
-    At most 3 x POOL rows by construction, so it is persisted and memoised per
-    (application, input) and shared by every branch of every query (the broadcast
-    question join, the text join, the extraction).  The memo holds the DataFrame
-    itself: plans with scalar subqueries do not match the cache by plan equality."""
+    Persisted and memoised per (application, input) and shared by every branch of every
+    query.  The memo holds the DataFrame itself: plans with scalar subqueries do not match
+    the cache by plan equality."""
     key = (session_key(spark), sf)
-    if key not in _POOLS:
+    if key not in _RANKED:
         fil = filings(spark, sf)
-        pool = category_pool(spark, fil)
         t = F.col("text")
-        _POOLS[key] = (pool.join(fil.select("doc_id", F.col("company").alias("doc_company"), "text"), "doc_id", "inner")
-                       .withColumn("_cat_regex", EX.category_match(t, F.col("category")))
-                       .withColumn("_cat_sub", EX.category_match_substring(t, F.col("category")))
-                       .persist(StorageLevel.MEMORY_AND_DISK))
-    return _POOLS[key]
+        _RANKED[key] = (category_ranks(spark, fil).join(fil.select("doc_id", F.col("company").alias("doc_company"), "text"), "doc_id", "inner")
+                        .withColumn("_cat_regex", EX.category_match(t, F.col("category")))
+                        .withColumn("_cat_sub", EX.category_match_substring(t, F.col("category")))
+                        .drop("text").persist(StorageLevel.MEMORY_AND_DISK))
+    return _RANKED[key]
 
 
 def question_contexts(spark: SparkSession, sf: str, stage: str = "top", qv: DataFrame | None = None,
@@ -59,36 +68,41 @@ def question_contexts(spark: SparkSession, sf: str, stage: str = "top", qv: Data
 
     ``qv`` defaults to the q_v question table; ``priority`` is the category predicate used
     to put contexts first: ``regex`` (FLT-4, evaluation) or ``substring`` (FLT-5, training).
-    The predicates depend only on (category, document): they come precomputed with the
-    pool, so per-question work carries keys only; texts are joined back at the end.
+    A question sees its company's filings, or all of its category if the company has none
+    (WIN-7).  The first ``TOP_CONTEXTS`` are therefore found once per (category, company)
+    and once per category, and meet the questions by key; texts are joined back at the end.
     """
     fil = filings(spark, sf)
     qv = questions(spark, fil) if qv is None else qv
-    pool_t = pool_with_text(spark, sf)
-    flag = "_cat_regex" if priority == "regex" else "_cat_sub"
-    pool_meta = pool_t.select("category", "doc_id", "in_rank", "doc_company", F.col(flag).alias("_is_cat"))
-    # a question sees its category's pool: at most POOL narrow rows for each of three categories
-    cand = qv.join(F.broadcast(pool_meta), "category", "inner")
-    pref = R.prefer_group(cand, "qid", F.col("doc_company") == F.col("company"))
+    ranked = ranked_filings(spark, sf)
+    meta = ranked.select("category", "doc_id", "in_rank", "doc_company",
+                         F.col("_cat_regex" if priority == "regex" else "_cat_sub").alias("_is_cat"))
     if stage == "prefer":
-        out = pref.drop("_is_cat")
+        own = rest = meta.drop("_is_cat")
     else:
-        pr = R.priority_top(pref, "qid", F.col("_is_cat"), "in_rank", ["doc_id"], n=TOP_CONTEXTS)
-        out = pr.withColumn("ctx_rank", (F.col("prio_rank") - 1).cast("int")).drop("prio_rank", "_p", "_is_cat")
+        def first(key: str, df: DataFrame) -> DataFrame:
+            pr = R.priority_top(df, key, F.col("_is_cat"), "in_rank", ["doc_id"], n=TOP_CONTEXTS)
+            return pr.select("category", "doc_id", "in_rank", "doc_company", (F.col("prio_rank") - 1).cast("int").alias("ctx_rank"))
+
+        own = first("_key", meta.where("doc_company is not null").withColumn("_key", F.struct("category", "doc_company")))
+        rest = F.broadcast(first("category", meta))  # bounded: TOP_CONTEXTS rows a category
+    known = ranked.select("category", F.col("doc_company").alias("company")).distinct()
+    out = (qv.join(own.withColumn("company", F.col("doc_company")), ["category", "company"], "inner")
+           .unionByName(qv.join(known, ["category", "company"], "left_anti").join(rest, "category", "inner")))
     if not with_text:
         return out
-    return out.join(pool_t.select("category", "doc_id", "text"), ["category", "doc_id"], "inner")
+    return out.join(fil.select("doc_id", "text"), "doc_id", "inner")
 
 
 def question_candidates(spark: SparkSession, sf: str, qv: DataFrame | None = None, priority: str = "regex",
                         keep: list[str] | None = None) -> DataFrame:
     """Candidates (EXT-4) of every question's contexts.  Extraction depends only on the
-    context text and the category, so it runs once per pool row (category, document) and
-    the question keys are joined to it."""
+    context text and the category, so it runs once per (category, document) that is a
+    context and the question keys are joined to it."""
     keys = question_contexts(spark, sf, qv=qv, priority=priority, with_text=False)
     keys = keys.select("qid", "category", "doc_id", "ctx_rank", *(keep or []))
-    pool_t = pool_with_text(spark, sf)
-    c = EX.extract_candidates(pool_t.select("category", "doc_id", "text", F.lit(0).alias("_r")),
+    used = keys.select("category", "doc_id").distinct().join(filings(spark, sf).select("doc_id", "text"), "doc_id", "inner")
+    c = EX.extract_candidates(used.select("category", "doc_id", "text", F.lit(0).alias("_r")),
                               q_key="doc_id", rank_col="_r").drop("ctx_rank")
     return keys.join(c, ["category", "doc_id"], "inner")
 
