@@ -6,7 +6,8 @@ window with a pointer: step j outputs the character under the pointer and then m
 random bit that depends on (j, character).  Equal stretches give equal outputs, and after an
 edit two walks meet again, so edit distance becomes Hamming distance.  Bit sampling keeps
 ``SAMPLES`` of the outputs as the hash of a window; ``REPEATS`` independent walks and samples
-raise recall.  Windows start at every word of a document and at every word of an item, so
+raise recall.  Windows start at every word of a document and at every word of an item, in
+scripts without word spaces at every character, so
 one undamaged or re-synchronised stretch anywhere in the passage is enough; short items have
 shorter and more walks, so that no walk leaves its item and every item has several starts.
 
@@ -34,6 +35,9 @@ STEPS, SAMPLES, REPEATS = 64, 16, 2
 #: Steps for items below twice ``STEPS`` characters: the walks of these are twice as many.
 SHORT_STEPS = (48, 32, 16, 8, 4, 2, 1)
 BLOCK_CHARS = 4_000_000
+#: Scripts without word spaces: Thai and Lao, Tibetan and Burmese, Khmer, kana, Chinese characters.
+UNSPACED = ((0x0E00, 0x0EFF), (0x0F00, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF),
+            (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
 #: Hits are first looked up after so many sampled characters, then after all.
 _STAGES = (5, 9)
 _BITS = 20
@@ -77,9 +81,12 @@ def smallest_distance(item: str, window: str, most: int) -> tuple[int, int] | No
     return best if best[0] <= most else None
 
 
-def _codes(text: str) -> np.ndarray:
-    """Character classes of a text (Latin letters keep classes of their own)."""
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def _codes(c: np.ndarray) -> np.ndarray:
+    """Character classes of a text's code points (Latin letters keep classes of their own)."""
     return (c ^ (c >> np.uint32(8))).astype(np.uint8)
 
 
@@ -90,9 +97,12 @@ def _steps(length: int) -> int:
     return next((s for s in SHORT_STEPS if 4 * s <= 3 * length), 1)
 
 
-def _word_starts(codes: np.ndarray) -> np.ndarray:
+def _word_starts(points: np.ndarray, codes: np.ndarray) -> np.ndarray:
     at = np.flatnonzero(codes == 32) + 1
-    return np.concatenate([np.zeros(1, at.dtype), at])
+    at = np.concatenate([np.zeros(1, at.dtype), at])
+    wide = np.flatnonzero(points >= UNSPACED[0][0])
+    wide = wide[np.any([(points[wide] >= lo) & (points[wide] <= hi) for lo, hi in UNSPACED], axis=0)]
+    return np.union1d(at, np.concatenate([wide, wide + 1])) if len(wide) else at
 
 
 class _Walk:
@@ -164,8 +174,9 @@ class ItemIndex:
             texts = [self.items[n][1] for n in members]
             codes, number, offset, base, at = [], [], [], [], 0
             for n, t in zip(members, texts, strict=True):
-                c = _codes(t)
-                s = _word_starts(c)
+                points = _points(t)
+                c = _codes(points)
+                s = _word_starts(points, c)
                 s = s[s <= len(t) - steps]
                 codes.append(c)
                 number.append(np.full(len(s), n))
@@ -185,8 +196,10 @@ class ItemIndex:
         for s, e in slices_by_size(texts):
             norm = [normalise(t) for t in texts[s:e]]
             first = np.cumsum([0, *(len(t) + 1 for t in norm)])
-            codes = np.concatenate([_codes(" ".join(norm)), np.zeros(STEPS + 2, np.uint8)])
-            starts = _word_starts(codes[:first[-1]])
+            points = _points(" ".join(norm))
+            plain = _codes(points)
+            codes = np.concatenate([plain, np.zeros(STEPS + 2, np.uint8)])
+            starts = _word_starts(points, plain)
             starts = starts[starts < first[-1] - 1]
             for walks, number, offset in self.classes:
                 near: set[tuple[int, int, int]] = set()

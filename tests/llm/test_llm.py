@@ -268,6 +268,16 @@ def test_leaks_against_brute_force_and_recall(spark):
     assert ItemIndex([(1, "abc " * 50)]).scan([None, ""]) == []
 
 
+@pytest.mark.parametrize("first, last", [(0x4E00, 0x9FFF), (0x3041, 0x3096), (0x0E01, 0x0E30)])
+def test_unedited_passages_of_scripts_without_word_spaces(first, last):
+    rng = random.Random(11)
+    text = lambda n: "".join(chr(rng.randint(first, last)) for _ in range(n))
+    items = [(i, text(n)) for i, n in enumerate((6, 20, 40, 90, 200, 400))]
+    docs = [text(rng.randint(1, 80)) + t + text(rng.randint(1, 80)) for _, t in items]
+    got = {(r[0], r[1]): r[2] for r in ItemIndex(items).scan([*docs, text(500)])}
+    assert got == {(i, i): 0 for i in range(len(items))}
+
+
 # --- 6 -------------------------------------------------------------------------------------
 
 
