@@ -129,3 +129,57 @@ def op9_licence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from annualis.llm.op09_licence_rules import scan_licences
     out = scan_licences(table(spark, sf_dir, "documents"))
     return out.withColumns({c: F.array_join(c, ",") for c in ("sentences", "licences")})
+
+
+def centroid_sql(rounds: int = 5, k: int = 40) -> str:
+    """The contract of op11 round by round: long form (id, dimension, x), exact integers."""
+    step = """
+d{n} AS (SELECT p.vec_id, c.c, sum((p.x - c.x) * (p.x - c.x)) AS d FROM p JOIN c{n} c ON p.i = c.i GROUP BY ALL),
+a{n} AS (SELECT vec_id, min(d) AS d, arg_min(c, (d, c)) AS c FROM d{n} GROUP BY 1)"""
+    move = """,
+m{n} AS (SELECT a.c, p.i, CAST(floor(CAST(sum(p.x) AS DOUBLE) / count(*)) AS BIGINT) AS x FROM p JOIN a{n} a USING (vec_id) GROUP BY ALL),
+c{m} AS (SELECT c.c, c.i, coalesce(m{n}.x, c.x) AS x FROM c{n} c LEFT JOIN m{n} ON m{n}.c = c.c AND m{n}.i = c.i),"""
+    rounds_sql = "".join(step.format(n=n) + (move.format(n=n, m=n + 1) if n < rounds else "") for n in range(rounds + 1))
+    return f"""
+WITH kept AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+p AS (SELECT vec_id, unnest(range(64)) AS i, CAST(unnest(list_transform(v, lambda e: floor(256 * e))) AS BIGINT) AS x FROM kept),
+h AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c FROM kept QUALIFY c < {k}),
+c0 AS (SELECT h.c, p.i, p.x FROM p JOIN h USING (vec_id)),{rounds_sql},
+s AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY 1)
+SELECT a.vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a{rounds} a JOIN s ON s.c = a.c"""
+
+
+@register("op11_nsimplex_centroids", centroid_sql())
+def op11_nsimplex_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Integer k-means of all embeddings: vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256."""
+    from annualis.llm.op11_nsimplex_centroids import cluster_vectors
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@register("op12_cover_anchors", r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+i AS (SELECT r, unnest(range(1, len(w) - 33)) AS i FROM t WHERE len(w) >= 35),
+h AS (SELECT i.r, i.i, md5(array_to_string(list_slice(w, i.i, i.i + 34), ' ')) AS h FROM i JOIN t USING (r)),
+g AS (SELECT r, i FROM h QUALIFY count(*) OVER (PARTITION BY h) > 1),
+p AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM t),
+m AS (SELECT p.r, p.i, word, coalesce(max(g.i) OVER (PARTITION BY p.r ORDER BY p.i) >= p.i - 34, false) AS gone
+      FROM p LEFT JOIN g ON g.r = p.r AND g.i = p.i),
+k AS (SELECT r, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '')) AS s
+      FROM m GROUP BY 1)
+SELECT doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       coalesce(s, sha256('')) AS kept_sha256
+FROM t LEFT JOIN k USING (r)""")
+def op12_cover_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without their repeated 35-word windows: doc_id, n_words, n_removed, kept_sha256."""
+    from annualis.llm.op12_cover_anchors import remove_repeats
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@register("op13_slicing_whitening")
+def op13_slicing_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened embeddings: vec_id, component, n, deviation, whitened, explained, identity_error."""
+    from annualis.llm.op13_slicing_whitening import whiten
+    return whiten(table(spark, sf_dir, "embeddings"))
