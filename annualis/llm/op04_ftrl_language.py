@@ -7,29 +7,29 @@ training documents.  Weights are fitted on a bounded sample by follow-the-regula
 with elastic-net penalties, so most are exactly zero, and a temperature for the
 probabilities is chosen on sampled rows that the fit has not seen.
 
-The logits are linear in the n-gram counts, so a word adds the same amounts in every text:
-words are summed from a bounded cache, and a text costs one look-up per word."""
+Many texts are read at once as one array of code points, in which every run of other characters
+than letters becomes one mark; n-grams are then neighbours in that array, and the logits, which
+are linear in the n-gram counts, are sums of table rows."""
 
 from __future__ import annotations
 
-import itertools
 import zlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annualis.llm.common import LETTERS, filter_batches, held_out
+from annualis.llm.common import filter_batches, held_out, slices_by_size
 
 UNDETERMINED = "und"
 #: Rows of each language that the model is fitted on, about (a hash decides which).
 MAX_TRAIN_PER_LANGUAGE = 1_500
-BUCKETS = 1 << 16
-ORDERS = (1, 2, 3)
+BUCKET_BITS = 16
+BUCKETS = 1 << BUCKET_BITS
 EPOCHS, BATCH = 4, 32
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.5, 0.5
 #: Constant factor of all features, which makes a text's feature vector about one long.
@@ -38,46 +38,50 @@ SCALE = 10.0
 CALIBRATION = 5
 #: Documents of this probability or more are kept by the filter.
 LEAST_SCORE = 0.4
-_CACHE = 200_000
-
-
-class _Grams(dict):
-    """n-gram -> bucket, computed when first asked for, forgotten beyond a bound."""
-
-    def __missing__(self, gram: str) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        b = self[gram] = zlib.crc32(gram.encode("utf-8", "surrogatepass")) % BUCKETS
-        return b
-
-
-def word_buckets(word: str, grams: _Grams) -> list[int]:
-    """Buckets of a word's n-grams, repeated as often as they occur; ORDERS beyond 1 see the marks."""
-    w = f" {word} "
-    return [grams[c] for c in word] * (1 in ORDERS) + [grams[w[i:i + k]] for k in ORDERS if k > 1 for i in range(len(w) - k + 1)]
-
-
-def words_of(text: str | None) -> list[str]:
-    return LETTERS.findall((text or "").lower())
-
-
-class _Words(dict):
-    """word -> packed buckets, computed when first asked for, forgotten beyond a bound."""
-
-    def __init__(self):
-        super().__init__()
-        self.grams = _Grams()
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) > _CACHE:
-            self.clear()
-        b = array("i", word_buckets(word, self.grams)).tobytes()
-        if len(word) <= 64:
-            self[word] = b
-        return b
-
-    def buckets(self, words) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, words)), np.int32)
+#: Characters of texts read at once (a longer text alone), places hashed at once, texts counted at once.
+_CHARS, _PLACES, _TEXTS = 1 << 19, 1 << 19, 32
+
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
+#: Added per order, so that an n-gram and a longer one that begins with it part.
+_ORDER = tuple(np.uint64(x) for x in (0x632BE59BD9B4E019, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+
+
+@cache
+def _letters() -> np.ndarray:
+    return np.array([chr(c).isalpha() for c in range(0x110000)])
+
+
+def gram_buckets(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text, bucket) of every n-gram of the texts, in blocks; a text's n-grams come in the same
+    order whatever texts are beside it."""
+    low = [(t or "").lower() for t in texts]
+    code = np.frombuffer("\n".join([*low, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = _letters()[code]
+    keep = letter.copy()
+    keep[1:] |= letter[:-1]  # the first other character after a word is its mark, and the next word's
+    owner = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in low])[keep]
+    letter = np.concatenate([[False], letter[keep], [False]])
+    v = np.zeros(len(letter), np.uint64)
+    v[1:-1] = code[keep]
+    v[~letter] = 0
+    for i in range(0, len(owner), _PLACES):
+        n = min(_PLACES, len(owner) - i)
+        before, here, after = v[i:i + n], v[i + 1:i + n + 1], v[i + 2:i + n + 2]
+        is_letter, own = letter[i + 1:i + n + 1], owner[i:i + n]
+        pair = before | here << np.uint64(21)
+        # a pair that ends in a letter or follows one; it belongs to the text of its letter
+        paired = is_letter | letter[i:i + n]
+        single, triple = here[is_letter], (pair | after << np.uint64(42))[is_letter]
+        own1 = own[is_letter]
+        yield (np.concatenate([own1, own[paired], own1]),
+               (np.concatenate([single * _GOLD + _ORDER[0], pair[paired] * _GOLD + _ORDER[1], triple * _GOLD + _ORDER[2]])
+                >> np.uint64(64 - BUCKET_BITS)).astype(np.int64))
+
+
+def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, counts) of one text."""
+    parts = [b for _, b in gram_buckets([text])]
+    return np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.int64),) * 2
 
 
 @dataclass
@@ -92,42 +96,27 @@ class Model:
         x = counts / counts.sum() * self.idf[buckets] * SCALE
         return x @ self.weights[buckets] + self.bias
 
-    def predictor(self):
-        """text -> (language, probability)."""
-        table = self.idf[:, None] * self.weights * SCALE
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """(languages, probabilities) of the texts."""
         k = len(self.languages)
-        cache: dict[str, int] = {}
-        rows = np.zeros((_CACHE, k + 1))  # what a known word adds: logits and its number of n-grams
-        grams = _Grams()
-
-        def amounts(words: list[str]) -> np.ndarray:
-            each = [word_buckets(w, grams) for w in words]
-            n = np.array([len(b) for b in each])
-            flat = np.fromiter(itertools.chain.from_iterable(each), np.int64, n.sum())
-            return np.column_stack([np.add.reduceat(table[flat], np.cumsum(n) - n, axis=0), n])
-
-        def predict(text: str | None) -> tuple[str, float]:
-            words = words_of(text)
-            if not words or not k:
-                return UNDETERMINED, 0.0
-            new = [w for w in set(words) if w not in cache]
-            if len(cache) + len(new) > _CACHE:
-                cache.clear()
-                new = list(set(words))
-            if len(new) > _CACHE:  # a text with more different words than are kept
-                total = sum(amounts(words[s:s + _CACHE]).sum(axis=0) for s in range(0, len(words), _CACHE))
-            else:
-                if new:
-                    at = len(cache)
-                    rows[at:at + len(new)] = amounts(new)
-                    cache.update(zip(new, range(at, at + len(new)), strict=True))
-                total = rows[np.fromiter(map(cache.__getitem__, words), np.int64, len(words))].sum(axis=0)
-            z = (total[:k] / total[k] + self.bias) / self.temperature
-            p = np.exp(z - z.max())
-            best = int(np.argmax(p))
-            return self.languages[best], float(p[best] / p.sum())
-
-        return predict
+        found, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+        if not k:
+            return found, score
+        table = (self.idf[:, None] * self.weights * SCALE).T.copy()
+        for s, e in slices_by_size(texts, _CHARS):
+            total, n = np.zeros((e - s, k)), np.zeros(e - s)
+            for own, bucket in gram_buckets(texts[s:e]):
+                n += np.bincount(own, minlength=e - s)
+                for j in range(k):
+                    total[:, j] += np.bincount(own, table[j][bucket], e - s)
+            some = np.flatnonzero(n)
+            z = (total[some] / n[some, None] + self.bias) / self.temperature
+            p = _softmax(z)
+            best = p.argmax(axis=1)
+            score[s + some] = p[np.arange(len(some)), best]
+            for i, j in zip((s + some).tolist(), best.tolist(), strict=True):
+                found[i] = self.languages[j]
+        return found, score
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -188,14 +177,16 @@ def document_frequencies(docs: DataFrame, text_col: str) -> tuple[int, np.ndarra
     Spark; at most one number per bucket reaches the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, n, df = _Words(), 0, np.zeros(BUCKETS, np.int64)
+        n, df, seen = 0, np.zeros(BUCKETS, np.int64), np.zeros((_TEXTS, BUCKETS), bool)
         for b in batches:
-            for t in b.column(0).to_pylist():
-                own = set(words_of(t))
-                n += 1
-                if own:
-                    idx = words.buckets(own)
-                    df[idx] = df[idx] + 1  # once per bucket, however often it stands in idx
+            texts = b.column(0).to_pylist()
+            n += len(texts)
+            for s, e in slices_by_size(texts, _CHARS):
+                for i in range(s, e, _TEXTS):
+                    seen[:] = False
+                    for own, bucket in gram_buckets(texts[i:min(i + _TEXTS, e)]):
+                        seen[own, bucket] = True
+                    df += np.count_nonzero(seen, axis=0)
         some = np.flatnonzero(df)
         yield pa.record_batch([pa.array(np.append(some, -1)), pa.array(np.append(df[some], n))], ["bucket", "n"])
 
@@ -228,12 +219,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     sample = known.where(place < share[F.col("lang")]).select("id", "lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
         for b in batches:
-            out = []
-            for t in b.column(2).to_pylist():
-                u, c = np.unique(words.buckets(words_of(t)), return_counts=True)
-                out.append(np.stack([u, c]).astype(np.uint32).tobytes())
+            out = [np.stack(gram_counts(t)).astype(np.uint32).tobytes() for t in b.column(2).to_pylist()]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(out, pa.binary())], ["id", "lang", "grams"])
 
     got = sample.mapInArrow(run, "id long, lang string, grams binary").toArrow().sort_by([("id", "ascending"), ("grams", "ascending")])
@@ -257,10 +244,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predict = known.value.predictor()
         for b in batches:
-            got = [predict(t) for t in b.column(2).to_pylist()]
-            yield pa.record_batch([b.column(0), b.column(1), pa.array([x for x, _ in got], pa.string()), pa.array([p for _, p in got], pa.float64())],
+            lang, score = known.value.predict(b.column(2).to_pylist())
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(score)],
                                   ["id", "held_out", "lang_pred", "score"])
 
     out = docs.select(F.col(id_col).cast("long").alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text")) \
@@ -272,11 +258,9 @@ def in_known_language(docs: DataFrame, model: Model, text_col: str = "text", lea
     """The rows of ``docs`` with a determined language of probability ``least`` or more."""
     known = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
-    made: list = []
 
     def keep(b: pa.RecordBatch) -> pa.Array:
-        if not made:
-            made.append(known.value.predictor())
-        return pa.array([lang != UNDETERMINED and p >= least for lang, p in map(made[0], b.column(at).to_pylist())])
+        lang, score = known.value.predict(b.column(at).to_pylist())
+        return pa.array([x != UNDETERMINED and p >= least for x, p in zip(lang, score.tolist(), strict=True)])
 
     return filter_batches(docs, keep)

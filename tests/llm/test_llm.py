@@ -150,15 +150,35 @@ def test_language_held_out_and_edges(spark):
     assert sorted(r.doc_id for r in lang.in_known_language(docs, m).collect()) == [0, 4]
 
 
-def test_language_word_sums_equal_the_feature_formula():
+def test_language_n_grams_and_sums_equal_the_feature_formula(monkeypatch):
+    texts = ["One two two three", "é", "", None, "ab " * 500, "long" * 100, "a1b_c\n\nd", "İstanbul ǅ 中文"]
+
+    def brute(text):
+        w = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split(" ")
+        return sum(len(x) + len(x) + 1 + len(x) for x in w if x), {(f" {x} ")[i:i + k] for x in w if x for k in (2, 3) for i in range(len(x) + 3 - k)} \
+            | {c for x in w for c in x}
+
+    for places in (1 << 19, 7):
+        monkeypatch.setattr(lang, "_PLACES", places)
+        for text in texts:
+            u, c = lang.gram_counts(text)
+            n, kinds = brute(text)
+            assert c.sum() == n and 0.9 * len(kinds) <= len(u) <= len(kinds)
+        own = np.concatenate([o for o, _ in lang.gram_buckets(texts)])
+        assert np.bincount(own, minlength=len(texts)).tolist() == [brute(t)[0] for t in texts]
+    assert set(lang.gram_counts("ab")[0]).isdisjoint(lang.gram_counts("cd")[0])
     rng = np.random.default_rng(2)
     m = lang.Model(["a", "b"], rng.random(lang.BUCKETS) + 1, rng.normal(size=(lang.BUCKETS, 2)), np.array([0.1, -0.1]), 0.7)
-    w, predict = lang._Words(), m.predictor()
-    for text in ("One two two three", "é", "ab " * 500, "long" * 100):
-        u, c = np.unique(w.buckets(lang.words_of(text)), return_counts=True)
+    found, score = m.predict(texts)
+    for text, name, own in zip(texts, found, score, strict=True):
+        u, c = lang.gram_counts(text)
+        if not len(u):
+            assert (name, own) == ("und", 0.0)
+            continue
         z = m.logits(u, c.astype(float)) / 0.7
         p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
-        assert predict(text)[1] == pytest.approx(p.max())
+        assert own == pytest.approx(p.max()) and name == "ab"[int(p.argmax())]
+        assert m.predict([text]) == ([name], [own])  # whatever texts are beside it
 
 
 # --- 3 -------------------------------------------------------------------------------------
