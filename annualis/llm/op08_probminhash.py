@@ -10,8 +10,8 @@ Registers are cut into bands; documents that agree in a whole band share a bucke
 bucket links are verified exactly (J_P of the real counts >= threshold):
 
 1. every member against the bucket's smallest member (a star, linear in the bucket);
-2. where a bucket still spans several components: its members against a few heads of other
-   components (linear again);
+2. where a bucket still spans several components: its members against a few heads, one of each
+   other component a member meets (linear again);
 3. where it spans several even then, the members outside its largest component (the strays)
    against each other and against that component, in blocks of bounded size spread over the
    tasks; a stray meets a component once, however many buckets they share.
@@ -313,8 +313,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         spread = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(HEADS))
         heads = members.groupBy("bucket", spread.alias("_")).agg(F.min(F.struct("node", "component")).alias("head"))
-        stars = members.join(heads, "bucket").where("component <> head.component") \
-            .select(F.col("node").alias("a"), F.col("head.node").alias("b")).distinct()
+        # one head of each other component a node meets, however many buckets they share
+        more = members.join(heads, "bucket").where("component <> head.component") \
+            .groupBy(F.col("node").alias("a"), F.col("head.component").alias("_")).agg(F.min("head.node").alias("b"))
+        stars = more.select("a", "b").join(stars, ["a", "b"], "left_anti")
         links = links.unionAll(_linked_pairs(stars, text, threshold, width, block))
         found = connected_components(links)
     members = written(_open_members(shared, found), "open")
