@@ -47,3 +47,32 @@ def vector_literal(a, decimals: int = 6) -> Column:
 
 def parse_vector_literal(s) -> Column:
     return F.from_json(_c(s), "array<float>")
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once: inside lambdas Spark would compute an expression
+    again for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def hashed_embedding(tokens, dim: int = 64) -> Column:
+    """Bag-of-words vector of a token array: counts per bucket (four hex digits of md5, modulo
+    ``dim``), scaled to length one; no token gives the zero vector."""
+    buckets = F.transform(_c(tokens), lambda t: F.conv(F.substring(F.md5(t), 1, 4), 16, 10).cast("int") % dim)
+    places = F.sequence(F.lit(0), F.lit(dim - 1))
+
+    def scaled(counts: Column) -> Column:
+        norm = F.sqrt(F.aggregate(counts, F.lit(0).cast("long"), lambda s, n: s + n * n).cast("double"))
+        return _let(norm, lambda x: F.transform(counts, lambda n: F.when(x > 0, n.cast("double") / x).otherwise(F.lit(0.0))))
+
+    return _let(buckets, lambda bs: _let(F.transform(places, lambda i: F.size(F.filter(bs, lambda b: b == i))), scaled))
+
+
+def hashed_embedding_sql(tokens: str, dim: int = 64) -> str:
+    """DuckDB twin of :func:`hashed_embedding`."""
+    digit = lambda j: f"(instr('0123456789abcdef', substr(md5(t), {j}, 1)) - 1)"
+    bucket = f"({digit(1)} * 4096 + {digit(2)} * 256 + {digit(3)} * 16 + {digit(4)}) % {dim}"
+    counts = f"list_transform(range({dim}), lambda i: len(list_filter(bs, lambda b: b = i)))"
+    return (f"(SELECT CASE WHEN list_sum(cs) > 0 THEN list_transform(cs, lambda n: CAST(n AS DOUBLE) / "
+            f"sqrt(CAST(list_sum(list_transform(cs, lambda m: m * m)) AS DOUBLE))) ELSE list_transform(cs, lambda n: 0.0) END "
+            f"FROM (SELECT {counts} AS cs FROM (SELECT list_transform({tokens}, lambda t: {bucket}) AS bs)))")

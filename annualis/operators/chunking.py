@@ -2,20 +2,19 @@
 
 Chunking is a per-row generator (``posexplode`` of window starts): documents are
 spread over tasks by the scan, so a 20,000-word filing costs one task a few ms and no
-shuffle.  Global numbering needs each document's chunk count prefix-summed in
-document order; :func:`global_offsets` does that without a single-partition window:
-range buckets from approximate quantiles, per-bucket totals (tiny), a running sum
-inside each bucket.
+shuffle.  Global numbering needs each document's chunk count summed over the documents before
+it, in catalog order (:func:`annualis.operators.prefix.prefix_sums`): only positions and counts
+are shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annualis import config as C
 from annualis.functions import text as TX
+from annualis.operators.prefix import prefix_sums
 
 
 def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -33,53 +32,44 @@ def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def global_offsets(df: DataFrame, order_col: str, count_col: str, buckets: int = 64,
-                   out_col: str = "offset") -> DataFrame:
-    """Exclusive prefix sum of ``count_col`` in ``order_col`` order (order values unique).
+def document_offsets(docs: DataFrame, text_col: str = "text", order: list[str] | None = None,
+                     size: int = C.CHUNK_TOKENS, overlap: int = C.CHUNK_OVERLAP, keep: list[str] | None = None) -> DataFrame:
+    """(order columns, kept columns, n_chunks, offset): the number of windows of all documents before
+    each one in the order of ``order`` (default ``doc_id``): a catalog's position, a file and line,
+    any orderable columns that tell the documents apart.  Only these narrow rows are shuffled."""
+    order = order or ["doc_id"]
+    n = F.size(TX.window_starts(F.size(TX.word_pieces(text_col)), size, overlap))
+    counts = docs.select(*order, *[c for c in (keep or []) if c not in order], n.cast("long").alias("n_chunks"))
+    return prefix_sums(counts, order, {"offset": "n_chunks"})
 
-    Range buckets come from ``percentile_approx`` (a scalar subquery, no driver round
-    trip); bucket totals are at most ``buckets`` rows, so their running sum is free, and
-    the running sum inside a bucket is a window partitioned by bucket.
-    """
-    qs = [i / buckets for i in range(1, buckets)]
-    bounds = df.select(F.percentile_approx(F.col(order_col), F.array(*[F.lit(q) for q in qs]), 10000).alias("b")).scalar()
-    # bucket = number of bounds below the value (position of the value among the sorted bounds)
-    x = F.col(order_col).cast("double")
-    with_b = df.withColumn("_bucket", F.array_position(F.sort_array(F.concat(bounds.cast("array<double>"), F.array(x))), x) - 1)
-    totals = with_b.groupBy("_bucket").agg(F.sum(count_col).alias("_tot"))
-    # running sum over the (at most `buckets`) bucket totals as one small array
-    arr = totals.agg(F.sort_array(F.collect_list(F.struct("_bucket", "_tot"))).alias("a"))
-    base = arr.select(F.inline(F.transform("a", lambda x, i: F.struct(
-        x["_bucket"].alias("_bucket"),
-        F.aggregate(F.slice("a", 1, i), F.lit(0).cast("long"), lambda acc, y: acc + y["_tot"]).alias("_base")))))
-    win = Window.partitionBy("_bucket").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
-    inner = with_b.withColumn("_in", F.coalesce(F.sum(count_col).over(win), F.lit(0)))
-    return (inner.join(F.broadcast(base), "_bucket", "inner")  # bounded: one row per bucket
-            .withColumn(out_col, (F.col("_base") + F.col("_in")).cast("long"))
-            .drop("_bucket", "_base", "_in"))
+
+def chunk_ids(docs: DataFrame, text_col: str = "text", order: list[str] | None = None, keep: list[str] | None = None,
+              out_col: str = "chunk_id", **window) -> DataFrame:
+    """TXT-7 without the texts: (order and kept columns, chunk_no, ``out_col``) of every window."""
+    order = order or ["doc_id"]
+    offs = document_offsets(docs, text_col, order, keep=keep, **window).where("n_chunks > 0")
+    rows = offs.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_chunks") - 1)).alias("_no"))
+    return rows.select(*dict.fromkeys([*order, *(keep or [])]), F.col("_no").cast("int").alias("chunk_no"),
+                       (F.col("offset") + F.col("_no")).alias(out_col))
 
 
 def chunk_and_number(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      size: int = C.CHUNK_TOKENS, overlap: int = C.CHUNK_OVERLAP, keep: list[str] | None = None,
-                     out_col: str = "chunk_id") -> DataFrame:
-    """TXT-5/6/7 in one pass over the corpus: tokenise each document once (persisted),
-    prefix-sum the per-document window counts in place (one shuffle of the document rows
-    by range bucket, no join back), then emit the windows with global ids."""
-    keep = keep or []
-    toks = docs.select(id_col, *keep, TX.word_pieces(text_col).alias("_toks"))
-    toks = toks.withColumn("_starts", TX.window_starts(F.size("_toks"), size, overlap))
-    toks = toks.withColumn("_n", F.size("_starts")).persist(StorageLevel.MEMORY_AND_DISK)
-    with_off = global_offsets(toks, id_col, "_n", out_col="_off")
-    rows = with_off.select(id_col, *keep, "_toks", "_off", F.posexplode("_starts").alias("chunk_no", "_start"))
-    win = F.slice("_toks", F.col("_start") + 1, size)
-    return rows.select(id_col, *keep, F.col("chunk_no").cast("int").alias("chunk_no"),
-                       (F.col("_off") + F.col("chunk_no")).alias(out_col),
-                       F.size(win).alias("n_tokens"), TX.detokenize(win).alias("text"))
+                     out_col: str = "chunk_id", order: list[str] | None = None) -> DataFrame:
+    """TXT-5/6/7: the windows of every document with ids that run on over the documents in the
+    order of ``order`` (default the id; must not be null and tell the documents apart)."""
+    order = order or [id_col]
+    wanted = list(dict.fromkeys([id_col, *(keep or [])]))
+    offs = document_offsets(docs, text_col, order, size, overlap).where("n_chunks > 0").select(*order, "offset")
+    chunks = chunk_documents(docs.join(offs, order), id_col, text_col, size, overlap, keep=list(dict.fromkeys([*(keep or []), "offset"])))
+    return chunks.select(*wanted, "chunk_no", (F.col("offset") + F.col("chunk_no")).alias(out_col), "n_tokens", "text")
 
 
 def number_chunks(chunks: DataFrame, id_col: str = "doc_id", pos_col: str = "chunk_no",
-                  out_col: str = "chunk_id") -> DataFrame:
-    """TXT-7: global chunk id = chunks of all earlier documents + position in the document."""
-    counts = chunks.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n"))
-    offs = global_offsets(counts, id_col, "_n").select(id_col, "offset")
+                  out_col: str = "chunk_id", order: list[str] | None = None) -> DataFrame:
+    """TXT-7: global chunk id = chunks of all earlier documents + position in the document, for
+    chunks that are there already."""
+    order = order or [id_col]
+    counts = chunks.groupBy(*dict.fromkeys([*order, id_col])).agg(F.count(F.lit(1)).alias("_n"))
+    offs = prefix_sums(counts, order, {"offset": "_n"}).select(id_col, "offset")
     return chunks.join(offs, id_col, "inner").withColumn(out_col, F.col("offset") + F.col(pos_col)).drop("offset")

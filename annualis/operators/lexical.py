@@ -1,20 +1,20 @@
 """BM25 ranking (JN-3) and dense + BM25 hybrid fusion (JN-4).
 
 BM25 at scale: document frequencies come from one pass over ``array_distinct`` of each
-document's tokens, aggregated map-side by term; postings are built only for the terms
-that occur in the (bounded, broadcast) question vocabulary, so a corpus never shuffles
-its full token stream.  A hot term (one that appears in a third of all documents) is
+document's tokens, aggregated map-side by term and checkpointed; postings are built only for the
+terms that occur in the (bounded, broadcast) question vocabulary, so a corpus never shuffles
+its full token stream and nothing stays cached.  A hot term (one that appears in a third of all documents) is
 handled by the broadcast join and the partial aggregations: no task holds a term's
 whole posting list.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from annualis.functions import text as TX
+from annualis.session import cut_lineage
 
 MAX_QUERY_TERMS = 1_000_000
 
@@ -29,13 +29,15 @@ def bm25_topk(docs: DataFrame, questions: DataFrame, k: int | None = 5, doc_key:
     documents sharing at least one term with the question are ranked.  ``k=None`` gives
     the scores of all of them without a rank.
     """
-    # The tokenised corpus feeds four aggregates (N, avgdl, df, postings): tokenise once.
-    # MEMORY_AND_DISK spills at scale; a lost executor recomputes its blocks from lineage.
-    tok = docs.select(F.col(doc_key).alias("_d"), tokenizer(doc_text).alias("_t")).persist(StorageLevel.MEMORY_AND_DISK)
-    n_docs = tok.select(F.count(F.lit(1))).scalar()
-    avgdl = tok.select(F.avg(F.size("_t"))).scalar()
-    dfs = (tok.select(F.explode(F.array_distinct("_t")).alias("term"))
-           .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    # One pass gives the number of documents and their length (the row without a term) and the
+    # document frequency of every term; a second one, over the question's terms only, the postings.
+    tok = docs.select(F.col(doc_key).alias("_d"), tokenizer(doc_text).alias("_t"))
+    held = F.concat(F.array(F.lit(None).cast("string")), F.array_distinct("_t"))
+    stats = cut_lineage(tok.select(F.size("_t").alias("dl"), F.explode(held).alias("term"))
+                        .groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("dl")))
+    whole = stats.where("term is null")
+    n_docs, avgdl = whole.select("df").scalar(), whole.select(F.col("dl") / F.col("df")).scalar()
+    dfs = stats.where("term is not null")
     raw_idf = F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     mean_idf = dfs.select(F.avg(raw_idf)).scalar()
     idf = dfs.select("term", F.when(raw_idf < 0, eps * mean_idf).otherwise(raw_idf).alias("idf"))

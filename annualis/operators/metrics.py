@@ -4,7 +4,7 @@ Per-item metrics are row expressions over the prediction, the gold answer and th
 item's (at most five) contexts.  Summaries are single ``agg`` calls (partial
 aggregation, one tiny final row).  Exact percentiles are computed without putting a
 group's values into one buffer: distinct values with their counts get an exclusive
-prefix sum (range buckets, see :func:`annualis.operators.chunking.global_offsets`),
+prefix sum (range buckets, see :func:`annualis.operators.prefix.prefix_sums`),
 and the interpolated ranks are picked with a conditional aggregate.
 """
 
@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annualis.functions import text as TX
-from annualis.operators.chunking import global_offsets
+from annualis.operators.prefix import prefix_sums
+from annualis.session import cut_lineage
 
 
 def context_metrics(contexts: Column, gold: Column) -> dict[str, Column]:
@@ -80,28 +81,32 @@ def by_category(items: DataFrame, cat_col: str = "category") -> DataFrame:
     ).withColumn("bucket", F.when(F.col("_all") == 1, F.lit("overall")).otherwise(F.col(cat_col))).drop(cat_col, "_all")
 
 
-def exact_percentiles(df: DataFrame, col: str, qs: list[float]) -> dict[float, Column]:
-    """AGG-2: linear-interpolation percentiles (q in [0, 1]) as scalar Columns, empty -> 0.
-
-    ``pos = q (n - 1)``, value = x[lo] + (x[hi] - x[lo]) * frac over the sorted values.
-    Each value is a scalar subquery over the prefix-summed distinct values: no task ever
-    holds all values of the group."""
-    vals = df.select(F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    counts = vals.groupBy("_v").agg(F.count(F.lit(1)).alias("_c"))
-    offs = global_offsets(counts, "_v", "_c", out_col="_o")
-    n = vals.select(F.count(F.lit(1))).scalar()
-    out = {}
-    for q in qs:
-        pos = (n - 1) * F.lit(q)
-        lo = F.floor(pos)
-        hi = F.least(lo + 1, n - 1)
-        picked = offs.agg(
-            F.max(F.when((F.col("_o") <= lo) & (lo < F.col("_o") + F.col("_c")), F.col("_v"))).alias("lo"),
-            F.max(F.when((F.col("_o") <= hi) & (hi < F.col("_o") + F.col("_c")), F.col("_v"))).alias("hi"))
-        frac = pos - F.floor(pos)
-        v = picked.select(F.col("lo") + (F.col("hi") - F.col("lo")) * frac).scalar()
-        out[q] = F.coalesce(v, F.lit(0.0))
-    return out
+def value_counts(df: DataFrame, col: str, groups: dict[str, Column]) -> DataFrame:
+    """(v, n_<group>...) per distinct value, null included: how many rows of each group have it."""
+    return df.groupBy(F.col(col).cast("double").alias("v")).agg(
+        *[F.count_if(F.coalesce(cond, F.lit(False))).alias(f"n_{g}") for g, cond in groups.items()])
+
+
+def exact_percentiles(counts: DataFrame, groups: list[str], qs: list[float]) -> DataFrame:
+    """AGG-2: one row with ``<group>_p<q>`` (q in percent): linear-interpolation percentiles of the
+    groups of :func:`value_counts`, empty -> 0.
+
+    ``pos = q (n - 1)``, value = x[lo] + (x[hi] - x[lo]) * frac over the sorted values.  All
+    groups and ranks come from one running sum over the distinct values and one aggregate."""
+    placed = prefix_sums(counts.where("v is not null"), ["v"], {f"o_{g}": f"n_{g}" for g in groups})
+    totals = counts.where("v is not null").agg(*[F.coalesce(F.sum(f"n_{g}"), F.lit(0)).alias(g) for g in groups]) \
+        .select(F.struct(*groups)).scalar()
+    placed = placed.withColumn("_n", totals)
+    picks = []
+    for g in groups:
+        for q in qs:
+            pos = (F.col(f"_n.{g}") - 1) * F.lit(q)
+            lo = F.floor(pos)
+            hi = F.least(lo + 1, F.col(f"_n.{g}") - 1)
+            at = lambda r: F.max(F.when((F.col(f"o_{g}") <= r) & (r < F.col(f"o_{g}") + F.col(f"n_{g}")), F.col("v")))  # noqa: B023, E731
+            x, y, frac = at(lo), at(hi), F.max(pos - lo)
+            picks.append(F.coalesce(x + (y - x) * frac, F.lit(0.0)).alias(f"{g}_p{q * 100:g}"))
+    return placed.agg(*picks)
 
 
 def round_half_binary(c, digits: int = 2) -> Column:
@@ -115,24 +120,27 @@ def round_half_binary(c, digits: int = 2) -> Column:
 
 def latency_summary(requests: DataFrame, latency_col: str = "latency_ms", ok_col: str = "ok") -> DataFrame:
     """AGG-3 + AGG-4 + FLT-7: request counts and mean / p50 / p95 / max latency over all
-    requests and over successful ones only, rounded to 2 decimals (empty -> 0)."""
-    lat = F.col(latency_col).cast("double")
-    ok = F.col(ok_col)
-    p_all = exact_percentiles(requests, latency_col, [0.5, 0.95])
-    p_ok = exact_percentiles(requests.filter(ok), latency_col, [0.5, 0.95])
-    agg = requests.agg(
-        F.count(F.lit(1)).alias("n_items"),
-        F.coalesce(F.sum(F.when(~ok, 1).otherwise(0)), F.lit(0)).cast("long").alias("failed_requests"),
-        F.coalesce(F.avg(lat), F.lit(0.0)).alias("_m_all"), F.coalesce(F.max(lat), F.lit(0.0)).alias("_x_all"),
-        F.coalesce(F.avg(F.when(ok, lat)), F.lit(0.0)).alias("_m_ok"), F.coalesce(F.max(F.when(ok, lat)), F.lit(0.0)).alias("_x_ok"),
-    )
+    requests and over successful ones only, rounded to 2 decimals (empty -> 0).  A request whose
+    ``ok`` is null has failed; one without a latency counts, but not for the latencies.
+
+    The requests are scanned once, into counts per distinct latency."""
+    counts = cut_lineage(value_counts(requests, latency_col, {"all": F.lit(True), "ok": F.col(ok_col)}))
+    pct = exact_percentiles(counts, ["all", "ok"], [0.5, 0.95])
+    some = lambda c: F.coalesce(c, F.lit(0.0))
+    mean = lambda n: some(F.sum(F.col("v") * F.col(n)) / F.nullif(F.sum(F.when(F.col("v").isNotNull(), F.col(n))), F.lit(0)))
+    agg = counts.agg(
+        F.coalesce(F.sum("n_all"), F.lit(0)).alias("n_items"),
+        F.coalesce(F.sum(F.col("n_all") - F.col("n_ok")), F.lit(0)).alias("failed_requests"),
+        mean("n_all").alias("_m_all"), some(F.max("v")).alias("_x_all"),
+        mean("n_ok").alias("_m_ok"), some(F.max(F.when(F.col("n_ok") > 0, F.col("v")))).alias("_x_ok"),
+    ).withColumn("_p", pct.select(F.struct("*")).scalar())
     r2 = round_half_binary
     return agg.select(
         "n_items", "failed_requests",
         F.when(F.col("n_items") > 0, (F.col("n_items") - F.col("failed_requests")) / F.col("n_items"))
         .otherwise(F.lit(0.0)).alias("request_success_rate"),
-        r2("_m_all").alias("all_mean_ms"), r2(p_all[0.5]).alias("all_p50_ms"),
-        r2(p_all[0.95]).alias("all_p95_ms"), r2("_x_all").alias("all_max_ms"),
-        r2("_m_ok").alias("ok_mean_ms"), r2(p_ok[0.5]).alias("ok_p50_ms"),
-        r2(p_ok[0.95]).alias("ok_p95_ms"), r2("_x_ok").alias("ok_max_ms"),
+        r2("_m_all").alias("all_mean_ms"), r2("_p.all_p50").alias("all_p50_ms"),
+        r2("_p.all_p95").alias("all_p95_ms"), r2("_x_all").alias("all_max_ms"),
+        r2("_m_ok").alias("ok_mean_ms"), r2("_p.ok_p50").alias("ok_p50_ms"),
+        r2("_p.ok_p95").alias("ok_p95_ms"), r2("_x_ok").alias("ok_max_ms"),
     )

@@ -1,43 +1,21 @@
-"""Dense retrieval: exact kNN with pre-filter (JN-1), post-filter with fallback (JN-2),
-and approximate kNN over k-means buckets (JN-5).
+"""Dense retrieval: exact kNN with pre-filter (JN-1, FLT-1) and post-filter with fallback (JN-2).
 
-Shape at scale: the questions side is small and bounded (checked before it is
-broadcast); the chunk side is scanned once.  Each chunk meets only the questions
-whose metadata filter it satisfies, through one broadcast hash join on the filter
-values (a null question filter is a wildcard key); only questions without any filter
-see every chunk, which exact search requires.  The per-question top-k is ``row_number() <= k`` which Spark plans as a partial
-``WindowGroupLimit`` before the shuffle, so at most k rows per question and map task
-cross the network, however many chunks a single question touches.
+The questions are the small side: blocks of them, bounded in bytes, travel to the tasks, which
+scan the chunk vectors once per block and compare by matrix products
+(:mod:`annualis.operators.blocked_knn`).  A filtered question meets only the rows that hold its
+values.  Every task keeps the first k rows per question, then ``row_number() <= k`` ranks them,
+so neither the number of chunks nor a hot filter value grows what is shuffled.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from annualis.functions.vectors import cosine_distance, l2_distance
-from annualis.session import bounded_broadcast
-
-MAX_BROADCAST_QUESTIONS = 100_000
-WILDCARD = "\u0000*"
-
-
-def _distance(metric: str):
-    if metric == "l2":
-        return l2_distance
-    if metric == "cosine":
-        return cosine_distance
-    raise ValueError(f"unknown metric {metric!r}")
-
+from annualis.operators.blocked_knn import nearest
+from annualis.session import DEFAULT_BROADCAST_ROWS
 
-def _top_k(scored: DataFrame, k: int, key: str, order_cols, rank_col: str = "rank", per_row_k: str | None = None) -> DataFrame:
-    """The first ``k`` rows of each key; with ``per_row_k`` the first that many of each, where
-    ``k`` is the largest of these (a literal, so that Spark limits before the shuffle)."""
-    w = Window.partitionBy(key).orderBy(*order_cols)
-    out = scored.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= F.lit(k))
-    return out if per_row_k is None else out.filter(F.col(rank_col) <= F.col(per_row_k))
+DEFAULT_K = 5
 
 
 def _given(c: str):
@@ -50,7 +28,7 @@ def knn_prefilter(
     chunks: DataFrame,
     questions: DataFrame,
     filters: list[tuple[str, str]],
-    k: int = 5,
+    k: int = DEFAULT_K,
     metric: str = "l2",
     chunk_key: str = "chunk_id",
     chunk_vec: str = "embedding",
@@ -63,74 +41,60 @@ def knn_prefilter(
 
     ``filters`` pairs a question column with a chunk column; a null question value means
     "no filter" for that column.  ``q_top_k`` names a question column with its own k, as large
-    as asked for (not positive: 5), which takes the place of ``k``.  Returns (q_key, chunk_key, dist, rank) plus ``keep``
-    chunk columns.  Ties are broken by the chunk key.
+    as asked for (not positive or null: 5), which takes the place of ``k``.  Returns (q_key, chunk_key,
+    dist, rank) plus ``keep`` chunk columns, which are read for the hits only.  Ties are broken by
+    the chunk key.  Chunks without a key or a finite vector of the question's length are no hits;
+    a chunk with a null metadata value passes no filter on it.
     """
-    keep = keep or []
-    k = k if k > 0 else 5
-    if q_top_k is not None:
-        questions = questions.withColumn(q_top_k, F.when(F.col(q_top_k) > 0, F.col(q_top_k)).otherwise(F.lit(5)))
-        k = questions.agg(F.max(q_top_k)).first()[0] or k
-    qcols = [q_key, q_vec] + ([q_top_k] if q_top_k else []) + [qc for qc, _ in filters]
-    q = questions.select(*qcols)
-    c = chunks.select(chunk_key, chunk_vec, *{cc for _, cc in filters}, *[x for x in keep if x not in {cc for _, cc in filters}])
-    dist = _distance(metric)
-
-    # One scan, one equi-join: every chunk emits its filter key under each wildcard
-    # pattern (2^m small rows for m filter columns, m <= 2 in practice), a question's key
-    # uses the wildcard where its filter is null.  Chunks with a null metadata value get
-    # a null key, which never matches a filtered question (SQL equality).
-    wild = F.lit(WILDCARD)
-    patterns = []
-    for r in range(len(filters) + 1):
-        for active in combinations(range(len(filters)), r):
-            patterns.append(F.struct(*[
-                (F.col(cc).cast("string") if i in active else wild).alias(f"_k{i}")
-                for i, (_, cc) in enumerate(filters)
-            ] + [F.lit("").alias("_k")]))
-    ck = c.select("*", F.inline(F.array(*patterns)))
-    qk = q.select("*", *[F.coalesce(F.col(qc).cast("string"), wild).alias(f"_k{i}") for i, (qc, _) in enumerate(filters)],
-                  F.lit("").alias("_k"))
-    qs = bounded_broadcast(qk, MAX_BROADCAST_QUESTIONS)
-    keys = [f"_k{i}" for i in range(len(filters))] + ["_k"]
-    joined = ck.alias("c").join(qs.alias("q"), [F.col(f"c.{x}") == F.col(f"q.{x}") for x in keys], "inner")
-    scored = joined.select(
-        F.col(f"q.{q_key}").alias(q_key),
-        F.col(f"c.{chunk_key}").alias(chunk_key),
-        dist(F.col(f"c.{chunk_vec}"), F.col(f"q.{q_vec}")).alias("dist"),
-        *([F.col(f"q.{q_top_k}").alias(q_top_k)] if q_top_k else []),
-        *[F.col(f"c.{x}").alias(x) for x in keep],
-    )
-    out = _top_k(scored, k, q_key, [F.col("dist"), F.col(chunk_key)], per_row_k=q_top_k)
-    return out.drop(q_top_k) if q_top_k else out
+    if metric not in ("l2", "cosine"):
+        raise ValueError(f"unknown metric {metric!r}")
+    k = k if k > 0 else DEFAULT_K
+    own = F.lit(k) if q_top_k is None else F.when(F.col(q_top_k) > 0, F.col(q_top_k)).otherwise(F.lit(DEFAULT_K))
+    asked = questions.withColumn("_k", own)
+    near, most = nearest(chunks, asked, filters, metric, chunk_key, chunk_vec, q_key, q_vec, "_k")
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy(q_key).orderBy("dist", chunk_key)))
+    if q_top_k is None:
+        ranked = ranked.where(F.col("rank") <= k)
+    else:
+        ranked = ranked.join(asked.select(q_key, "_k"), q_key).where(F.col("rank") <= F.col("_k")).drop("_k")
+    out = ranked.select(q_key, chunk_key, "dist", "rank")
+    if not keep:
+        return out
+    # the hits are bounded by the questions' k, the chunks are not
+    hits = F.broadcast(out) if most <= DEFAULT_BROADCAST_ROWS else out
+    return chunks.select(chunk_key, *[c for c in dict.fromkeys(keep) if c != chunk_key]).join(hits, chunk_key) \
+        .select(q_key, chunk_key, "dist", "rank", *keep)
 
 
 def knn_postfilter(
     chunks: DataFrame,
     questions: DataFrame,
     filters: list[tuple[str, str]],
-    k: int = 5,
+    k: int = DEFAULT_K,
     max_k: int = 20,
     metric: str = "l2",
     chunk_key: str = "chunk_id",
     chunk_vec: str = "embedding",
     q_key: str = "qid",
     q_vec: str = "q_vec",
+    q_top_k: str | None = None,
     keep: list[str] | None = None,
 ) -> DataFrame:
     """Nearest min(max_k, k) over *all* chunks, then the filter; if a filtered question
-    keeps nothing, it gets the unfiltered hits back.  Null, empty and zero filter values
+    keeps nothing, it gets the unfiltered hits back.  ``q_top_k`` names a question column with its
+    own k (not positive or null: 5).  Null, empty and zero filter values
     filter nothing.  ``rank`` is 0-based and taken
     before filtering."""
     keep = keep or []
-    kk = min(max_k, k if k else 5)
     fcols = [cc for _, cc in filters]
-    q = questions.select(q_key, q_vec, *[qc for qc, _ in filters])
+    asked = F.lit(k if k > 0 else DEFAULT_K) if q_top_k is None else \
+        F.when(F.col(q_top_k) > 0, F.col(q_top_k)).otherwise(F.lit(DEFAULT_K))
+    q = questions.select(q_key, q_vec, *[qc for qc, _ in filters], F.least(F.lit(max_k), asked).alias("_top"))
     unfiltered = knn_prefilter(
-        chunks, q.select(q_key, q_vec), [], k=kk, metric=metric, chunk_key=chunk_key,
-        chunk_vec=chunk_vec, q_key=q_key, q_vec=q_vec, keep=list(dict.fromkeys(fcols + keep)),
+        chunks, q, [], metric=metric, chunk_key=chunk_key, chunk_vec=chunk_vec, q_key=q_key, q_vec=q_vec,
+        q_top_k="_top", keep=list(dict.fromkeys(fcols + keep)),
     )
-    ranked = unfiltered.join(bounded_broadcast(q.drop(q_vec), MAX_BROADCAST_QUESTIONS), q_key, "inner")
+    ranked = unfiltered.join(q.drop(q_vec, "_top"), q_key, "inner")
     match = F.lit(True)
     any_filter = F.lit(False)
     for qc, cc in filters:

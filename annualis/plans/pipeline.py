@@ -1,5 +1,5 @@
 """The question -> contexts composition used by the extraction and selection queries
-(SURVEY 3.3): rank all filings per category question (BM25), prefer the question's
+(SURVEY 3.3): score all filings per category question (BM25), prefer the question's
 company, put category-matching contexts first, keep 5.
 
 Spark and DuckDB versions are written side by side so the oracle follows the same rules.
@@ -7,86 +7,62 @@ Spark and DuckDB versions are written side by side so the oracle follows the sam
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from annualis import config as C
 from annualis.operators import extract as EX
 from annualis.operators import lexical as LX
-from annualis.operators import rank as R
 from annualis.plans.q_retrieval import bm25_sql
-from annualis.session import cut_lineage, session_key
+from annualis.session import cut_lineage
 from annualis.sources.tables import FILINGS_V_SQL, Q_V_SQL, filings, questions
 
-#: Cut of the DuckDB twin's pool; the Spark form ranks all filings.
-POOL = 10_000
 TOP_CONTEXTS = 5
+#: Filings a question is given before the rerank, at most.
+RERANK_K = 400
 
 
-def category_ranks(spark: SparkSession, fil: DataFrame) -> DataFrame:
-    """BM25 rank of every filing that shares a term with a category question: (category,
-    doc_id, in_rank).  Ranks are numbered inside range partitions, behind the counts of the
-    partitions before, so no task holds a category."""
+def scored_filings(spark: SparkSession, sf: str) -> DataFrame:
+    """Every filing that shares a term with a category question, with its company and both category
+    predicates, without texts: (category, doc_id, score rounded to 1e-6, doc_company, _cat_regex,
+    _cat_sub).  Narrow rows, checkpointed: a query reads them several times."""
+    fil = filings(spark, sf)
     scores = LX.bm25_topk(fil, C.questions_df(spark), k=None, doc_key="doc_id", q_key="category", q_text="question")
-    # the order of bm25_topk
-    ranged = scores.select("category", "doc_id", (-F.round("score", 6)).alias("_s")).repartitionByRange("category", "_s", "doc_id")
-    ranged = cut_lineage(ranged.withColumn("_part", F.spark_partition_id()))
-    before = Window.partitionBy("category").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    base = (ranged.groupBy("category", "_part").agg(F.count(F.lit(1)).alias("_n"))
-            .select("category", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base")))
-    inside = F.row_number().over(Window.partitionBy("category", "_part").orderBy("_s", "doc_id"))
-    # bounded: a row per partition and category
-    return (ranged.withColumn("_in", inside).join(F.broadcast(base), ["category", "_part"], "inner")
-            .select("category", "doc_id", (F.col("_base") + F.col("_in")).alias("in_rank")))
-
-
-_RANKED: dict[tuple[str, str], DataFrame] = {}
-
-
-def ranked_filings(spark: SparkSession, sf: str) -> DataFrame:
-    """The ranked filings of each category with their company and both category predicates,
-    without texts: (category, doc_id, in_rank, doc_company, _cat_regex, _cat_sub).
-
-    Persisted and memoised per (application, input) and shared by every branch of every
-    query.  The memo holds the DataFrame itself: plans with scalar subqueries do not match
-    the cache by plan equality."""
-    key = (session_key(spark), sf)
-    if key not in _RANKED:
-        fil = filings(spark, sf)
-        t = F.col("text")
-        _RANKED[key] = (category_ranks(spark, fil).join(fil.select("doc_id", F.col("company").alias("doc_company"), "text"), "doc_id", "inner")
-                        .withColumn("_cat_regex", EX.category_match(t, F.col("category")))
-                        .withColumn("_cat_sub", EX.category_match_substring(t, F.col("category")))
-                        .drop("text").persist(StorageLevel.MEMORY_AND_DISK))
-    return _RANKED[key]
+    t = F.col("text")
+    flags = fil.select("doc_id", F.col("company").alias("doc_company"), F.explode(F.array(*map(F.lit, C.QUESTIONS))).alias("category"), "text")
+    flags = flags.select("doc_id", "doc_company", "category", EX.category_match(t, F.col("category")).alias("_cat_regex"),
+                         EX.category_match_substring(t, F.col("category")).alias("_cat_sub"))
+    scores = scores.select("category", "doc_id", F.round("score", 6).alias("score"))
+    return cut_lineage(scores.join(flags, ["category", "doc_id"], "inner"))
 
 
 def question_contexts(spark: SparkSession, sf: str, stage: str = "top", qv: DataFrame | None = None,
-                      priority: str = "regex", with_text: bool = True) -> DataFrame:
-    """(qid, category, company, year, doc_id, ctx_rank 0-based, text, in_rank) per question.
+                      priority: str = "regex", with_text: bool = True, scored: DataFrame | None = None) -> DataFrame:
+    """(qid, category, company, year, doc_id, ctx_rank 0-based, text) per question.
 
     ``qv`` defaults to the q_v question table; ``priority`` is the category predicate used
     to put contexts first: ``regex`` (FLT-4, evaluation) or ``substring`` (FLT-5, training).
+    Stage ``prefer`` stops before that and gives the first ``RERANK_K`` by score.
     A question sees its company's filings, or all of its category if the company has none
-    (WIN-7).  The first ``TOP_CONTEXTS`` are therefore found once per (category, company)
-    and once per category, and meet the questions by key; texts are joined back at the end.
-    """
+    (WIN-7).  The first ones are therefore found once per (category, company) and once per
+    category, straight from the scores (``row_number() <= k``, limited before the shuffle), and meet
+    the questions by key; texts are joined back at the end."""
     fil = filings(spark, sf)
     qv = questions(spark, fil) if qv is None else qv
-    ranked = ranked_filings(spark, sf)
-    meta = ranked.select("category", "doc_id", "in_rank", "doc_company",
-                         F.col("_cat_regex" if priority == "regex" else "_cat_sub").alias("_is_cat"))
-    if stage == "prefer":
-        own = rest = meta.drop("_is_cat")
-    else:
-        def first(key: str, df: DataFrame) -> DataFrame:
-            pr = R.priority_top(df, key, F.col("_is_cat"), "in_rank", ["doc_id"], n=TOP_CONTEXTS)
-            return pr.select("category", "doc_id", "in_rank", "doc_company", (F.col("prio_rank") - 1).cast("int").alias("ctx_rank"))
-
-        own = first("_key", meta.where("doc_company is not null").withColumn("_key", F.struct("category", "doc_company")))
-        rest = F.broadcast(first("category", meta))  # bounded: TOP_CONTEXTS rows a category
-    known = ranked.select("category", F.col("doc_company").alias("company")).distinct()
+    scored = scored_filings(spark, sf) if scored is None else scored
+    order = [F.col("score").desc(), F.col("doc_id")]
+    if stage != "prefer":
+        order.insert(0, F.col("_cat_regex" if priority == "regex" else "_cat_sub").desc())
+    most = RERANK_K if stage == "prefer" else TOP_CONTEXTS
+
+    def first(keys: list[str], df: DataFrame) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        top = df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
+        return top.select("category", "doc_id", "doc_company", (F.col("_n") - 1).cast("int").alias("ctx_rank"))
+
+    own = first(["category", "doc_company"], scored.where("doc_company is not null"))
+    rest = F.broadcast(first(["category"], scored))  # bounded: ``most`` rows a category
+    known = scored.select("category", F.col("doc_company").alias("company")).distinct()
     out = (qv.join(own.withColumn("company", F.col("doc_company")), ["category", "company"], "inner")
            .unionByName(qv.join(known, ["category", "company"], "left_anti").join(rest, "category", "inner")))
     if not with_text:
@@ -95,11 +71,11 @@ def question_contexts(spark: SparkSession, sf: str, stage: str = "top", qv: Data
 
 
 def question_candidates(spark: SparkSession, sf: str, qv: DataFrame | None = None, priority: str = "regex",
-                        keep: list[str] | None = None) -> DataFrame:
+                        keep: list[str] | None = None, scored: DataFrame | None = None) -> DataFrame:
     """Candidates (EXT-4) of every question's contexts.  Extraction depends only on the
     context text and the category, so it runs once per (category, document) that is a
     context and the question keys are joined to it."""
-    keys = question_contexts(spark, sf, qv=qv, priority=priority, with_text=False)
+    keys = question_contexts(spark, sf, qv=qv, priority=priority, with_text=False, scored=scored)
     keys = keys.select("qid", "category", "doc_id", "ctx_rank", *(keep or []))
     used = keys.select("category", "doc_id").distinct().join(filings(spark, sf).select("doc_id", "text"), "doc_id", "inner")
     c = EX.extract_candidates(used.select("category", "doc_id", "text", F.lit(0).alias("_r")),
@@ -130,14 +106,16 @@ def contexts_sql(qsrc: str = "q_v", priority: str = "regex") -> str:
     """CTE chain ending in ``ctx`` (and ``pref``); ``qsrc`` is a CTE with
     (qid, category, company, year); it must be defined by the caller unless it is q_v."""
     pred = category_match_sql if priority == "regex" else substring_match_sql
-    return f"""{bm25_sql('filings_v', 'doc_id', 'text', 'cats', 'category', 'question', POOL, prefix='p')},
-pool AS (SELECT qid AS category, doc_id, rn AS in_rank FROM p_top),
-cand AS (SELECT q.qid, q.category, q.company, q.year, p.doc_id, p.in_rank, f.company AS doc_company, f.text
+    return f"""{bm25_sql('filings_v', 'doc_id', 'text', 'cats', 'category', 'question', None, prefix='p')},
+pool AS (SELECT qid AS category, doc_id, round(score, 6) AS score FROM p_sc),
+cand AS (SELECT q.qid, q.category, q.company, q.year, p.doc_id, p.score, f.company AS doc_company, f.text
   FROM {qsrc} q JOIN pool p ON p.category = q.category JOIN filings_v f ON f.doc_id = p.doc_id),
-pref AS (SELECT * FROM (SELECT *, max(CASE WHEN doc_company = company THEN 1 ELSE 0 END) OVER (PARTITION BY qid) AS anyc
+pall AS (SELECT * FROM (SELECT *, max(CASE WHEN doc_company = company THEN 1 ELSE 0 END) OVER (PARTITION BY qid) AS anyc
   FROM cand) WHERE doc_company = company OR anyc = 0),
-prio AS (SELECT *, {pred('text', 'category')} AS is_cat FROM pref),
-ctx AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY is_cat DESC, in_rank) - 1 AS INTEGER)
+pref AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) - 1 AS INTEGER) AS pref_rank
+  FROM pall) WHERE pref_rank < {RERANK_K}),
+prio AS (SELECT *, {pred('text', 'category')} AS is_cat FROM pall),
+ctx AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY is_cat DESC, score DESC, doc_id) - 1 AS INTEGER)
   AS ctx_rank FROM prio) WHERE ctx_rank < {TOP_CONTEXTS})"""
 
 

@@ -150,10 +150,11 @@ def driver_lookup(spark, sf):
 
 
 @register("prefer_company", f"""{CONTEXTS_SQL}
-SELECT qid, doc_id, CAST(in_rank AS INTEGER) AS in_rank FROM pref""")
+SELECT qid, doc_id, pref_rank FROM pref""")
 def prefer_company(spark, sf):
-    """WIN-7: the category pool (BM25 top 40) restricted to the question's company when it has any."""
-    return question_contexts(spark, sf, stage="prefer").select("qid", "doc_id", F.col("in_rank").cast("int").alias("in_rank"))
+    """WIN-7: the filings of the question's company when it has any, else of its category, by BM25: the
+    400 that go to the rerank."""
+    return question_contexts(spark, sf, stage="prefer").select("qid", "doc_id", F.col("ctx_rank").alias("pref_rank"))
 
 
 @register("category_priority", f"""{CONTEXTS_SQL}

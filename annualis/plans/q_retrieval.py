@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from annualis.functions import text as TX
+from annualis.functions.vectors import hashed_embedding, hashed_embedding_sql
 from annualis.operators import rank as R
 from annualis.operators import retrieve as RT
-from annualis.plans.inputs import (VECTOR_CHUNKS_SQL, VECTOR_QUESTIONS_SQL, vector_chunks,
-                                   vector_questions)
+from annualis.plans.inputs import (FILING_VECTORS_SQL, VECTOR_CHUNKS_SQL, VECTOR_QUESTIONS_SQL, filing_questions,
+                                   filing_vectors, vector_chunks, vector_questions)
 from annualis.plans.registry import register
 
 _SCORED_SQL = f"""WITH {VECTOR_CHUNKS_SQL},
@@ -46,6 +48,38 @@ def knn_postfilter_fallback(spark, sf):
     return out.select("qid", "chunk_id", F.round("dist", 6).alias("dist"), F.col("rank").cast("int").alias("rank"))
 
 
+_FILING_SCORED_SQL = """scored AS (
+  SELECT q.*, c.chunk_id, c.company, c.year, list_distance(CAST(c.embedding AS DOUBLE[]), CAST(q.q_vec AS DOUBLE[])) AS dist
+  FROM chunks c JOIN qs q ON {on}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, chunk_id) AS rn FROM scored)"""
+
+
+@register("knn_company_year", f"""WITH {FILING_VECTORS_SQL},
+{_FILING_SCORED_SQL.format(on="(f_company IS NULL OR f_company = company) AND (f_year IS NULL OR f_year = year)")}
+SELECT qid, chunk_id, round(dist, 6) AS dist, CAST(rn AS INTEGER) AS rank FROM ranked WHERE rn <= top_k""")
+def knn_company_year(spark, sf):
+    """JN-1 + FLT-1: nearest chunks of the company and year a question asks for (both, one or
+    neither), as many as it asks for."""
+    out = RT.knn_prefilter(filing_vectors(spark, sf), filing_questions(spark, sf),
+                           [("f_company", "company"), ("f_year", "year")], q_top_k="top_k")
+    return out.select("qid", "chunk_id", F.round("dist", 6).alias("dist"), "rank")
+
+
+@register("knn_postfilter_company_year", f"""WITH {FILING_VECTORS_SQL},
+{_FILING_SCORED_SQL.format(on="true")},
+top AS (SELECT *, (f_company IS NULL OR coalesce(company = f_company, false)) AND (f_year IS NULL OR coalesce(year = f_year, false)) AS m
+        FROM ranked WHERE rn <= top_k),
+flag AS (SELECT *, max(CASE WHEN m THEN 1 ELSE 0 END) OVER (PARTITION BY qid) AS anym FROM top)
+SELECT qid, chunk_id, round(dist, 6) AS dist, CAST(rn - 1 AS INTEGER) AS rank
+FROM flag WHERE m OR (anym = 0 AND (f_company IS NOT NULL OR f_year IS NOT NULL))""")
+def knn_postfilter_company_year(spark, sf):
+    """JN-2: as many nearest chunks as each question asks for, then its company and year, falling
+    back to the unfiltered hits."""
+    out = RT.knn_postfilter(filing_vectors(spark, sf), filing_questions(spark, sf),
+                            [("f_company", "company"), ("f_year", "year")], q_top_k="top_k")
+    return out.select("qid", "chunk_id", F.round("dist", 6).alias("dist"), F.col("rank").cast("int").alias("rank"))
+
+
 _PACK_SQL = f"""{_SCORED_SQL},
 scored AS (
   SELECT q.qid, c.chunk_id, c.text, list_distance(CAST(c.embedding AS DOUBLE[]), CAST(q.q_vec AS DOUBLE[])) AS dist
@@ -88,9 +122,13 @@ from annualis.plans.q_text import answer_tokens_sql  # noqa: E402
 from annualis.sources.tables import table  # noqa: E402
 
 
-def bm25_sql(corpus: str, key: str, text: str, qsrc: str, qkey: str, qtext: str, k: int, prefix: str = "b") -> str:
-    """DuckDB CTEs for BM25 top-k; the last CTE ``{prefix}_top`` has (qid, {key}, score, rn)."""
+def bm25_sql(corpus: str, key: str, text: str, qsrc: str, qkey: str, qtext: str, k: int | None, prefix: str = "b") -> str:
+    """DuckDB CTEs for BM25: ``{prefix}_sc`` has (qid, {key}, score); the last CTE ``{prefix}_top``
+    the first k with rn (none if k is)."""
     p = prefix
+    top = "" if k is None else f""",
+{p}_top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, {key}) AS rn FROM {p}_sc)
+  WHERE rn <= {k})"""
     return f"""{p}_dt AS (SELECT {key} AS d, {answer_tokens_sql(text)} AS t FROM {corpus}),
 {p}_stats AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM {p}_dt),
 {p}_dfs AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(t)) AS term FROM {p}_dt) GROUP BY term),
@@ -102,9 +140,7 @@ def bm25_sql(corpus: str, key: str, text: str, qsrc: str, qkey: str, qtext: str,
   (SELECT d, len(t) AS dl, unnest(t) AS term FROM {p}_dt) WHERE term IN (SELECT term FROM {p}_qt) GROUP BY d, dl, term),
 {p}_sc AS (SELECT qt.qid, po.d AS {key},
   sum(qt.qtf * i.idf * po.tf * 2.5 / (po.tf + 1.5 * (1 - 0.75 + 0.75 * po.dl / (SELECT avgdl FROM {p}_stats)))) AS score
-  FROM {p}_post po JOIN {p}_qt qt USING (term) JOIN {p}_idf i USING (term) GROUP BY 1, 2),
-{p}_top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, {key}) AS rn FROM {p}_sc)
-  WHERE rn <= {k})"""
+  FROM {p}_post po JOIN {p}_qt qt USING (term) JOIN {p}_idf i USING (term) GROUP BY 1, 2){top}"""
 
 
 @register("bm25_topk", f"""WITH {bm25_sql('documents', 'doc_id', 'text', 'benchmark', 'item_id', 'text', 5)}
@@ -147,7 +183,7 @@ fr AS (SELECT *, 0.85 * dense_n + 0.15 * bm25_n AS score,
 SELECT qid, chunk_id, round(dense_n, 6) AS dense_n, round(bm25_n, 6) AS bm25_n, round(score, 6) AS score,
   CAST(rn AS INTEGER) AS rank FROM fr WHERE rn <= 5""")
 def hybrid_topk(spark, sf):
-    """JN-4: dense pool (filtered kNN, 20) + BM25 pool (20), min-max fused with alpha 0.85, top 5."""
+    """JN-4: dense pool (filtered kNN) + BM25 pool of 400 each, min-max fused with alpha 0.85, top 5."""
     chunks = vector_chunks(spark, sf)
     qs = _hybrid_questions(spark, sf)
     dense = RT.knn_prefilter(chunks, qs, [("f_label", "label")], k=HYBRID_POOL)
@@ -161,15 +197,25 @@ def hybrid_topk(spark, sf):
 from annualis.operators import ann as AN  # noqa: E402
 
 
-@register("ann_recall")
+@register("ann_topk", f"""{_SCORED_SQL},
+scored AS (
+  SELECT q.qid, c.chunk_id, list_distance(CAST(c.embedding AS DOUBLE[]), CAST(q.q_vec AS DOUBLE[])) AS dist FROM chunks c CROSS JOIN qs q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, chunk_id) AS rn FROM scored)
+SELECT qid, chunk_id, round(dist, 6) AS dist, CAST(rn AS INTEGER) AS rank FROM ranked WHERE rn <= 5""")
+def ann_topk(spark, sf):
+    """JN-5: nearest 5 chunks over k-means lists, probed until the triangle inequality excludes the rest."""
+    out = AN.ann_topk(vector_chunks(spark, sf).select("chunk_id", "embedding"), vector_questions(spark, sf).select("qid", "q_vec"), k=5)
+    return out.select("qid", "chunk_id", F.round("dist", 6).alias("dist"), "rank")
+
+
+@register("ann_recall", f"""WITH {VECTOR_QUESTIONS_SQL} SELECT qid, CAST(1.0 AS DOUBLE) AS recall_at_5 FROM qs""")
 def ann_recall(spark, sf):
-    """JN-5: IVF-style kNN (16 k-means lists, 4 probes) vs exact kNN: recall@5 per question
-    (k-means is iterative: rows-only check)."""
+    """JN-5: recall@5 per question of the list search against exact kNN over many small lists: 1 by its bound."""
     chunks = vector_chunks(spark, sf).select("chunk_id", "embedding")
     qs = vector_questions(spark, sf).select("qid", "q_vec")
-    approx = AN.ann_topk(chunks, qs, k=5, lists=16, nprobe=4).select("qid", "chunk_id")
+    found = AN.ann_topk(chunks, qs, k=5, lists=16).select("qid", "chunk_id")
     exact = RT.knn_prefilter(chunks, qs, [], k=5).select("qid", "chunk_id")
-    found = exact.join(approx.withColumn("_f", F.lit(1)), ["qid", "chunk_id"], "left")
+    found = exact.join(found.withColumn("_f", F.lit(1)), ["qid", "chunk_id"], "left")
     return found.groupBy("qid").agg((F.sum(F.coalesce("_f", F.lit(0))) / F.count(F.lit(1))).alias("recall_at_5"))
 
 
@@ -181,3 +227,12 @@ def embed_hashed(spark, sf):
     e = AN.embed_column(d, "text", dim=64)
     from annualis.functions.vectors import l2_norm
     return e.select("doc_id", F.size("embedding").alias("dim"), F.round(l2_norm("embedding"), 4).alias("norm"))
+
+
+@register("embed_chunks", f"""WITH t AS (SELECT doc_id, {answer_tokens_sql('text')} AS words FROM documents),
+e AS (SELECT doc_id, {hashed_embedding_sql('words')} AS v FROM t)
+SELECT doc_id, list_transform(v, lambda x: round(x, 6)) AS embedding FROM e""")
+def embed_chunks(spark, sf):
+    """TXT-8: the native embedder (word counts per md5 bucket, length one) over every document."""
+    d = table(spark, sf, "documents", ["doc_id", "text"])
+    return d.select("doc_id", F.transform(hashed_embedding(TX.answer_tokens("text")), lambda x: F.round(x, 6)).alias("embedding"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from annualis import config as C
 from annualis.plans.registry import register
 from annualis.sources.tables import table
 from annualis.streaming import requests as RQ
@@ -26,6 +27,31 @@ def request_windows(spark, sf):
     return RQ.window_stats(request_log(spark, sf))
 
 
+#: Rank error that the quantile check allows; three times the sketch's own.
+RANK_ERROR = 0.02
+
+
+@register("request_quantiles", """WITH e AS (SELECT *, date_trunc('day', ts) AS d FROM events)
+SELECT strftime(d, '%Y-%m-%d %H:%M:%S') AS window_start, event_type AS path, count(*) AS n,
+  CAST(count(*) FILTER (event_type = 'error') AS BIGINT) AS n_err, round(avg(value), 6) AS mean_ms, max(value) AS max_ms,
+  true AS p50_holds, true AS p95_holds
+FROM e GROUP BY d, event_type""")
+def request_quantiles(spark, sf):
+    """STR-2 per path: daily windows merged from hourly KLL sketches.  The quantiles are held against
+    the exact ranks of the values: as many requests below and up to them as their rank says, within
+    the sketch's error."""
+    log = request_log(spark, sf).withColumnRenamed("event_type", "path")
+    days = RQ.sketch_stats(RQ.merge_windows(RQ.window_sketches(log)))
+    at = log.select("path", F.window("ts", "1 day")["start"].alias("window_start"), "latency_ms")
+    seen = at.join(days, ["path", "window_start"])  # many requests, few windows: AQE broadcasts the windows
+    keys = [c for c in days.columns]
+    holds = lambda p, q: ((F.count_if(F.col("latency_ms") < F.col(p)) / F.count("latency_ms") <= q + RANK_ERROR)
+                          & (F.count_if(F.col("latency_ms") <= F.col(p)) / F.count("latency_ms") >= q - RANK_ERROR))
+    out = seen.groupBy(*keys).agg(holds("p50", 0.5).alias("p50_holds"), holds("p95", 0.95).alias("p95_holds"))
+    return out.select(F.date_format("window_start", RQ.TS_FMT).alias("window_start"), "path", "n", "n_err", "mean_ms", "max_ms",
+                      "p50_holds", "p95_holds")
+
+
 @register("rate_audit", """WITH m AS (SELECT user_id, 'minute' AS unit, strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') AS window_start,
   count(*) AS n FROM events GROUP BY user_id, date_trunc('minute', ts) HAVING count(*) > 1),
 s AS (SELECT user_id, 'second' AS unit, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS window_start,
@@ -43,16 +69,27 @@ def _keyed(spark, sf):
     return log.withColumn("key", RQ.request_key({"k": k, "type": F.col("event_type")}))
 
 
-@register("request_dedupe")
+DEDUPE_SQL = """WITH RECURSIVE k AS (
+  SELECT event_id, ts, 'app:' || '{namespace}' || ':' || sha1('{{' || CASE WHEN json_extract_string(props, '$.k') IS NULL THEN ''
+    ELSE '"k":' || json_extract_string(props, '$.k') || ',' END || '"type":"' || event_type || '"}}') AS key FROM events),
+m AS (
+  SELECT key, min(ts) AS ts FROM k GROUP BY key
+  UNION ALL
+  SELECT k.key, min(k.ts) FROM m JOIN k ON k.key = m.key AND k.ts > m.ts + INTERVAL 600 SECOND GROUP BY k.key),
+miss AS (SELECT min(event_id) AS event_id FROM k JOIN m ON m.key = k.key AND m.ts = k.ts GROUP BY k.key, k.ts)
+SELECT k.event_id, k.key, CAST(miss.event_id IS NULL AS INTEGER) AS hit FROM k LEFT JOIN miss USING (event_id)""".format(namespace=C.CACHE_NAMESPACE)
+
+
+@register("request_dedupe", DEDUPE_SQL)
 def request_dedupe(spark, sf):
     """STR-4: 600 s TTL cache audit keyed by SHA-1 of the canonical request JSON: hit or miss
     per request.  Skew-safe form: as-of next-miss pointers by (key, time bucket) and pointer
-    doubling, so a hot key is never one task (rows-only check; brute-force test in tests/)."""
+    doubling, so a hot key is never one task."""
     return RQ.ttl_dedupe_parallel(_keyed(spark, sf))
 
 
-@register("request_dedupe_scan")
+@register("request_dedupe_scan", DEDUPE_SQL)
 def request_dedupe_scan(spark, sf):
-    """STR-4, scan form for logs without hot keys: one shuffle by key, then a time-sorted
-    scan with O(1) state per key streamed through mapInPandas (rows-only check)."""
+    """STR-4, scan form: one shuffle by key and run (cut at pauses longer than the TTL), then a
+    time-sorted scan with O(1) state streamed through mapInPandas."""
     return RQ.ttl_dedupe(_keyed(spark, sf))

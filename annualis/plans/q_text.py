@@ -68,7 +68,23 @@ SELECT c.doc_id, c.chunk_no, CAST(off.o + c.chunk_no AS BIGINT) AS chunk_id FROM
 def chunk_ids(spark, sf):
     """TXT-7: global chunk ids in document order, distributed prefix sum."""
     docs = table(spark, sf, "documents", ["doc_id", "text"])
-    return CH.chunk_and_number(docs).select("doc_id", "chunk_no", "chunk_id")
+    return CH.chunk_ids(docs)
+
+
+@register("catalog_chunk_ids", f"""WITH {CHUNKS_SQL},
+cat AS (SELECT 'F-' || doc_id AS doc_key, doc_id, upper(source) AS company, md5(CAST(doc_id AS VARCHAR)) AS place FROM documents),
+cnt AS (SELECT doc_key, company, place, count(c.doc_id) AS n FROM cat LEFT JOIN chunks c USING (doc_id) GROUP BY ALL),
+off AS (SELECT doc_key, coalesce(sum(n) OVER (ORDER BY company NULLS FIRST, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM cnt)
+SELECT doc_key, c.chunk_no, CAST(off.o + c.chunk_no AS BIGINT) AS chunk_id, md5(c.text) AS text_md5
+FROM chunks c JOIN cat USING (doc_id) JOIN off USING (doc_key)""")
+def catalog_chunk_ids(spark, sf):
+    """TXT-5..7: windows with ids that run on in the order of a catalog that is sorted by company and
+    a text key, for documents with text ids."""
+    d = table(spark, sf, "documents", ["doc_id", "source", "text"])
+    d = d.select(F.concat(F.lit("F-"), F.col("doc_id").cast("string")).alias("doc_key"), F.coalesce(F.upper("source"), F.lit("")).alias("company"),
+                 F.md5(F.col("doc_id").cast("string")).alias("place"), "text")
+    out = CH.chunk_and_number(d, id_col="doc_key", order=["company", "place"])
+    return out.select("doc_key", "chunk_no", "chunk_id", F.md5("text").alias("text_md5"))
 
 
 def norm_answer_sql(col: str) -> str:

@@ -33,4 +33,4 @@ def load_all() -> None:
             importlib.import_module(name)
 
 
-MODULES = ["q_retrieval", "q_text", "q_extract", "q_select", "q_context", "q_metrics", "q_io", "q_streaming"]
+MODULES = ["q_retrieval", "q_text", "q_extract", "q_select", "q_scored", "q_context", "q_metrics", "q_io", "q_streaming"]

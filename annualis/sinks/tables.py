@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annualis.session import path_exists
+from annualis.operators.prefix import prefix_sums
+from annualis.session import bounded_broadcast, path_exists
 
 CATALOG_KEYS = ["doc_id", "company", "year"]
 VECTOR_COLUMNS = ["company", "year", "chunk_id", "source_doc", "text", "embedding"]
@@ -56,21 +57,44 @@ def validate_vectors(df: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
     return df.filter(ok), df.filter(~ok)
 
 
-def with_surrogate_ids(df: DataFrame, order_col: str = "chunk_id", tie_cols: list[str] | None = None) -> DataFrame:
-    """SNK-4: dense surrogate ids 1..n in (``order_col``, ``tie_cols``) order, from
-    distributed prefix sums of the per-key counts (no single-partition window)."""
-    from annualis.operators.chunking import global_offsets
+def with_surrogate_ids(df: DataFrame, order_col: str = "chunk_id", tie_cols: list[str] | None = None, first: int = 1) -> DataFrame:
+    """SNK-4: dense surrogate ids ``first``, ``first`` + 1, ... in (``order_col``, ``tie_cols``) order,
+    from running sums over range partitions (no single-partition window)."""
     ties = tie_cols or [c for c in df.columns if c != order_col]
-    counts = df.groupBy(order_col).agg(F.count(F.lit(1)).alias("_n"))
-    offs = global_offsets(counts, order_col, "_n", out_col="_off").select(order_col, "_off")
-    w = Window.partitionBy(order_col).orderBy(*ties)
-    return df.join(offs, order_col, "inner").withColumn("id", F.col("_off") + F.row_number().over(w)).drop("_off")
+    out = prefix_sums(df.withColumn("_one", F.lit(1).cast("long")), [order_col, *ties], {"_before": "_one"})
+    return out.withColumn("id", F.col("_before") + first).drop("_one", "_before")
+
+
+def _id_ranges(path: str) -> str:
+    return path.rstrip("/") + "-ids"
+
+
+def reserved_ids(spark: SparkSession, path: str) -> int:
+    """The largest id that any append to the vector table at ``path`` has reserved; 0 if none."""
+    ranges = _id_ranges(path)
+    if not path_exists(spark, ranges):
+        return 0
+    return spark.read.schema("first long, last long").json(ranges).agg(F.max("last")).first()[0] or 0
 
 
 def append_vectors(df: DataFrame, path: str, dim: int) -> DataFrame:
-    """SNK-5: append without de-duplication (a re-run doubles rows); returns rejects."""
+    """SNK-4 / SNK-5: append without de-duplication (a re-run doubles rows); returns rejects.
+
+    Rows get ids that go on after those of earlier appends, in (chunk_id, company, year, source_doc,
+    text) order.  The range is written beside the table before the rows are: an append that fails
+    leaves a gap, never an id twice.  One append at a time.  The files of a (company, year) hold
+    ascending ids and are split where a pair is large, so readers prune by folder and by id."""
+    spark = df.sparkSession
     good, bad = validate_vectors(df.select(*VECTOR_COLUMNS), dim)
-    good.write.mode("append").partitionBy("company", "year").parquet(path)
+    before = reserved_ids(spark, path)
+    ties = ["company", "year", "source_doc", "text"]
+    # the running sums checkpoint their input, so counting it here does not compute the batch twice
+    good = with_surrogate_ids(good, "chunk_id", ties, first=before + 1)
+    n = good.count()
+    if n:
+        spark.createDataFrame([(before + 1, before + n)], "first long, last long").coalesce(1).write.mode("append").json(_id_ranges(path))
+        good.select("id", *VECTOR_COLUMNS).repartitionByRange("company", "year", "id").sortWithinPartitions("company", "year", "id") \
+            .write.mode("append").partitionBy("company", "year").parquet(path)
     return bad
 
 
@@ -83,7 +107,7 @@ def delete_then_insert(old: DataFrame, batch: DataFrame, mode: str = "cross") ->
     else:
         comps = batch.select("company").distinct().withColumn("_c", F.lit(1))
         years = batch.select("year").distinct().withColumn("_y", F.lit(1))
-        marked = old.join(F.broadcast(comps), "company", "left").join(F.broadcast(years), "year", "left")
+        marked = old.join(bounded_broadcast(comps), "company", "left").join(bounded_broadcast(years), "year", "left")
         kept = marked.filter(F.col("_c").isNull() | F.col("_y").isNull()).drop("_c", "_y")
     return kept.select(*old.columns).unionByName(batch.select(*old.columns))
 
@@ -94,15 +118,20 @@ def write_eval_set(items: DataFrame, path: str) -> None:
 
 
 def write_report(summary: DataFrame, quality: DataFrame, items: DataFrame, path: str) -> None:
-    """SNK-9: one nested JSON document {summary, quality_success_only, items[]}.
-    Summary and quality are one-row aggregates; the item list is bounded by the QA set."""
+    """SNK-9: {summary, quality_success_only} as one JSON document under ``path``/summary and the
+    items as JSON lines under ``path``/items, written by as many tasks as hold them."""
     spark = summary.sparkSession
     doc = spark.range(1).select(
         summary.select(F.struct("*")).scalar().alias("summary"),
         quality.select(F.struct("*")).scalar().alias("quality_success_only"),
-        items.agg(F.collect_list(F.struct("*"))).scalar().alias("items"),
     )
-    doc.write.mode("overwrite").json(path)
+    doc.write.mode("overwrite").json(path.rstrip("/") + "/summary")
+    items.write.mode("overwrite").json(path.rstrip("/") + "/items")
+
+
+def read_report(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(summary document, items) of a written report."""
+    return spark.read.json(path.rstrip("/") + "/summary"), spark.read.json(path.rstrip("/") + "/items")
 
 
 def save_selector(model, path: str, feature_names: list[str]) -> None:

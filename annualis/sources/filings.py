@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from annualis import config as C
 from annualis.functions import text as TX
+from annualis.session import bounded_broadcast
 
 SUBMISSIONS_SCHEMA = T.StructType([
     T.StructField("cik", T.StringType()),
@@ -66,10 +67,10 @@ def read_ticker_map(spark: SparkSession, path: str) -> DataFrame:
 
 def lookup_cik(requests: DataFrame, tickers: DataFrame, col: str = "ticker") -> DataFrame:
     """SRC-2: case-insensitive ticker -> CIK zero-padded to 10; first map entry wins;
-    no match -> null.  The ticker map (~10k rows) is the broadcast side."""
+    no match -> null.  The ticker map (~10k rows) is broadcast if it is as small as that."""
     t = tickers.select(F.upper("ticker").alias("_t"), "pos", "cik_str")
     first = t.withColumn("_r", F.row_number().over(Window.partitionBy("_t").orderBy("pos"))).filter("_r = 1")
-    out = requests.join(F.broadcast(first.select("_t", "cik_str")), F.upper(F.col(col)) == F.col("_t"), "left")
+    out = requests.join(bounded_broadcast(first.select("_t", "cik_str")), F.upper(F.col(col)) == F.col("_t"), "left")
     return out.select(*requests.columns, TX.zero_pad(F.col("cik_str").cast("string")).alias("cik"))
 
 

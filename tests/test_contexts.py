@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from annualis import config as C
 from annualis.operators.lexical import bm25_topk
-from annualis.plans.pipeline import question_candidates, question_contexts
+from annualis.plans.pipeline import RERANK_K, question_candidates, question_contexts
 from annualis.sources.tables import filings
 
 
@@ -20,10 +20,10 @@ def test_companies_that_rank_low_keep_their_contexts(spark, tmpdir_path):
     ranked = {(r.category, r["rank"]): r.doc_id for r in by_rank.collect()}
     top: dict = {}
     for r in question_contexts(spark, tmpdir_path, qv=qv).collect():
-        top.setdefault(r.qid, []).append((r.ctx_rank, r.in_rank, r.doc_id, r.text.startswith(words)))
+        top.setdefault(r.qid, []).append((r.ctx_rank, r.doc_id, r.text.startswith(words)))
     for k in C.QUESTIONS:
-        assert sorted(top[f"LOW|{k}"]) == [(i, 10_051 + i, ranked[k, 10_051 + i], True) for i in range(5)]
-        assert sorted(top[f"BIG|{k}"]) == sorted(top[f"NONE|{k}"]) == [(i, 1 + i, ranked[k, 1 + i], True) for i in range(5)]
+        assert sorted(top[f"LOW|{k}"]) == [(i, ranked[k, 10_051 + i], True) for i in range(5)]
+        assert sorted(top[f"BIG|{k}"]) == sorted(top[f"NONE|{k}"]) == [(i, ranked[k, 1 + i], True) for i in range(5)]
     sizes = {r.qid: r["count"] for r in question_contexts(spark, tmpdir_path, stage="prefer", qv=qv, with_text=False).groupBy("qid").count().collect()}
-    assert all(sizes[f"LOW|{k}"] == 7 and sizes[f"BIG|{k}"] == 10_050 and sizes[f"NONE|{k}"] == 10_057 for k in C.QUESTIONS)
+    assert all(sizes[f"LOW|{k}"] == 7 and sizes[f"BIG|{k}"] == sizes[f"NONE|{k}"] == RERANK_K for k in C.QUESTIONS)
     assert {r.qid.split("|")[0] for r in question_candidates(spark, tmpdir_path, qv=qv).select("qid").distinct().collect()} == {"BIG", "LOW", "NONE"}

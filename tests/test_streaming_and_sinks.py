@@ -41,42 +41,80 @@ def test_ttl_dedupe_matches_brute_force(spark, ttl):
     assert sum(got.values()) > 0 or ttl == 600
 
 
-def test_ttl_stream_matches_batch(spark, tmpdir_path):
-    keyed = QS._keyed(spark, SF_SMALL).select("event_id", "key", "ts").orderBy("ts")
-    src = os.path.join(tmpdir_path, "src")
-    # land the log as time-ordered files (one micro-batch per file)
-    keyed.withColumn("_b", (F.col("event_id") / 250).cast("int")).write.partitionBy("_b").parquet(src)
-    stream = spark.readStream.schema("event_id long, key string, ts timestamp_ntz").option("maxFilesPerTrigger", 1) \
-        .parquet(src + "/*")
-    out = RQ.ttl_dedupe_stream(stream, ttl_s=86400)
-    q = (out.writeStream.format("memory").queryName("ttl_out").outputMode("append")
-         .option("checkpointLocation", os.path.join(tmpdir_path, "ck")).trigger(availableNow=True).start())
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@pytest.fixture()
+def rocksdb(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, ROCKS)
+    yield
+    spark.conf.set(key, before)
+
+
+def _run_stream(spark, log, parts, folder, name, **kw):
+    """The stream's rows and the state rows left at the end; ``parts`` are written as one file and
+    micro-batch each."""
+    src = os.path.join(folder, "src")
+    for i, part in enumerate(parts):
+        part.coalesce(1).write.mode("append").parquet(src)
+        for f in os.listdir(src):
+            if f.endswith(".parquet") and not f.startswith("part-in"):
+                os.rename(os.path.join(src, f), os.path.join(src, f"part-in-{i:04d}.parquet"))
+                os.utime(os.path.join(src, f"part-in-{i:04d}.parquet"), (1_000_000 + i, 1_000_000 + i))
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = (RQ.ttl_dedupe_stream(stream, **kw).writeStream.format("memory").queryName(name).outputMode("append")
+         .option("checkpointLocation", os.path.join(folder, "ck")).trigger(availableNow=True).start())
     q.awaitTermination(300)
-    got = {r.event_id: r.hit for r in spark.sql("select * from ttl_out").collect()}
-    want = {r.event_id: r.hit for r in RQ.ttl_dedupe(keyed, ttl_s=86400).collect()}
-    assert got == want
+    rows = {r.event_id: r.hit for r in spark.sql(f"select * from {name}").collect()}
+    return rows, q.lastProgress["stateOperators"][0]["numRowsTotal"]
+
 
+def test_ttl_stream_matches_batch_and_leaves_no_state(spark, tmpdir_path, rocksdb):
+    keyed = QS._keyed(spark, SF_SMALL).select("event_id", "key", F.col("ts").cast("timestamp").alias("ts"))
+    # time-ordered micro-batches, then a request without a key that is far later: it moves the watermark past all others
+    last = keyed.agg(F.max("ts").alias("m")).first()["m"]
+    end = spark.createDataFrame([(-1, None, last + pd.Timedelta(days=9))], keyed.schema)
+    cuts = sorted(r[0] for r in keyed.select(F.unix_micros("ts")).collect())
+    a, b = cuts[len(cuts) // 3], cuts[2 * len(cuts) // 3]
+    t = F.unix_micros("ts")
+    parts = [keyed.where(t < a), keyed.where((t >= a) & (t < b)), keyed.where(t >= b), end]
+    got, left = _run_stream(spark, keyed, parts, tmpdir_path, "ttl_out", ttl_s=86400, watermark="1 hour")
+    assert got.pop(-1) == 0 and left == 0
+    assert got == {r.event_id: r.hit for r in RQ.ttl_dedupe(keyed, ttl_s=86400).collect()}
 
-def test_ttl_at_expiry_is_a_hit_in_every_form(spark, tmpdir_path):
+
+def test_ttl_at_expiry_is_a_hit_in_every_form(spark, tmpdir_path, rocksdb):
     # a miss at 0, hits at 300 and exactly at 600, a miss at 601 (its twin in time a hit), a hit at 1201
-    seconds = [0, 300, 600, 601, 601, 1201, 1202]
+    start = 1_000_000  # the epoch itself is no later than a stream's first watermark
+    seconds = [start + s for s in (0, 300, 600, 601, 601, 1201, 1202)]
     want = dict(enumerate([0, 1, 1, 0, 1, 1, 0]))
     log = spark.createDataFrame([(i, "k", s) for i, s in enumerate(seconds)], "event_id long, key string, s long") \
         .select("event_id", "key", F.timestamp_seconds("s").alias("ts"))
     assert {r.event_id: r.hit for r in RQ.ttl_dedupe(log, ttl_s=600).collect()} == want
     assert {r.event_id: r.hit for r in RQ.ttl_dedupe_parallel(log, ttl_s=600).collect()} == want
-    src, key = os.path.join(tmpdir_path, "late"), "spark.sql.execution.arrow.maxRecordsPerBatch"
-    log.orderBy(F.col("ts").desc()).coalesce(1).write.parquet(src)
-    before = spark.conf.get(key)
-    spark.conf.set(key, "2")  # the key spans several Arrow batches, latest rows first
-    try:
-        q = (RQ.ttl_dedupe_stream(spark.readStream.schema(log.schema).parquet(src), ttl_s=600).writeStream
-             .format("memory").queryName("ttl_edge").outputMode("append")
-             .option("checkpointLocation", os.path.join(tmpdir_path, "ck")).trigger(availableNow=True).start())
-        q.awaitTermination(300)
-    finally:
-        spark.conf.set(key, before)
-    assert {r.event_id: r.hit for r in spark.sql("select * from ttl_edge").collect()} == want
+    # the stream gets them in two batches out of order, a late one that is dropped, and a last one
+    part = lambda ids: log.where(F.col("event_id").isin(ids))
+    far = spark.createDataFrame([(-1, None, start + 90_000)], "event_id long, key string, s long").select(
+        "event_id", "key", F.timestamp_seconds("s").alias("ts"))
+    late = spark.createDataFrame([(9, "k", start + 5)], "event_id long, key string, s long").select(
+        "event_id", "key", F.timestamp_seconds("s").alias("ts"))
+    got, left = _run_stream(spark, log, [part([5, 6, 2]), part([0, 1, 3, 4]), far, late], tmpdir_path, "ttl_edge",
+                            ttl_s=600, watermark="1 hour")
+    assert got == {**want, -1: 0} and left == 0
+
+
+def test_runs_split_a_key_at_pauses_and_keyless_requests_are_misses(spark):
+    seconds = [0, 10, 20, 31, 500, 509, 511, 10_000]
+    rows = [(i, "k", s) for i, s in enumerate(seconds)] + [(100 + i, None, 5) for i in range(3)]
+    log = spark.createDataFrame(rows, "event_id long, key string, s long").select(
+        "event_id", "key", F.timestamp_seconds("s").alias("ts"))
+    runs = RQ.with_runs(RQ._keyed_rows(log, "key", "ts", "event_id"), 10_000_000)
+    assert [r.run for r in runs.orderBy("t").collect()] == [1, 1, 1, 2, 3, 3, 3, 4]
+    want = {0: 0, 1: 1, 2: 0, 3: 0, 4: 0, 5: 1, 6: 0, 7: 0, 100: 0, 101: 0, 102: 0}
+    for form in (RQ.ttl_dedupe, RQ.ttl_dedupe_parallel):
+        assert {r.event_id: r.hit for r in form(log, ttl_s=10).collect()} == want
 
 
 def test_request_windows_stream_matches_batch(spark, tmpdir_path):
@@ -130,8 +168,23 @@ def test_vectors_contract_and_ids(spark, tmpdir_path):
     assert good.count() == 1 and bad.count() == 2
     ids = SK.with_surrogate_ids(df).orderBy("chunk_id").collect()
     assert [r.id for r in ids] == [1, 2, 3]
-    rejects = SK.append_vectors(df, os.path.join(tmpdir_path, "vec"), 2)
+    path = os.path.join(tmpdir_path, "vec")
+    rejects = SK.append_vectors(df, path, 2)
     assert rejects.count() == 2
+    more = spark.createDataFrame([(c, 2020 + i % 3, i, "d", "t", [0.1, 0.2]) for i, c in enumerate("AB" * 20)], df.schema)
+    for _ in range(2):  # a re-run doubles the rows, never an id
+        SK.append_vectors(more, path, 2)
+    SK.append_vectors(more.limit(0), path, 2)
+    got = spark.read.parquet(path)
+    assert sorted(r.id for r in got.collect()) == list(range(1, 82)) and SK.reserved_ids(spark, path) == 81
+    assert got.where("id > 41").orderBy("id").select("chunk_id").first()[0] == 0  # the third append's first chunk
+    one = got.where("company = 'B' and year = 2021")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(company" in plan and all(f"/company=B/year=2021/" in f for f in
+                                                                  {r.f for r in one.select(F.input_file_name().alias("f")).collect()})
+    for f in {r.f for r in got.select(F.input_file_name().alias("f")).collect()}:
+        ids = [r.id for r in spark.read.parquet(f).select("id").coalesce(1).collect()]
+        assert ids == sorted(ids)
 
 
 def test_report_and_selector_roundtrip(spark, tmpdir_path):
@@ -139,8 +192,9 @@ def test_report_and_selector_roundtrip(spark, tmpdir_path):
     q = spark.createDataFrame([(0.5,)], "mrr double")
     it = spark.createDataFrame([("q1", 1), ("q2", 0)], "question string, hit int")
     SK.write_report(s, q, it, os.path.join(tmpdir_path, "report"))
-    rep = spark.read.json(os.path.join(tmpdir_path, "report")).first()
-    assert rep.summary.n_items == 3 and len(rep["items"]) == 2
+    doc, items = SK.read_report(spark, os.path.join(tmpdir_path, "report"))
+    assert doc.count() == 1 and doc.first().summary.n_items == 3
+    assert sorted((r.question, r.hit) for r in items.collect()) == [("q1", 1), ("q2", 0)]
     from annualis.operators import select as SL
     rows = spark.createDataFrame([tuple(float((i * (j + 3)) % 5 == 0) for j in range(16)) + (i % 2,) for i in range(40)],
                                  ", ".join(f"{c} double" for c in SL.FEATURE_COLS) + ", label int")
