@@ -40,12 +40,13 @@ class Lists:
 
     path: str
     key: str
+    key_type: str
     centres: np.ndarray
     sizes: np.ndarray
     radii: np.ndarray
 
     def chunks(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(self.path)
+        return spark.read.schema(f"key {self.key_type}, v array<double>, away double, list int").parquet(self.path)
 
 
 def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -72,13 +73,14 @@ def build_lists(chunks: DataFrame, chunk_key: str = "chunk_id", vec: str = "embe
     from pyspark.ml.functions import array_to_vector
 
     spark = chunks.sparkSession
+    key_type = chunks.schema[chunk_key].dataType.simpleString()
     rows = chunks.select(F.col(chunk_key).alias("key"), F.col(vec).cast("array<double>").alias("v"))
     rows = rows.where(F.col("key").isNotNull() & _sound("v"))
     shapes = rows.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "dim").limit(1).collect()
     path = path or f"{checkpoint_dir(spark).rstrip('/')}/lists-{uuid.uuid4().hex}"
     if not shapes:
         rows.select("key", "v", F.lit(0).alias("list"), F.lit(0.0).alias("away")).write.partitionBy("list").parquet(path)
-        return Lists(path, chunk_key, np.zeros((0, 0)), np.zeros(0, np.int64), np.zeros(0))
+        return Lists(path, chunk_key, key_type, np.zeros((0, 0)), np.zeros(0, np.int64), np.zeros(0))
     dim, n = shapes[0]
     lists = lists or min(MOST_LISTS, max(LEAST_LISTS, math.ceil(n / LIST_SIZE)))
     rows = rows.where(F.size("v") == dim)
@@ -98,15 +100,14 @@ def build_lists(chunks: DataFrame, chunk_key: str = "chunk_id", vec: str = "embe
                 yield pa.record_batch([b.column(0), b.column(1), pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(d)), near])],
                                       ["key", "v", "list", "away"])
 
-    key_type = chunks.schema[chunk_key].dataType.simpleString()
     placed = rows.mapInArrow(assign, f"key {key_type}, v array<double>, list int, away double")
     # a list of a third of all chunks is split over several files by the range of its distances
     placed.repartitionByRange("list", "away").sortWithinPartitions("list", "away").write.partitionBy("list").parquet(path)
-    facts = spark.read.parquet(path).groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("r")).collect()
+    facts = Lists(path, chunk_key, key_type, centres, np.zeros(0), np.zeros(0)).chunks(spark).groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("r")).collect()
     sizes, radii = np.zeros(len(centres), np.int64), np.zeros(len(centres))
     for f in facts:
         sizes[f["list"]], radii[f["list"]] = f["n"], f["r"]
-    return Lists(path, chunk_key, centres, sizes, radii)
+    return Lists(path, chunk_key, key_type, centres, sizes, radii)
 
 
 def _probe(index: Lists, spark: SparkSession, block: Block, probes: list[np.ndarray], away: np.ndarray, bound: np.ndarray, metric: str) -> DataFrame:
@@ -143,7 +144,7 @@ def _probe(index: Lists, spark: SparkSession, block: Block, probes: list[np.ndar
     chunks = index.chunks(spark)
     used = sorted(int(k[0]) for k in groups)
     rows = chunks.where(F.col("list").isin(used)).select("key", "v", "list", "away")  # prunes folders
-    return rows.mapInArrow(run, f"n long, key {chunks.schema['key'].dataType.simpleString()}, dist double")
+    return rows.mapInArrow(run, f"n long, key {index.key_type}, dist double")
 
 
 def search_lists(index: Lists, questions: DataFrame, k: int = 5, q_key: str = "qid", q_vec: str = "q_vec") -> DataFrame:
@@ -151,7 +152,7 @@ def search_lists(index: Lists, questions: DataFrame, k: int = 5, q_key: str = "q
     key.  Questions are taken in blocks of bounded size; those without a finite vector of the index's
     length have no hits."""
     spark = questions.sparkSession
-    key_type = index.chunks(spark).schema["key"].dataType.simpleString()
+    key_type = index.key_type
     q_type = questions.schema[q_key].dataType.simpleString()
     out = spark.createDataFrame([], f"{q_key} {q_type}, {index.key} {key_type}, dist double")
     dim = index.centres.shape[1]
