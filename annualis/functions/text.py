@@ -36,8 +36,12 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+#: The characters of ``WS``.
+WS_CHARS = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip_ws(c) -> Column:
-    return F.regexp_replace(_c(c), f"^{WS}+|{WS}+$", "")
+    return F.btrim(_c(c), F.lit(WS_CHARS))
 
 
 def collapse_ws(c) -> Column:

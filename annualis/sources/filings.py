@@ -4,6 +4,8 @@ column expressions; per-row errors skip the row (permissive modes / try_cast).""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +13,7 @@ from pyspark.sql import types as T
 from annualis import config as C
 from annualis.functions import text as TX
 from annualis.session import bounded_broadcast
+from annualis.sources.records import pieces, json_objects, read_multiline_csv
 
 SUBMISSIONS_SCHEMA = T.StructType([
     T.StructField("cik", T.StringType()),
@@ -103,9 +106,9 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_chunks(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """SRC-5: chunk file (CSV with quoted multi-line text, or Parquet)."""
+    """SRC-5: chunk file (CSV with quoted multi-line text, read in byte ranges, or Parquet)."""
     if fmt == "csv":
-        df = (spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(path))
+        df = read_multiline_csv(spark, path)
     else:
         df = spark.read.parquet(path)
     miss = REQUIRED_CHUNKS - set(df.columns)
@@ -166,24 +169,47 @@ def corpus_records(df: DataFrame) -> DataFrame:
     return df.select(F.coalesce(text, F.lit("")).alias("text"), meta.alias("meta"))
 
 
-def _meta_map(c: Column) -> Column:
-    return F.from_json(F.to_json(c), "map<string,string>")
+def _corpus_objects(objects: DataFrame) -> DataFrame:
+    """(text, meta) of JSON objects given as text: text <- text|chunk|content|first string value, whichever is
+    not empty first; meta is the object's own, else its other fields."""
+    fields = F.from_json("text", "map<string,string>")
+    typed = F.from_json("text", "map<string,variant>")
+    strings = F.filter(F.map_values(typed), lambda v: F.schema_of_variant(v) == "STRING")
+    named = [F.nullif(fields[n], F.lit("")) for n in ("text", "chunk", "content")]
+    text = F.coalesce(*named, F.try_element_at(strings, F.lit(1)).cast("string"), F.lit(""))
+    rest = F.map_filter(fields, lambda k, _: ~k.isin("text", "chunk", "content", "meta"))
+    return objects.select(text.alias("text"), F.coalesce(F.from_json(fields["meta"], "map<string,string>"), rest).alias("meta"))
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-7: normalise a JSON corpus file to (text, meta map) rows.  Shapes:
-    {"chunks": [...], "meta": [...]} (parallel lists), {"records": [...]}, or a list /
-    lines of objects (text|chunk|content|first string field; meta given or the rest)."""
-    df = spark.read.option("multiLine", "true").json(path)
-    cols = set(df.columns)
-    if {"chunks", "meta"} <= cols:
-        z = df.select(F.inline(F.arrays_zip(F.col("chunks").alias("text"), F.col("meta").alias("meta"))))
-        return z.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), _meta_map(F.col("meta")).alias("meta"))
-    if "records" in cols:
-        df = df.select(F.inline("records"))
-    if "meta" in df.columns:
-        df = df.withColumn("meta", _meta_map(F.col("meta")))
-    return corpus_records(df)
+    """SRC-7: normalise a JSON corpus file to (text, meta map) rows.  Shapes: a list or lines of objects and
+    {"records": [...]} (text|chunk|content|first string field; meta given or the rest), read in byte
+    ranges; {"chunks": [...], "meta": [...]} (parallel lists) and [[text, meta], ...] (pairs), read a
+    file a task.  Other shapes are an error."""
+    heads = pieces(spark, path, "}").select("range", "seq", F.substring("v", 1, 1000).alias("v"))
+    first = heads.orderBy("range", "seq").limit(1).collect()
+    head = first[0]["v"].lstrip("\ufeff \t\r\n") if first else ""
+    empty = spark.createDataFrame([], "text string, meta map<string,string>")
+    if re.match(r"\[\s*\]", head):
+        return empty
+    if re.match(r"\[\s*\{", head):
+        return _corpus_objects(json_objects(spark, path, 1))
+    if re.match(r'\{\s*"records"\s*:\s*\[', head):
+        return _corpus_objects(json_objects(spark, path, 2))
+    if re.match(r"\[\s*\[", head):
+        pairs = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<array<string>>")).alias("p"))
+        meta = F.coalesce(F.from_json(F.get("p", F.lit(1)), "map<string,string>"), F.create_map().cast("map<string,string>"))
+        return pairs.select(F.coalesce(F.get("p", F.lit(0)), F.lit("")).alias("text"), meta.alias("meta"))
+    if head.startswith("{"):
+        df = spark.read.option("multiLine", "true").json(path)
+        lists = {f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)}
+        if {"chunks", "meta"} <= lists:
+            z = df.select(F.inline(F.arrays_zip(F.col("chunks").alias("text"), F.col("meta").alias("meta"))))
+            meta = F.from_json(F.to_json("meta"), "map<string,string>")
+            return z.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), meta.alias("meta"))
+        if any(isinstance(f.dataType, T.StringType) and f.name != "_corrupt_record" for f in df.schema.fields):
+            return _corpus_objects(json_objects(spark, path, 0))
+    raise ValueError(f"{path}: unknown corpus shape")
 
 
 def config_tables(spark: SparkSession) -> dict[str, DataFrame]:
