@@ -215,9 +215,10 @@ def shared_lines(a: list[int], b: list[int]) -> list[bool]:
     return out
 
 
-def main_text(lines: list[tuple[str, int, int]], shared: list[bool]) -> str:
-    """Article and open lines that the neighbour does not share and, where open, are not mere
-    links; joined by a blank line.  Open lines count if they outweigh the article."""
+def main_text(lines: list[tuple[str, int, int]], shared: list[bool], template: list[bool]) -> str:
+    """Article and open lines without those that the neighbour shares (article lines go only if they
+    are templates of the host as well) and, where open, are mere links; joined by a blank line.  Open
+    lines count if they outweigh the article."""
     def size(at: list[int]) -> int:
         return sum(len(lines[i][0]) for i in at)
 
@@ -229,7 +230,7 @@ def main_text(lines: list[tuple[str, int, int]], shared: list[bool]) -> str:
         copy = size(own(article)) < (1 - COPY) * size(article) and size(own(article + open_)) < (1 - COPY) * size(article + open_)
     else:
         copy = 2 * (size(open_) - size(own(open_))) > size(list(range(len(lines))))
-    inside, beside = (article, open_) if copy else (own(article), own(open_))
+    inside, beside = (article, open_) if copy else ([i for i in article if not (shared[i] and template[i])], own(open_))
     beside = [i for i in beside if 2 * lines[i][2] <= len(lines[i][0])]
     kept = inside if inside and size(inside) >= size(beside) else sorted(inside + beside)
     return "\n\n".join(lines[i][0] for i in kept)
@@ -270,7 +271,7 @@ def _read(pages: DataFrame, with_lines: bool) -> DataFrame:
 
 
 def nearest(pages: DataFrame) -> DataFrame:
-    """(key, other): the neighbour of every distinct page in its host's path order, by the
+    """(key, host, other): the neighbour of every distinct page in its host's path order, by the
     longest common path prefix (a tie: the preceding one); a lone page has none.
 
     ``pages`` has key, host and path.  The order is over (host, path, key)."""
@@ -294,7 +295,19 @@ def nearest(pages: DataFrame) -> DataFrame:
 
     b, a = common("before"), common("after")
     pick = F.when(a.isNull() | (b >= a), F.when(b.isNotNull(), F.col("before.key"))).otherwise(F.col("after.key"))
-    return both.select("key", pick.alias("other")).where("other is not null")
+    return both.select("key", "host", pick.alias("other")).where("other is not null")
+
+
+def host_templates(pages: DataFrame) -> DataFrame:
+    """(host, templates): hashes of the lines that half of a host's pages or more hold, of hosts with
+    two pages or more.
+
+    ``pages`` has a row per distinct page with host and hashes.  Lines are counted per host and line,
+    so no host is one task; a host's list is at most twice as long as its pages are on average."""
+    n = pages.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    lines = pages.select("host", F.explode(F.array_distinct("hashes")).alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("c"))
+    often = lines.where("c > 1").join(n.where("n > 1"), "host").where("2 * c >= n")
+    return often.groupBy("host").agg(F.collect_list("h").alias("templates"))
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -306,19 +319,21 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     ignored."""
     named = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
                          F.col(html_col).alias("html"))
-    read = written(_read(named, False).select("key", "host", "path", "hashes"), "hashes")
-    other = read.groupBy(F.col("key").alias("other")).agg(F.first("hashes").alias("beside"))
-    beside = nearest(read).join(other, "other").select("key", "beside")
+    read = _read(named, False).groupBy("key").agg(*[F.first(c).alias(c) for c in ("host", "path", "hashes")])
+    read = written(read, "hashes")
+    other = read.select(F.col("key").alias("other"), F.col("hashes").alias("beside"))
+    beside = nearest(read).join(other, "other").join(host_templates(read), "host", "left").select("key", "beside", "templates")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for packed, own, beside in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+            for packed, own, beside, templates in zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
                 shared = shared_lines(own, beside) if beside else [False] * len(own)
-                out.append(main_text(_unpack(packed), shared))
+                common = frozenset(templates or ())
+                out.append(main_text(_unpack(packed), shared, [h in common for h in own]))
             yield pa.record_batch([b.column(0), b.column(1), pa.array(out, pa.string()),
                                    pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    done = _read(named, True).join(beside, "key", "left").select("page_id", "url", "lines", "hashes", "beside") \
+    done = _read(named, True).join(beside, "key", "left").select("page_id", "url", "lines", "hashes", "beside", "templates") \
         .mapInArrow(run, "page_id long, url string, text string, n_chars long")
     return done.select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")
