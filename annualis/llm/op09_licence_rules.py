@@ -31,7 +31,8 @@ SENTENCES = {
                     "without warranties or conditions of any kind either express or implied"],
     "Apache1Ref": ["licensed under the apache license version 1.0", "licensed under the apache license version 1.1"],
     "MITRef": ["released under the mit license", "licensed under the mit license", "this work is licensed under the mit license",
-               "distributed under the mit license", "this project is licensed under the mit license", "mit license", "the mit license"],
+               "distributed under the mit license", "this project is licensed under the mit license", "the project is licensed under the mit license",
+               "this software is licensed under the mit license", "mit license", "the mit license"],
     "MITGrant": ["permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the "
                  "software to deal in the software without restriction including without limitation the rights to use copy modify merge publish "
                  "distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject "
@@ -48,8 +49,20 @@ SENTENCES = {
                 "the free software foundation either version 3 of the license or at your option any later version"],
     "GPL2Free": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published "
                  "by the free software foundation either version 2 of the license or at your option any later version"],
+    "GPL3Only": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 3 as "
+                 "published by the free software foundation"],
+    "GPL2Only": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as "
+                 "published by the free software foundation"],
+    "LGPL21Free": ["this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as "
+                   "published by the free software foundation either version 2.1 of the license or at your option any later version"],
+    "LGPL3Free": ["this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as "
+                  "published by the free software foundation either version 3 of the license or at your option any later version"],
+    "AGPL3Free": ["this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as "
+                  "published by the free software foundation either version 3 of the license or at your option any later version"],
     "GPLNoWarranty": ["this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of "
                       "merchantability or fitness for a particular purpose"],
+    "LGPLNoWarranty": ["this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of "
+                       "merchantability or fitness for a particular purpose"],
     "LGPL21Ref": ["licensed under the gnu lesser general public license version 2.1", "this work is licensed under the gnu lesser general public license version 2.1"],
     "LGPL3Ref": ["licensed under the gnu lesser general public license version 3", "this work is licensed under the gnu lesser general public license version 3"],
     "AGPL3Ref": ["licensed under the gnu affero general public license version 3", "this work is licensed under the gnu affero general public license version 3"],
@@ -80,8 +93,17 @@ SENTENCES = {
     "PublicDomain": ["released into the public domain", "this work is in the public domain"],
     "AllRights": ["all rights reserved"],
 }
+# Identifiers of the SPDX line, as written there.
+SPDX = ["MIT", "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later",
+        "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "ISC",
+        "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "Unlicense"]
+SENTENCES |= {f"SPDX-{name}": ["spdx license identifier " + name.lower().replace("-", " ")] for name in SPDX}
+# Clauses with a name in them, and the form that the table has.
+SLOTS = [(r"neither[ |]the[ |]names?[ |]of[ |].{1,100}?[ |]nor[ |]the[ |]names[ |]of[ |](?:its|their|any|the)[ |]contributors",
+          "neither the name of the copyright holder nor the names of its contributors")]
 # Ordered rules, (licence, sequence of sentence identifiers).
 RULES = [
+    *((name, [f"SPDX-{name}"]) for name in SPDX),
     ("Apache-2.0", ["Apache2Ref", "Apache2Use", "Apache2Copy", "Apache2AsIs"]),
     ("MIT", ["MITRef", "MITGrant", "MITNotice"]),
     ("MIT", ["MITGrant", "MITNotice"]),
@@ -89,6 +111,16 @@ RULES = [
     ("GPL-2.0-or-later", ["GPL2Free", "GPLNoWarranty"]),
     ("BSD-3-Clause", ["BSDRedistribute", "BSDNoEndorse"]),
     ("MPL-2.0", ["MPL2Ref", "MPL2Copy"]),
+    ("GPL-3.0-only", ["GPL3Only", "GPLNoWarranty"]),
+    ("GPL-2.0-only", ["GPL2Only", "GPLNoWarranty"]),
+    ("LGPL-2.1-or-later", ["LGPL21Free", "LGPLNoWarranty"]),
+    ("LGPL-3.0-or-later", ["LGPL3Free", "LGPLNoWarranty"]),
+    ("AGPL-3.0-or-later", ["AGPL3Free", "GPLNoWarranty"]),
+    ("GPL-3.0-only", ["GPL3Only"]),
+    ("GPL-2.0-only", ["GPL2Only"]),
+    ("LGPL-2.1-or-later", ["LGPL21Free"]),
+    ("LGPL-3.0-or-later", ["LGPL3Free"]),
+    ("AGPL-3.0-or-later", ["AGPL3Free"]),
     ("GPL-3.0-or-later", ["GPLFree"]),
     ("GPL-2.0-or-later", ["GPL2Free"]),
     ("Apache-2.0", ["Apache2Ref"]),
@@ -132,6 +164,8 @@ BREAK = r"(?im)^\W*(?:\(?(?:\d{1,2}|[a-z]|[ivx]{1,4})[.)]|(?:dnl|rem)\b)(?=\s)|[
 #: What is not kept of a sentence: everything but letters, digits and stops between them.
 NOISE = r"[^a-z0-9.]+|\.(?:[^a-z0-9]|$)"
 SEPARATOR = "|"
+#: Stands where a rule has used up identifiers; what lies on both sides of it is no sequence.
+USED = "~"
 #: Ends a piece in the normalised text.
 END = "|"
 
@@ -148,6 +182,8 @@ def sentence_ids(text: Column, known: dict[str, list[str]] = SENTENCES) -> Colum
     table = F.create_map(*[F.lit(x) for p in pairs for x in p])
     pieces = F.transform(F.split(text, BREAK), lambda s: F.trim(F.regexp_replace(F.lower(s), NOISE, " ")))
     plain = F.regexp_replace(F.array_join(F.filter(pieces, lambda s: s != ""), END), " +", " ")
+    for slot, name in SLOTS:
+        plain = F.regexp_replace(plain, slot, name)
     found = F.regexp_extract_all(plain, F.lit(sentence_pattern([s for s, _ in pairs])), 0)
     ids = F.transform(found, lambda s: table[F.translate(s, END, " ")])
     return F.when(text.rlike(WRAPPED_HINT), ids).otherwise(F.array().cast("array<string>"))
@@ -155,14 +191,15 @@ def sentence_ids(text: Column, known: dict[str, list[str]] = SENTENCES) -> Colum
 
 def licences(ids: Column, rules: list[tuple[str, list[str]]] = RULES) -> Column:
     """Licences that the identifier sequence stands for, in rule order, each once."""
-    key = lambda seq: SEPARATOR + SEPARATOR.join(seq) + SEPARATOR
+    key = lambda seq: "".join(SEPARATOR + i + SEPARATOR for i in seq)
     table = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(key(seq)).alias("seq")) for name, seq in rules])
-    start = F.struct(F.concat(F.lit(SEPARATOR), F.array_join(ids, SEPARATOR), F.lit(SEPARATOR)).alias("left"),
+    # every identifier between separators of its own, so that equal sequences side by side are all used up
+    start = F.struct(F.concat(F.lit(SEPARATOR), F.array_join(ids, SEPARATOR * 2), F.lit(SEPARATOR)).alias("left"),
                      F.array().cast("array<string>").alias("found"))
 
     def step(acc, rule):
         hit = F.contains(acc["left"], rule["seq"])
-        left = F.when(hit, F.replace(acc["left"], rule["seq"], F.lit(SEPARATOR))).otherwise(acc["left"])
+        left = F.when(hit, F.replace(acc["left"], rule["seq"], F.lit(USED))).otherwise(acc["left"])
         return F.struct(left.alias("left"), F.when(hit, F.array_union(acc["found"], F.array(rule["name"]))).otherwise(acc["found"]).alias("found"))
 
     done = F.aggregate(table, start, step, lambda a: a["found"])
@@ -184,19 +221,22 @@ def licences_sql() -> str:
     values = ", ".join(f"({quote(s)}, {quote(i)})" for i, ss in SENTENCES.items() for s in ss)
     steps, last = [], "s0"
     for n, (name, seq) in enumerate(RULES, 1):
-        key = quote(SEPARATOR + SEPARATOR.join(seq) + SEPARATOR)
-        steps.append(f"s{n} AS MATERIALIZED (SELECT n, replace(l, {key}, '|') AS l, "
+        key = quote("".join(SEPARATOR + i + SEPARATOR for i in seq))
+        steps.append(f"s{n} AS MATERIALIZED (SELECT n, replace(l, {key}, '{USED}') AS l, "
                      f"CASE WHEN contains(l, {key}) AND NOT list_contains(f, {quote(name)}) THEN list_append(f, {quote(name)}) ELSE f END AS f FROM {last})")
         last = f"s{n}"
+    slotted = "trim(regexp_replace(regexp_replace(lower(s), '[^a-z0-9.]+|\\.(?:[^a-z0-9]|$)', ' ', 'g'), ' +', ' ', 'g'))"
+    for slot, name in SLOTS:
+        slotted = f"regexp_replace({slotted}, {quote(slot)}, {quote(name)}, 'g')"
     return f"""
 WITH known(s, i) AS (VALUES {values}),
 numbered AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text FROM documents),
 cut AS (SELECT n, unnest(x) AS s, generate_subscripts(x, 1) AS k
         FROM (SELECT n, string_split_regex(text, '[.!?]+(?:\\s+|$)|[\\r\\n]+') AS x FROM numbered WHERE regexp_matches(text, {quote(HINT)}))),
-plain AS (SELECT n, k, trim(regexp_replace(regexp_replace(lower(s), '[^a-z0-9.]+|\\.(?:[^a-z0-9]|$)', ' ', 'g'), ' +', ' ', 'g')) AS s
+plain AS (SELECT n, k, {slotted} AS s
           FROM cut WHERE regexp_matches(s, {quote(HINT)})),
 ids AS (SELECT n, list(i ORDER BY k) AS i FROM plain JOIN known USING (s) GROUP BY n),
-s0 AS (SELECT n, '|' || array_to_string(i, '|') || '|' AS l, CAST([] AS VARCHAR[]) AS f FROM ids),
+s0 AS (SELECT n, '|' || array_to_string(i, '||') || '|' AS l, CAST([] AS VARCHAR[]) AS f FROM ids),
 {", ".join(steps)}
 SELECT doc_id, coalesce(array_to_string(i, ','), '') AS sentences, coalesce(array_to_string(f, ','), '') AS licences
 FROM numbered LEFT JOIN ids USING (n) LEFT JOIN {last} USING (n)"""

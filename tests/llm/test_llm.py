@@ -233,6 +233,14 @@ def test_difference_decides_inside_articles_too(spark):
     assert text[40] == "Win\n\nStory 4 begins here and goes on\n\nIt ends 4"
 
 
+def test_article_lines_of_two_neighbours_stay_unless_half_of_the_host_has_them(spark):
+    page = lambda i: f"<article><p>Follow us</p><p>Story {i} begins here and goes on for long</p><p>{'More soon' if i < 2 else f'End {i}'}</p></article>"
+    rows = [(i, f"http://h.example/a/{i}", page(i)) for i in range(8)] + [(0, "http://h.example/a/0", page(0))] * 20
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    text = {r.page_id: r.text for r in extract_main_text(df).collect()}
+    assert [text[i] for i in range(8)] == [f"Story {i} begins here and goes on for long\n\n{'More soon' if i < 2 else f'End {i}'}" for i in range(8)]
+
+
 # --- 5 -------------------------------------------------------------------------------------
 
 
@@ -451,6 +459,23 @@ def test_licence_rules(spark):
     assert got[3] == got[4] == got[5] == got[6] == ([], []) and got[7][1] == ["GPL-3.0"]
 
 
+def test_adjacent_notices_slots_and_spdx_lines(spark):
+    bsd3 = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n"
+            "3. Neither the name of {} nor the names of its contributors may be used to endorse or promote products derived from this software without "
+            "specific prior written permission.\n\n")
+    free = "This {} is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License{} as published by the Free Software Foundation{}."
+    later = "; either version {} of the License, or (at your option) any later version"
+    texts = [(bsd3.format("the copyright holder") * 2, ["BSD-3-Clause"]), (bsd3.format("Acme Ltd. and Sons"), ["BSD-3-Clause"]),
+             (bsd3.format("Acme") + bsd3.split("3. ")[0], ["BSD-3-Clause", "BSD-2-Clause"]),
+             (free.format("library", "Lesser ", "", later.format("2.1")), ["LGPL-2.1-or-later"]),
+             (free.format("program", "Affero ", "", later.format("3")), ["AGPL-3.0-or-later"]),
+             (free.format("program", "", " version 2", ""), ["GPL-2.0-only"]),
+             ("// SPDX-License-Identifier: MIT\nint x;", ["MIT"]), ("# SPDX-License-Identifier: GPL-2.0-or-later\n", ["GPL-2.0-or-later"]),
+             ("The project is licensed under the MIT License.", ["MIT"])]
+    got = {r.doc_id: r.licences for r in scan_licences(docs_of(spark, [t for t, _ in texts])).collect()}
+    assert [got[i] for i in range(len(texts))] == [x for _, x in texts]
+
+
 NOTICES = {
     "Apache-2.0": (["Apache2Ref", "Apache2Use", "Apache2Copy", "Apache2AsIs"],
                    'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
