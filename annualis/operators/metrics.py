@@ -54,11 +54,11 @@ def answer_metrics(pred: Column, gold: Column) -> dict[str, Column]:
     }
 
 
-def quality_summary(items: DataFrame) -> DataFrame:
-    """AGG-5 (+AGG-1 empty -> 0): one row of mean item metrics."""
+def quality_summary(items: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """AGG-5 (+AGG-1 empty -> 0): one row of mean item metrics, or one per group of ``by``."""
     def mean(c):
         return F.coalesce(F.avg(F.col(c).cast("double")), F.lit(0.0))
-    return items.agg(
+    return items.groupBy(*(by or [])).agg(
         F.count(F.lit(1)).alias("n_success"),
         *[mean(c).alias(c) for c in ["exact_match", "contains_match", "token_f1", "retrieval_hit",
                                       "context_hit_rate"]],
@@ -81,6 +81,12 @@ def by_category(items: DataFrame, cat_col: str = "category") -> DataFrame:
     ).withColumn("bucket", F.when(F.col("_all") == 1, F.lit("overall")).otherwise(F.col(cat_col))).drop(cat_col, "_all")
 
 
+def status_ok(code: str | Column) -> Column:
+    """FLT-7: a request succeeded if its status code is there and from 200 to 299."""
+    c = F.col(code) if isinstance(code, str) else code
+    return F.coalesce(c.between(200, 299), F.lit(False))
+
+
 def value_counts(df: DataFrame, col: str, groups: dict[str, Column]) -> DataFrame:
     """(v, n_<group>...) per distinct value, null included: how many rows of each group have it."""
     return df.groupBy(F.col(col).cast("double").alias("v")).agg(

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from annualis.functions.vectors import vector_literal
 from annualis.operators.blocked_knn import nearest
 from annualis.session import DEFAULT_BROADCAST_ROWS
 
@@ -36,6 +37,7 @@ def knn_prefilter(
     q_vec: str = "q_vec",
     q_top_k: str | None = None,
     keep: list[str] | None = None,
+    q_decimals: int | None = None,
 ) -> DataFrame:
     """Nearest ``k`` chunks per question among the chunks that pass its filters.
 
@@ -43,7 +45,8 @@ def knn_prefilter(
     "no filter" for that column.  ``q_top_k`` names a question column with its own k, as large
     as asked for (not positive or null: 5), which takes the place of ``k``.  Returns (q_key, chunk_key,
     dist, rank) plus ``keep`` chunk columns, which are read for the hits only.  Ties are broken by
-    the chunk key.  Chunks without a key or a finite vector of the question's length are no hits;
+    the chunk key.  ``q_decimals`` sends the question vectors through their text literal first (TXT-9), so
+    they are rounded as a vector store gets them.  Chunks without a key or a finite vector of the question's length are no hits;
     a chunk with a null metadata value passes no filter on it.
     """
     if metric not in ("l2", "cosine"):
@@ -51,6 +54,8 @@ def knn_prefilter(
     k = k if k > 0 else DEFAULT_K
     own = F.lit(k) if q_top_k is None else F.when(F.col(q_top_k) > 0, F.col(q_top_k)).otherwise(F.lit(DEFAULT_K))
     asked = questions.withColumn("_k", own)
+    if q_decimals is not None:
+        asked = asked.withColumn(q_vec, F.from_json(vector_literal(q_vec, q_decimals), "array<double>"))
     near, most = nearest(chunks, asked, filters, metric, chunk_key, chunk_vec, q_key, q_vec, "_k")
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy(q_key).orderBy("dist", chunk_key)))
     if q_top_k is None:

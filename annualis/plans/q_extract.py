@@ -13,6 +13,7 @@ from annualis.plans.pipeline import (CONTEXTS_SQL, category_match_sql, question_
                                      substring_match_sql)
 from annualis.plans.q_text import SENT_SQL
 from annualis.plans.registry import register
+from annualis.sources.filings import lookup_corpus
 from annualis.sources.tables import FILINGS_V_SQL, Q_V_SQL, filings, questions
 
 TOK_SQL = r"'[\p{L}\p{N}_]+|\S'"
@@ -149,6 +150,36 @@ def driver_lookup(spark, sf):
     return EX.driver_lookup(lk, fil)
 
 
+@register("driver_lookup_meta", f"""WITH {FILINGS_V_SQL},
+{Q_V_SQL},
+lk AS (SELECT qid, lower(regexp_replace(company, '^\\s+|\\s+$', '', 'g')) AS co, year AS qyr FROM q_v WHERE category = 'revenue_driver'),
+meta AS (SELECT doc_id, text, company AS m_company, CASE WHEN doc_id % 7 = 3 THEN NULL ELSE year END AS m_year FROM filings_v),
+corp AS (SELECT doc_id, lower(regexp_replace(m_company, '^\\s+|\\s+$', '', 'g')) AS co, m_year AS yr,
+  regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS text FROM meta),
+ctx AS (SELECT lk.qid, corp.doc_id, corp.text, {KW_SQL.replace('lower(text)', 'lower(corp.text)')} AS score
+  FROM corp JOIN lk ON lk.co = corp.co WHERE lk.qyr IS NULL OR corp.yr = lk.qyr),
+rk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rn FROM ctx) WHERE rn <= 8),
+pc AS (SELECT *, {_driver_answer_sql('text')} AS ans FROM rk),
+agg AS (SELECT qid, arg_min(ans, rn) FILTER (WHERE ans IS NOT NULL) AS hit_ans,
+  arg_min(doc_id, rn) FILTER (WHERE ans IS NOT NULL) AS hit_doc, arg_min(text, rn) AS best_text, arg_min(doc_id, rn) AS best_doc
+  FROM pc GROUP BY qid)
+SELECT lk.qid, coalesce(hit_ans, CASE WHEN length(best_text) > 280 THEN substring(best_text, 1, 280) || '…' ELSE best_text END, '') AS answer,
+  coalesce(hit_doc, best_doc) AS context_doc, CAST(hit_ans IS NOT NULL AS INTEGER) AS matched
+FROM lk LEFT JOIN agg ON agg.qid = lk.qid""")
+def driver_lookup_meta(spark, sf):
+    """EXT-2 + FLT-2 on a corpus of (text, meta) rows whose company stands under company, Company or ticker
+    and whose year is sometimes no integer."""
+    m = F.col("doc_id") % 3
+    pairs = lambda *kv: F.create_map(*[x for k, v in kv for x in (F.lit(k), v)])
+    year = F.when(F.col("doc_id") % 7 == 3, F.concat(F.col("year").cast("string"), F.lit(".5"))).otherwise(F.concat(F.lit(" "), F.col("year").cast("string")))
+    meta = F.when(m == 0, pairs(("company", F.col("company")), ("ticker", F.lit("none")), ("year", year))) \
+        .when(m == 1, pairs(("company", F.lit("")), ("Company", F.col("company")), ("Year", year))) \
+        .otherwise(pairs(("ticker", F.col("company")), ("year", F.lit("")), ("Year", year)))
+    fil = filings(spark, sf)
+    lk = questions(spark, fil).filter(F.col("category") == "revenue_driver").select("qid", "company", "year")
+    return EX.driver_lookup(lk, lookup_corpus(fil.select("doc_id", "text", meta.alias("meta"))))
+
+
 @register("prefer_company", f"""{CONTEXTS_SQL}
 SELECT qid, doc_id, pref_rank FROM pref""")
 def prefer_company(spark, sf):

@@ -105,10 +105,10 @@ def row_count(spark, sf):
     return per.unionByName(tot)
 
 
-@register("vector_literal")
+@register("vector_literal", """SELECT vec_id, '[' || array_to_string(list_transform(embedding, lambda x: printf('%.6f', CAST(x AS DOUBLE))), ',') || ']' AS literal,
+  CAST(len(embedding) AS INTEGER) AS dim FROM embeddings""")
 def vector_literal(spark, sf):
-    """TXT-9: vector-store literal of every embedding, 6 decimals (Java rounds halves up, C
-    prints the binary value, so ties can differ: rows-only check), and its parse back."""
+    """TXT-9: vector-store literal of every embedding, 6 decimals, and the length of its parse back."""
     e = table(spark, sf, "embeddings", ["vec_id", "embedding"])
     lit = V.vector_literal("embedding")
     return e.select("vec_id", lit.alias("literal"), F.size(V.parse_vector_literal(lit)).alias("dim"))

@@ -163,3 +163,23 @@ def metrics_by_category(spark, sf):
     """AGG-6: overall and per-category recall@5, EM, canonical EM."""
     b = M.by_category(_pred_items(spark, sf))
     return b.select("bucket", "n", *[F.round(c, 6).alias(c) for c in ["recall_at_5", "em", "em_canonical"]])
+
+
+#: A twelfth of the evaluation requests counts as failed, some of them without any status.
+STATUS_SQL = "CASE substr(md5(item_id), 1, 1) WHEN '0' THEN 503 WHEN '1' THEN NULL ELSE 200 + length(item_id) % 5 END"
+
+
+@register("metrics_success_only", f"""{ITEMS_SQL},
+st AS (SELECT *, {STATUS_SQL} AS code FROM m),
+ok AS (SELECT *, coalesce(code BETWEEN 200 AND 299, false) AS ok FROM st)
+SELECT part, count(*) AS n_success, round(coalesce(avg(exact_match), 0), 6) AS exact_match, round(coalesce(avg(token_f1), 0), 6) AS token_f1,
+  round(coalesce(avg(reciprocal_rank), 0), 6) AS mrr, round(coalesce(avg(hit_at_5), 0), 6) AS hit_at_5
+FROM (SELECT 'all' AS part, * FROM ok UNION ALL SELECT 'success_only', * FROM ok WHERE ok) GROUP BY part""")
+def metrics_success_only(spark, sf):
+    """FLT-7 + AGG-5: the quality summary over all evaluation requests and over those that succeeded by
+    their status code."""
+    code = F.expr("case substr(md5(item_id), 1, 1) when '0' then 503 when '1' then null else 200 + length(item_id) % 5 end")
+    m = _pred_items(spark, sf).withColumn("code", code)
+    m = m.withColumn("part", F.explode(F.when(M.status_ok("code"), F.array(F.lit("all"), F.lit("success_only"))).otherwise(F.array(F.lit("all")))))
+    s = M.quality_summary(m, by=["part"])
+    return s.select("part", "n_success", *[F.round(c, 6).alias(c) for c in ("exact_match", "token_f1", "mrr", "hit_at_5")])

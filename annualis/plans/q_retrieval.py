@@ -65,6 +65,19 @@ def knn_company_year(spark, sf):
     return out.select("qid", "chunk_id", F.round("dist", 6).alias("dist"), "rank")
 
 
+@register("knn_literal", f"""{_SCORED_SQL},
+scored AS (
+  SELECT q.qid, c.chunk_id, list_distance(CAST(c.embedding AS DOUBLE[]),
+    list_transform(q.q_vec, lambda x: CAST(printf('%.3f', CAST(x AS DOUBLE)) AS DOUBLE))) AS dist
+  FROM chunks c JOIN qs q ON q.f_label IS NULL OR q.f_label = c.label),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, chunk_id) AS rn FROM scored)
+SELECT qid, chunk_id, round(dist, 6) AS dist, CAST(rn AS INTEGER) AS rank FROM ranked WHERE rn <= 5""")
+def knn_literal(spark, sf):
+    """TXT-9 + JN-1: the search with question vectors as their text literals give them, here to 3 decimals."""
+    out = RT.knn_prefilter(vector_chunks(spark, sf), vector_questions(spark, sf), [("f_label", "label")], q_decimals=3)
+    return out.select("qid", "chunk_id", F.round("dist", 6).alias("dist"), "rank")
+
+
 @register("knn_postfilter_company_year", f"""WITH {FILING_VECTORS_SQL},
 {_FILING_SCORED_SQL.format(on="true")},
 top AS (SELECT *, (f_company IS NULL OR coalesce(company = f_company, false)) AND (f_year IS NULL OR coalesce(year = f_year, false)) AS m

@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 
 from annualis import config as C
 from annualis.functions import text as TX
-from annualis.session import bounded_broadcast
-from annualis.sources.records import pieces, json_objects, read_multiline_csv
+from annualis.session import bounded_broadcast, path_exists
+from annualis.sources.records import json_objects, pieces, read_multiline_csv
 
 SUBMISSIONS_SCHEMA = T.StructType([
     T.StructField("cik", T.StringType()),
@@ -212,7 +212,56 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     raise ValueError(f"{path}: unknown corpus shape")
 
 
-def config_tables(spark: SparkSession) -> dict[str, DataFrame]:
-    """SRC-10: segments, questions and patterns as small tables."""
-    return {"segments": C.segments_df(spark), "questions": C.questions_df(spark),
-            "patterns": C.driver_patterns_df(spark)}
+def lookup_corpus(corpus: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """FLT-2 input: (id, company, year, text) of corpus rows (id, text, meta map).  company is the first
+    of the meta's company, Company and ticker that is not empty; year the first of year and Year, as an
+    integer; a year that is none never equals one that is asked for (null)."""
+    def first(*names: str) -> Column:
+        return F.coalesce(*[F.nullif(F.col("meta")[n], F.lit("")) for n in names], F.lit(""))
+    year = TX.strip_ws(first("year", "Year"))
+    return corpus.select(id_col, first("company", "Company", "ticker").alias("company"),
+                         F.when(year.rlike(r"^[+-]?[0-9]+$"), year.try_cast("int")).alias("year"),
+                         F.coalesce("text", F.lit("")).alias("text"))
+
+
+#: Pattern used when a configuration names none.
+DEFAULT_DRIVER_REGEX = [r"(?:driven by|led by|due to)\s+([^.;:\n]+)"]
+
+
+def read_config(spark: SparkSession, path: str | None) -> dict:
+    """SRC-10: {"segments": {name: [words]}, "driver_regex": [patterns]} from a JSON file, or a YAML one
+    where that library is installed.  No path and a missing file are an empty configuration: no segments
+    and the default pattern.  Keywords are lower-cased."""
+    import json
+
+    raw: dict = {}
+    if path and path_exists(spark, path):
+        text = spark.read.text(path, wholetext=True).first()["value"]
+        if path.endswith((".yml", ".yaml")):
+            import yaml
+            raw = yaml.safe_load(text) or {}
+        else:
+            raw = json.loads(text or "{}")
+        if not isinstance(raw, dict):
+            raise ValueError(f"{path}: not a table of settings")
+    return {"segments": {k: [str(w).lower() for w in ws] for k, ws in (raw.get("segments") or {}).items()},
+            "driver_regex": list(raw.get("driver_regex") or DEFAULT_DRIVER_REGEX)}
+
+
+def config_tables(spark: SparkSession, path: str | None = None) -> dict[str, DataFrame]:
+    """SRC-10: segments, questions and patterns as small tables; of the built-in values, or of a
+    configuration file if one is named (the questions are always the built-in ones)."""
+    if path is None:
+        return {"segments": C.segments_df(spark), "questions": C.questions_df(spark),
+                "patterns": C.driver_patterns_df(spark)}
+    cfg = read_config(spark, path)
+    rows = [(seg, kw, i) for seg, kws in cfg["segments"].items() for i, kw in enumerate(kws)]
+    return {"segments": spark.createDataFrame(rows, "segment string, keyword string, kw_pos int"),
+            "questions": C.questions_df(spark), "patterns": C.driver_patterns_df(spark, cfg["driver_regex"])}
+
+
+def catalog_records(bundles: DataFrame, key: str = "doc_id") -> DataFrame:
+    """TXT-4: the catalog row of every bundle text: (key, company, year, text, text_chars, text_words)."""
+    text = F.coalesce("text", F.lit(""))
+    return bundles.select(key, TX.company_key("company").alias("company"), F.col("year").cast("int").alias("year"), text.alias("text"),
+                          F.length(text).alias("text_chars"), F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")).alias("text_words"))

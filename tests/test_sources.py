@@ -80,3 +80,32 @@ def test_eval_set_write(spark, tmpdir_path):
 def test_answer_after_marker(spark):
     df = spark.createDataFrame([("ctx Answer: a Answer:  azure \n",), ("no marker",)], "s string")
     assert [r[0] for r in df.select(TX.answer_after_marker(F.col("s"))).collect()] == ["azure", "no marker"]
+
+
+def test_configuration_file_missing_file_and_defaults(spark, tmpdir_path):
+    empty = SRC.read_config(spark, os.path.join(tmpdir_path, "none.json"))
+    assert empty == SRC.read_config(spark, None) == {"segments": {}, "driver_regex": SRC.DEFAULT_DRIVER_REGEX}
+    p = _write(os.path.join(tmpdir_path, "c.json"), json.dumps({"segments": {"Cloud": ["Azure", "SQL"]}}))
+    assert SRC.read_config(spark, p) == {"segments": {"Cloud": ["azure", "sql"]}, "driver_regex": SRC.DEFAULT_DRIVER_REGEX}
+    tables = SRC.config_tables(spark, p)
+    assert [tuple(r) for r in tables["segments"].orderBy("kw_pos").collect()] == [("Cloud", "azure", 0), ("Cloud", "sql", 1)]
+    assert tables["patterns"].first()["pattern"] == SRC.DEFAULT_DRIVER_REGEX[0]
+    y = _write(os.path.join(tmpdir_path, "c.yml"), "driver_regex:\n  - 'because of (.+)'\n")
+    pytest.importorskip("yaml")
+    assert SRC.read_config(spark, y)["driver_regex"] == ["because of (.+)"]
+    with pytest.raises(ValueError):
+        SRC.read_config(spark, _write(os.path.join(tmpdir_path, "d.json"), "[1]"))
+
+
+def test_lookup_corpus_aliases_and_years(spark):
+    rows = [(1, "t", {"company": "A", "Company": "B", "year": "2020"}), (2, None, {"company": "", "Company": "B", "Year": " 2021 "}),
+            (3, "t", {"ticker": "C", "year": "2021.5"}), (4, "t", {}), (5, "t", None), (6, "t", {"company": "A", "year": "99999999999"})]
+    got = SRC.lookup_corpus(spark.createDataFrame(rows, "doc_id long, text string, meta map<string,string>")).orderBy("doc_id").collect()
+    assert [(r.company, r.year, r.text) for r in got] == [("A", 2020, "t"), ("B", 2021, ""), ("C", None, "t"), ("", None, "t"), ("", None, "t"), ("A", None, "t")]
+
+
+def test_catalog_records(spark):
+    df = spark.createDataFrame([("d1", " acme ", "2020", "one  two"), ("d2", None, "x", None)], "doc_id string, company string, year string, text string")
+    df = df.withColumn("year", F.col("year").try_cast("int"))
+    got = [(r.doc_id, r.company, r.year, r.text_chars, r.text_words) for r in SRC.catalog_records(df).orderBy("doc_id").collect()]
+    assert got == [("d1", "ACME", 2020, 8, 2), ("d2", "", None, 0, 0)]
