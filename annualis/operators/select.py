@@ -173,6 +173,22 @@ def score_candidates(model, cands_with_features: DataFrame) -> DataFrame:
     return out.withColumn("p", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
+def linear_weights(model) -> tuple[list[float], float]:
+    """(weights in the order of the features, intercept) of a fitted selector: all that scoring needs."""
+    return [float(x) for x in model.coefficients], float(model.intercept)
+
+
+def score_linear(cands_with_features: DataFrame, weights: list[float], intercept: float) -> DataFrame:
+    """SEL-3 from stored weights, without a model object: ``p`` = probability of class 1, as a native
+    expression."""
+    if len(weights) != len(FEATURE_COLS):
+        raise ValueError(f"{len(weights)} weights for {len(FEATURE_COLS)} features")
+    z = F.lit(float(intercept))
+    for w, c in zip(weights, FEATURE_COLS, strict=True):
+        z = z + F.lit(float(w)) * F.col(c)
+    return cands_with_features.withColumn("p", 1.0 / (1.0 + F.exp(-z)))
+
+
 def argmax_pick(scored: DataFrame, q_key: str = "qid", p_col: str = "p") -> DataFrame:
     """WIN-10: highest probability per question, first in sequence on ties."""
     w = Window.partitionBy(q_key).orderBy(F.col(p_col).desc(), "ctx_rank", "sent_pos", "patt_pos")

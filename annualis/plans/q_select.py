@@ -162,6 +162,24 @@ def selector_scores(spark, sf):
     return pick.select("qid", "phrase", F.round("p", 6).alias("p"))
 
 
+# Weights of a stored selector, in feature order, and its intercept.
+STORED_WEIGHTS = [0.0, -0.31, 0.82, 1.4, -0.07, 0.55, 0.21, 0.13, -0.18, -0.26, 0.34, 0.09, 1.9, 0.12, -0.05, 0.03]
+STORED_INTERCEPT = -0.45
+_FEATURE_NAMES_SQL = ["ctx_rank_f" if n == "ctx_rank" else n for n in C.FEATURE_NAMES]
+
+
+@register("stored_selector_pick", f"""{CANDS_SQL},
+f AS ({features_sql('cands').replace('round(1.0 / (1 + ctx_rank), 6)', '1.0 / (1 + ctx_rank)')
+      .replace('SELECT qid,', 'SELECT qid, phrase,', 1)}),
+p AS (SELECT *, 1.0 / (1.0 + exp(-({STORED_INTERCEPT} + {" + ".join(f"({w}) * {n}" for w, n in zip(STORED_WEIGHTS, _FEATURE_NAMES_SQL, strict=True))}))) AS p FROM f),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY p DESC, ctx_rank, sent_pos, patt_pos) AS rn FROM p)
+SELECT qid, phrase, ctx_rank, round(p, 6) AS p FROM r WHERE rn = 1""")
+def stored_selector_pick(spark, sf):
+    """SEL-3 + WIN-10: candidates scored with stored selector weights, the likeliest of each question."""
+    scored = SL.score_linear(SL.features(_q_cands(spark, sf)), STORED_WEIGHTS, STORED_INTERCEPT)
+    return SL.argmax_pick(scored).select("qid", "phrase", "ctx_rank", F.round("p", 6).alias("p"))
+
+
 @register("sample_items", f"""WITH {FILINGS_V_SQL},
 {eval_items_sql()}
 SELECT qid AS item_id, md5(qid || '|42') AS shuffle_key FROM items ORDER BY shuffle_key, qid LIMIT 10""")

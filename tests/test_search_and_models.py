@@ -194,3 +194,31 @@ def test_sketches_merge_and_stream(spark, tmpdir_path):
     q.awaitTermination(300)
     got = spark.sql("select * from path_windows").collect()
     assert len(got) == len(b) and {r.path for r in got} == {k[1] for k in b} and all(r.p95 <= r.max_ms for r in got)
+
+
+def test_selector_against_an_independent_solver(spark):
+    """The fit equals Newton's method on the same class-balanced objective; stored weights score alike."""
+    from annualis.operators import select as SL
+    rng = np.random.default_rng(6)
+    n, d = 240, len(SL.FEATURE_COLS)
+    x = rng.normal(size=(n, d)).round(3)
+    x[:, 0] = 1.0
+    y = (x @ rng.normal(size=d) + rng.normal(size=n) > 1.5).astype(float)
+    weight = np.where(y == 1, n / (2 * y.sum()), n / (2 * (n - y.sum())))
+    theta = np.zeros(d + 1)  # weights, intercept
+    full = np.hstack([x, np.ones((n, 1))])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-full @ theta))
+        grad = full.T @ (weight * (p - y)) + np.append(theta[:-1], 0)  # C = 1, the intercept is not penalised
+        hess = (full * (weight * p * (1 - p))[:, None]).T @ full + np.diag([1.0] * d + [1e-12])
+        theta -= np.linalg.solve(hess, grad)
+    rows = spark.createDataFrame([(i, *map(float, r), int(t)) for i, (r, t) in enumerate(zip(x, y, strict=True))],
+                                 "i long, " + ", ".join(f"{c} double" for c in SL.FEATURE_COLS) + ", label int")
+    model = SL.train_selector(rows, tol=1e-10)
+    want = 1 / (1 + np.exp(-full @ theta))
+    got = np.array([r.p for r in SL.score_candidates(model, rows).orderBy("i").collect()])
+    assert np.abs(got - want).max() < 2e-3
+    stored = np.array([r.p for r in SL.score_linear(rows, *SL.linear_weights(model)).orderBy("i").collect()])
+    assert np.abs(stored - got).max() < 1e-9
+    with pytest.raises(ValueError):
+        SL.score_linear(rows, [1.0], 0.0)
