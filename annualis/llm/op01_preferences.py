@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from annualis.operators.prefix import prefix_sums
+
 #: How a turn is rendered; only the text and the end mark of a trained role count in the loss.
 OPEN, AFTER_ROLE, END = "<|", "|>\n", "<|end|>\n"
 TRAINED_ROLES = ("assistant",)
@@ -75,13 +77,23 @@ def format_preferences(pairs: DataFrame, pair_col: str = "pair_id", chosen_col:
 def answer_swaps(turns: DataFrame) -> DataFrame:
     """(pair_id, chosen, rejected): preference pairs from plain conversations.
 
-    chosen is a conversation up to its last assistant turn; rejected is the same with that
-    answer replaced by the last answer of its neighbour (ids 2k and 2k + 1 are neighbours).
-    Conversations without an answer, or whose neighbour has none, give no pair."""
+    chosen is a conversation up to its last assistant turn; what follows that turn is no
+    completion.  One of its assistant turns, by a hash of the id, is where rejected departs: rejected
+    has the turns before it and then those of the next conversation in id order that has an answer
+    (after the last one the first), from that one's own point of departure on.  So pairs share
+    prompts of all lengths, and completions of several and of different numbers of turns.
+    Conversations without an answer give no pair, and a lone one has no other."""
     c = conversations_of(turns.withColumn("conv_id", F.col("conv_id").cast("long")))
-    last = F.size("turns") - F.array_position(F.reverse(F.transform("turns", lambda t: t["role"] == F.lit("assistant"))), True) + 1
-    c = c.where(F.exists("turns", lambda t: t["role"] == F.lit("assistant"))).withColumn("last", last.cast("int"))
-    answer = c.select(F.col("conv_id").bitwiseXOR(F.lit(1).cast("long")).alias("conv_id"), F.array(F.element_at("turns", F.col("last"))).alias("other"))
-    return c.join(answer, "conv_id").select(
-        F.col("conv_id").alias("pair_id"), F.slice("turns", F.lit(1), F.col("last")).alias("chosen"),
-        F.concat(F.slice("turns", F.lit(1), F.col("last") - 1), "other").alias("rejected"))
+    c = c.where(F.exists("turns", lambda t: t["role"] == F.lit("assistant")))
+    at = F.filter(F.sequence(F.lit(1), F.size("turns")), lambda i: F.element_at("turns", i)["role"] == F.lit("assistant"))
+    pick = F.conv(F.substring(F.md5(F.col("conv_id").cast("string")), 1, 4), 16, 10).cast("int") % F.size("at") + 1
+    c = c.withColumn("at", at).select("conv_id", F.slice("turns", F.lit(1), F.element_at("at", -1)).alias("turns"), F.element_at("at", pick).alias("d"))
+    # the next id: numbered by running sums over range partitions of the bare ids
+    ids = prefix_sums(c.select("conv_id", F.lit(1).cast("long").alias("one")), ["conv_id"], {"place": "one"}).select("conv_id", "place")
+    n = ids.select(F.count(F.lit(1))).scalar()
+    after = ids.where(n > 1).select("conv_id", ((F.col("place") + 1) % n).alias("place"))
+    donor = after.join(ids.select("place", F.col("conv_id").alias("donor")), "place").select("conv_id", "donor")
+    tail = c.select(F.col("conv_id").alias("donor"), F.slice("turns", F.col("d"), F.size("turns") - F.col("d") + 1).alias("tail"))
+    return c.join(donor, "conv_id").join(tail, "donor").select(
+        F.col("conv_id").alias("pair_id"), F.col("turns").alias("chosen"),
+        F.concat(F.slice("turns", F.lit(1), F.col("d") - 1), "tail").alias("rejected"))

@@ -93,21 +93,31 @@ def op4_ftrl_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = """
 WITH t AS (
   SELECT DISTINCT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
-m AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM t),
-e AS (SELECT conv_id, max(k) AS last FROM m WHERE role = 'assistant' GROUP BY 1),
-o AS (SELECT xor(m.conv_id, 1) AS conv_id, text FROM m JOIN e ON m.conv_id = e.conv_id AND k = last),
-s AS (
-  SELECT m.conv_id, k, last, role, m.text, o.text AS other, k < last OR m.text = o.text AS same,
-         '<|' || role || '|>' || chr(10) AS head
-  FROM m JOIN e ON m.conv_id = e.conv_id AND k <= last JOIN o ON m.conv_id = o.conv_id),
-r AS (SELECT *, head || text || '<|end|>' || chr(10) AS whole, head || other || '<|end|>' || chr(10) AS swapped FROM s)
-SELECT conv_id AS pair_id, CAST(count(*) FILTER (same) AS INTEGER) AS prompt_turns,
-       coalesce(string_agg(whole, '' ORDER BY k) FILTER (same), '') AS prompt,
-       coalesce(string_agg(whole, '') FILTER (NOT same), '') AS chosen,
-       coalesce(string_agg(swapped, '') FILTER (NOT same), '') AS rejected,
-       coalesce(string_agg(length(head) || '-' || length(whole), ',') FILTER (NOT same), '') AS chosen_mask,
-       coalesce(string_agg(length(head) || '-' || length(swapped), ',') FILTER (NOT same), '') AS rejected_mask
-FROM r GROUP BY conv_id"""
+m0 AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM t),
+e AS (SELECT conv_id, max(k) AS last, count(*) AS n FROM m0 WHERE role = 'assistant' GROUP BY 1),
+m AS (SELECT m0.* FROM m0 JOIN e ON m0.conv_id = e.conv_id AND k <= last),
+a AS (SELECT conv_id, k, row_number() OVER (PARTITION BY conv_id ORDER BY k) AS j FROM m WHERE role = 'assistant'),
+x AS (SELECT *, md5(CAST(conv_id AS VARCHAR)) AS h, '0123456789abcdef' AS hex FROM e),
+y AS (SELECT conv_id, ((instr(hex, substr(h, 1, 1)) - 1) * 4096 + (instr(hex, substr(h, 2, 1)) - 1) * 256
+                       + (instr(hex, substr(h, 3, 1)) - 1) * 16 + instr(hex, substr(h, 4, 1)) - 1) % n + 1 AS j FROM x),
+d AS (SELECT a.conv_id, a.k AS d FROM a JOIN y ON a.conv_id = y.conv_id AND a.j = y.j),
+o AS (SELECT conv_id, d, coalesce(lead(conv_id) OVER (ORDER BY conv_id), min(conv_id) OVER ()) AS donor FROM d QUALIFY count(*) OVER () > 1),
+c AS (SELECT o.conv_id AS p, k, role, text FROM o JOIN m ON m.conv_id = o.conv_id),
+r AS (SELECT o.conv_id AS p, k, role, text FROM o JOIN m ON m.conv_id = o.conv_id AND k < o.d
+      UNION ALL SELECT o.conv_id, o.d + m.k - d.d, role, text FROM o JOIN d ON d.conv_id = o.donor JOIN m ON m.conv_id = o.donor AND m.k >= d.d),
+f AS (SELECT coalesce(c.p, r.p) AS p, min(coalesce(c.k, r.k)) FILTER (c.k IS NULL OR r.k IS NULL OR c.role <> r.role OR c.text <> r.text) AS pos, count(c.k) AS n
+      FROM c FULL JOIN r ON c.p = r.p AND c.k = r.k GROUP BY 1),
+l AS (SELECT p, coalesce(pos - 1, n) AS n FROM f),
+s AS (SELECT 'c' AS side, * FROM c UNION ALL SELECT 'r', * FROM r),
+w AS (SELECT s.*, l.n, '<|' || role || '|>' || chr(10) AS head, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS whole FROM s JOIN l USING (p)),
+z AS (SELECT *, sum(length(whole)) FILTER (k > n) OVER (PARTITION BY side, p ORDER BY k) AS stop FROM w),
+g AS (SELECT side, p, any_value(n) AS n, coalesce(string_agg(whole, '' ORDER BY k) FILTER (k <= n), '') AS prompt,
+             coalesce(string_agg(whole, '' ORDER BY k) FILTER (k > n), '') AS rest,
+             coalesce(string_agg((stop - length(whole) + length(head)) || '-' || stop, ',' ORDER BY k) FILTER (k > n AND role = 'assistant'), '') AS mask
+      FROM z GROUP BY 1, 2)
+SELECT c.p AS pair_id, CAST(c.n AS INTEGER) AS prompt_turns, c.prompt, c.rest AS chosen, coalesce(r.rest, '') AS rejected, c.mask AS chosen_mask,
+       coalesce(r.mask, '') AS rejected_mask
+FROM g c LEFT JOIN g r ON r.p = c.p AND r.side = 'r' WHERE c.side = 'c'"""
 
 
 @register("op1_preferences", OP1_SQL)

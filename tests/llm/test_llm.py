@@ -83,13 +83,23 @@ def test_preferences_prefix_and_masks(spark):
 def test_answer_swaps_handles_nulls_repeats_and_lone_conversations(spark):
     rows = [(0, 0, "user", "q"), (0, 1, "assistant", "a0"), (0, 1, "assistant", "a0"), (0, 2, "user", "thanks"), (1, 0, None, "q1"),
             (1, 1, "assistant", "a1"), (None, 0, "user", "lost"), (4, 0, "assistant", "alone"), (6, 0, "user", "no answer")]
-    df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, turns int")
-    got = {r.pair_id: r for r in answer_swaps(df.drop("turns")).collect()}
-    assert set(got) == {0, 1}
+    df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, turns int").drop("turns")
+    got = {r.pair_id: r for r in answer_swaps(df).collect()}
+    assert set(got) == {0, 1, 4}  # the next answered conversation, after the last the first
     assert [tuple(t) for t in got[0].chosen] == [("user", "q"), ("assistant", "a0")]
     assert [tuple(t) for t in got[0].rejected] == [("user", "q"), ("assistant", "a1")]
+    assert [tuple(t) for t in got[1].rejected] == [("user", "q1"), ("assistant", "alone")]
+    assert [tuple(t) for t in got[4].rejected] == [("assistant", "a0")]
     assert got[1].chosen[0].role == "user"
-    assert answer_swaps(df.drop("turns").limit(0)).count() == 0
+    assert answer_swaps(df.limit(0)).count() == 0 and answer_swaps(df.where("conv_id = 4")).count() == 0
+
+
+def test_pairs_depart_at_several_turns_with_several_trained_turns(spark):
+    df = spark.createDataFrame([(c, t, "user" if t % 2 == 0 else "assistant", f"{c} {t}") for c in range(40) for t in range(2 * (1 + c % 4))],
+                               "conv_id long, turn long, role string, text string")
+    got = format_preferences(answer_swaps(df)).collect()
+    assert len(got) == 40 and {r.prompt_turns for r in got} == {1, 3, 5, 7}
+    assert {len(r.chosen_mask) for r in got} == {1, 2, 3, 4} and any(len(r.chosen_mask) != len(r.rejected_mask) for r in got)
 
 
 # --- 2 and 4 -------------------------------------------------------------------------------
