@@ -74,18 +74,18 @@ def scored_candidates(spark: SparkSession, sf: str) -> DataFrame:
 SCORED_SQL = f"""WITH {FILINGS_V_SQL},
 {Q_V_SQL},
 {CHUNKS_SQL.replace("FROM documents)", "FROM filings_v)", 1)},
-ck AS (SELECT c.doc_id || '-' || c.chunk_no AS chunk_id, f.company, f.year, c.text FROM chunks c JOIN filings_v f USING (doc_id)),
-ct AS (SELECT *, {answer_tokens_sql('text')} AS words FROM ck),
-cv AS (SELECT *, {hashed_embedding_sql('words')} AS embedding FROM ct),
+ck AS MATERIALIZED (SELECT c.doc_id || '-' || c.chunk_no AS chunk_id, f.company, f.year, c.text FROM chunks c JOIN filings_v f USING (doc_id)),
+ct AS MATERIALIZED (SELECT *, {answer_tokens_sql('text')} AS words FROM ck),
+cv AS MATERIALIZED (SELECT *, {hashed_embedding_sql('words')} AS embedding FROM ct),
 qw AS (SELECT *, {answer_tokens_sql('question')} AS words FROM q_v),
-qvec AS (SELECT *, {hashed_embedding_sql('words')} AS q_vec FROM qw),
-ds AS (SELECT q.qid, c.chunk_id, list_distance(c.embedding, q.q_vec) AS dist FROM cv c JOIN qvec q
+qvec AS MATERIALIZED (SELECT *, {hashed_embedding_sql('words')} AS q_vec FROM qw),
+ds AS MATERIALIZED (SELECT q.qid, c.chunk_id, list_distance(c.embedding, q.q_vec) AS dist FROM cv c JOIN qvec q
   ON q.company = c.company AND (q.year IS NULL OR q.year = c.year)),
-dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, chunk_id) AS rn FROM ds) WHERE rn <= {DENSE_POOL}),
+dense AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, chunk_id) AS rn FROM ds) WHERE rn <= {DENSE_POOL}),
 {bm25_sql('ck', 'chunk_id', 'text', 'cats', 'category', 'question', None, prefix='z')},
 ls AS (SELECT q.qid, z.chunk_id, z.score FROM z_sc z JOIN ck USING (chunk_id) JOIN q_v q ON q.category = z.qid AND q.company = ck.company
   AND (q.year IS NULL OR q.year = ck.year)),
-lex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, chunk_id) AS rn FROM ls) WHERE rn <= {LEXICAL_POOL}),
+lex AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, chunk_id) AS rn FROM ls) WHERE rn <= {LEXICAL_POOL}),
 dn AS (SELECT qid, chunk_id, CASE WHEN max(dist) OVER w = min(dist) OVER w THEN 1.0
   ELSE (max(dist) OVER w - dist) / (max(dist) OVER w - min(dist) OVER w) END AS dense_n FROM dense WINDOW w AS (PARTITION BY qid)),
 bn AS (SELECT qid, chunk_id, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0
@@ -93,16 +93,16 @@ bn AS (SELECT qid, chunk_id, CASE WHEN max(score) OVER w = min(score) OVER w THE
 fused AS (SELECT coalesce(dn.qid, bn.qid) AS qid, coalesce(dn.chunk_id, bn.chunk_id) AS chunk_id,
   0.85 * coalesce(dense_n, 0.0) + 0.15 * coalesce(bm25_n, 0.0) AS score
   FROM dn FULL OUTER JOIN bn ON dn.qid = bn.qid AND dn.chunk_id = bn.chunk_id),
-fr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, chunk_id) AS in_rank FROM fused)
+fr AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, chunk_id) AS in_rank FROM fused)
   WHERE in_rank <= {RERANK_POOL}),
-sc AS (SELECT fr.qid, q.category, fr.chunk_id, fr.in_rank, ck.text, round({token_f1_sql('ck.text', 'q.question')}, 6) AS ce
+sc AS MATERIALIZED (SELECT fr.qid, q.category, fr.chunk_id, fr.in_rank, ck.text, round({token_f1_sql('ck.text', 'q.question')}, 6) AS ce
   FROM fr JOIN q_v q USING (qid) JOIN ck ON ck.chunk_id = fr.chunk_id),
 rr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY ce DESC, in_rank) AS rr_rank FROM sc),
-ctx AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY {category_match_sql('text', 'category')} DESC, rr_rank) - 1
+ctx AS MATERIALIZED (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY {category_match_sql('text', 'category')} DESC, rr_rank) - 1
   AS INTEGER) AS ctx_rank FROM rr) WHERE ctx_rank < {TOP_CONTEXTS})"""
 
 SCORED_CANDS_SQL = f"""{SCORED_SQL},
-{candidates_sql('ctx', 'qid, chunk_id, ce', 'category').replace('0.0 AS ce_score', 'ce AS ce_score')}"""
+{candidates_sql('ctx', 'qid, chunk_id, ce', 'category').replace('0.0 AS ce_score', 'ce AS ce_score').replace('sents AS (', 'sents AS MATERIALIZED (', 1)}"""
 
 
 @register("scored_contexts", f"""{SCORED_SQL}
