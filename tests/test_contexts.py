@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from annualis import config as C
 from annualis.operators.lexical import bm25_topk
-from annualis.plans.pipeline import RERANK_K, question_candidates, question_contexts
+from annualis.plans.pipeline import RERANK_K, preferred_filings, question_candidates, question_contexts, scored_filings
 from annualis.sources.tables import filings
 
 
@@ -27,3 +27,21 @@ def test_companies_that_rank_low_keep_their_contexts(spark, tmpdir_path):
     sizes = {r.qid: r["count"] for r in question_contexts(spark, tmpdir_path, stage="prefer", qv=qv, with_text=False).groupBy("qid").count().collect()}
     assert all(sizes[f"LOW|{k}"] == 7 and sizes[f"BIG|{k}"] == sizes[f"NONE|{k}"] == RERANK_K for k in C.QUESTIONS)
     assert {r.qid.split("|")[0] for r in question_candidates(spark, tmpdir_path, qv=qv).select("qid").distinct().collect()} == {"BIG", "LOW", "NONE"}
+
+
+def test_preferred_filings_are_not_cut(spark, tmpdir_path):
+    words = " ".join(C.QUESTIONS.values())
+    n = RERANK_K + 30
+    docs = spark.range(n + 7).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit(words), F.expr("repeat(' other', int(id % 50))")).alias("text"),
+        F.when(F.col("id") < n, "big").when(F.col("id") < n + 5, "low").alias("source"))
+    docs.write.parquet(f"{tmpdir_path}/documents.parquet")
+    qv = spark.createDataFrame([(f"{c}|{k}", k, c) for k in C.QUESTIONS for c in ("BIG", "LOW", "NONE", None)], "qid string, category string, company string")
+    qv = qv.withColumn("qid", F.concat_ws("|", F.coalesce("company", F.lit("?")), "category"))
+    scored = {(r.category, r.doc_id): r.score for r in scored_filings(spark, tmpdir_path).collect()}
+    got: dict = {}
+    for r in preferred_filings(spark, tmpdir_path, qv).collect():
+        got.setdefault(r.qid, []).append((r.pref_rank, r.doc_id))
+    for k in C.QUESTIONS:
+        for company, ids in {"BIG": range(n), "LOW": range(n, n + 5), "NONE": range(n + 7), "?": range(n + 7)}.items():
+            assert sorted(got[f"{company}|{k}"]) == list(enumerate(sorted(ids, key=lambda d: (-scored[k, d], d))))  # noqa: B023
