@@ -59,13 +59,21 @@ def hashed_embedding(tokens, dim: int = 64) -> Column:
     """Bag-of-words vector of a token array: counts per bucket (four hex digits of md5, modulo
     ``dim``), scaled to length one; no token gives the zero vector."""
     buckets = F.transform(_c(tokens), lambda t: F.conv(F.substring(F.md5(t), 1, 4), 16, 10).cast("int") % dim)
-    places = F.sequence(F.lit(0), F.lit(dim - 1))
+    # one text of all buckets: what the removal of a bucket's mark takes off is its count.  A mark is one
+    # character or, if there are too many buckets for that, the number between commas of its own
+    short = dim < 128
+    mark = (lambda b: F.char(b.cast("long") + 1)) if short else (lambda b: F.concat(F.lit(","), b.cast("string"), F.lit(",")))
+    marked = F.array_join(F.transform(buckets, mark), "")
+
+    def count(text: Column, i: int) -> Column:
+        one = chr(i + 1) if short else f",{i},"
+        return ((F.length(text) - F.length(F.replace(text, F.lit(one), F.lit("")))) / len(one)).cast("int")
 
     def scaled(counts: Column) -> Column:
         norm = F.sqrt(F.aggregate(counts, F.lit(0).cast("long"), lambda s, n: s + n * n).cast("double"))
         return _let(norm, lambda x: F.transform(counts, lambda n: F.when(x > 0, n.cast("double") / x).otherwise(F.lit(0.0))))
 
-    return _let(buckets, lambda bs: _let(F.transform(places, lambda i: F.size(F.filter(bs, lambda b: b == i))), scaled))
+    return _let(marked, lambda m: _let(F.array(*[count(m, i) for i in range(dim)]), scaled))
 
 
 def hashed_embedding_sql(tokens: str, dim: int = 64) -> str:

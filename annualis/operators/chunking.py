@@ -23,9 +23,10 @@ def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per window: (id, chunk_no, n_tokens, text).  Empty text -> no chunk."""
     keep = keep or []
     toks = docs.select(id_col, *keep, TX.word_pieces(text_col).alias("_toks"))
-    starts = toks.select("*", F.posexplode(TX.window_starts(F.size("_toks"), size, overlap)).alias("chunk_no", "_start"))
-    win = F.slice("_toks", F.col("_start") + 1, size)
-    return starts.select(
+    # a row takes its own window along, not all tokens of its document
+    windows = F.transform(TX.window_starts(F.size("_toks"), size, overlap), lambda s: F.slice("_toks", s + 1, size))
+    win = F.col("_win")
+    return toks.select(id_col, *keep, F.posexplode(windows).alias("chunk_no", "_win")).select(
         id_col, *keep, F.col("chunk_no").cast("int").alias("chunk_no"),
         F.size(win).alias("n_tokens"),
         TX.detokenize(win).alias("text"),

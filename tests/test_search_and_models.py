@@ -1,6 +1,8 @@
 """Blocked kNN, list search, running sums, latency sketches and the model surfaces against brute
 force and on odd rows."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -222,3 +224,42 @@ def test_selector_against_an_independent_solver(spark):
     assert np.abs(stored - got).max() < 1e-9
     with pytest.raises(ValueError):
         SL.score_linear(rows, [1.0], 0.0)
+
+
+def test_hashed_embedding_counts_buckets_for_few_and_many(spark):
+    from hashlib import md5
+
+    words = [f"w{i % 40}" for i in range(300)] + ["é", "1,2", ","]
+    df = spark.createDataFrame([(words,), ([],), (None,)], "w array<string>")
+    for dim in (1, 16, 64, 127, 128, 300):
+        counts = [0] * dim
+        for x in words:
+            counts[int(md5(x.encode()).hexdigest()[:4], 16) % dim] += 1
+        norm = sum(n * n for n in counts) ** 0.5
+        got = [r.v for r in df.select(hashed_embedding("w", dim).alias("v")).collect()]
+        assert got == [[n / norm for n in counts], [0.0] * dim, [0.0] * dim]
+
+
+def test_bm25_tasks_follow_the_scored_rows(spark, monkeypatch):
+    from annualis.operators import lexical as LX
+
+    docs = spark.createDataFrame([(i, f"alpha beta{i % 7} gamma{i % 3}") for i in range(200)] + [(5, "alpha twice alpha")], "doc_id long, text string")
+    qs = spark.createDataFrame([(0, "alpha beta1"), (1, "gamma2 alpha alpha"), (2, "none")], "qid long, question string")
+    few = LX.bm25_topk(docs, qs, k=None)
+    monkeypatch.setattr(LX, "TASK_ROWS", 20)
+    many = LX.bm25_topk(docs, qs, k=None)
+    tasks = max(int(s) for s in re.findall(r"hashpartitioning\(_d#\d+L?, (\d+)\)", many._jdf.queryExecution().toString()))
+    assert tasks * 20 >= 402  # "alpha" alone stands in 201 documents and two questions
+    rows = lambda df: {(r.qid, r.doc_id): round(r.score, 9) for r in df.collect()}
+    assert rows(few) == rows(many) and len(rows(few)) == 400
+
+
+def test_windows_leave_their_document_behind(spark):
+    from annualis.operators.chunking import chunk_documents
+
+    df = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(50)))], "doc_id long, text string")
+    out = chunk_documents(df, size=10, overlap=3)
+    generate = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate" in x]
+    assert len(generate) == 1 and ", [1], false, [chunk_no" in generate[0]  # the second column, all tokens, ends here
+    got = [r.text.split() for r in out.orderBy("chunk_no").collect()]
+    assert [g[0] for g in got] == [f"w{i}" for i in range(0, 43, 7)] and [len(g) for g in got] == [10] * 6 + [8]
