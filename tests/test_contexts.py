@@ -45,3 +45,27 @@ def test_preferred_filings_are_not_cut(spark, tmpdir_path):
     for k in C.QUESTIONS:
         for company, ids in {"BIG": range(n), "LOW": range(n, n + 5), "NONE": range(n + 7), "?": range(n + 7)}.items():
             assert sorted(got[f"{company}|{k}"]) == list(enumerate(sorted(ids, key=lambda d: (-scored[k, d], d))))  # noqa: B023
+
+
+def test_items_and_contexts_are_found_once(spark, tmpdir_path, monkeypatch):
+    from annualis.operators import select as SL
+    from annualis.plans import pipeline, q_metrics
+
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("Azure revenue growth was driven by azure. Sales").alias("text"), F.lit("a").alias("source"))
+    docs.write.parquet(f"{tmpdir_path}/documents.parquet")
+    calls = []
+    for mod, name in ((SL, "eval_items"), (pipeline, "scored_filings")):
+        monkeypatch.setattr(mod, name, lambda *a, _f=getattr(mod, name), _n=name, **k: calls.append(_n) or _f(*a, **k))
+    m = q_metrics.metrics_items(spark, tmpdir_path)
+    assert m.count() > 0 and sorted(calls) == ["eval_items", "scored_filings"]
+    plan = m._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("documents.parquet") + plan.count("Relation [doc_id") <= 1  # the candidates' texts only
+
+
+def test_category_words_before_the_pattern(spark):
+    from annualis.operators.extract import category_match
+
+    texts = ["SALES were driven By x", "sale driven by", "wholesales led by", "Gross Margin due to", "opex because of", None, "", "revenue"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [[getattr(r, k) for r in df.select(category_match(F.col("t"), F.lit(k)).alias(k)).collect()] for k in C.QUESTIONS]
+    assert got == [[i in hit for i in range(len(texts))] for hit in ((0,), (3,), (4,))]
