@@ -364,7 +364,7 @@ def kept_words(s: Slice, gone: np.ndarray) -> list[bytes]:
     out, keep = s.data.copy(), np.zeros(len(s.data) + 1, np.int8)
     stay = np.flatnonzero(~gone)
     text = np.searchsorted(s.bounds, stay, side="right") - 1
-    followed = np.append(text[1:] == text[:-1], False)  # by another kept word of the text: there is a byte between
+    followed = np.append(text[1:] == text[:-1], False)[:len(text)]  # by another kept word of the text: there is a byte between
     keep[s.start[stay]] += 1
     keep[s.end[stay] + followed] -= 1
     out[s.end[stay][followed]] = 0x20

@@ -7,6 +7,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as E
@@ -209,3 +210,11 @@ def test_moments_of_large_integers_stay_exact(spark):
     assert want[1] >= 1 << 63 and got == {i: d if d < 1 << 63 else None for i, d in want.items()}
     q = np.array([[a * b for b in (7, 9)] for a in (7, 9)], dtype=object) * 10 ** 30
     assert covariance(10 ** 30, np.array([7 * 10 ** 30, 9 * 10 ** 30], dtype=object), q).max() == 0.0
+
+
+def test_texts_that_lose_every_word():
+    from annualis.llm.op12_cover_anchors import kept_words, slices
+
+    s = next(iter(slices(pa.array(["a b", "", "c"]))))
+    assert kept_words(s, np.ones(3, bool)) == [b"", b"", b""]
+    assert kept_words(s, np.array([False, True, False])) == [b"a", b"", b"c"]
