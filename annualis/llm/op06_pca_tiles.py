@@ -8,7 +8,9 @@ sum plus that bound cannot reach the threshold are given up after each group of
 dimensions; the few that remain are decided by the full cosine of the original vectors in
 double precision.
 
-Equal vectors are one class and compared once.  No pair leaves a task: a tile comparison
+Equal vectors are one class and compared once.  Tiles are written once, a row each, and every
+task of a cartesian product reads two of them from the checkpoint folder, so no vector is shuffled
+once per tile and the disk grows with the rows.  No pair leaves a task: a tile comparison
 returns per class a number of links (weighted by class sizes) and, for the components, a
 spanning forest of its links, so a group of a third of all rows costs one edge a member and
 tile."""
@@ -16,21 +18,27 @@ tile."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annualis.llm.common import written
 from annualis.llm.components import connected_components
+from annualis.session import cut_lineage, parallelism
 
 THRESHOLD = 0.9
-#: Bytes of the vectors of one tile; a task holds two.
-TILE_BYTES = 2 << 20
+#: Bytes of the vectors of one tile as doubles; a task holds two.
+TILE_BYTES = 16 << 20
+#: Most parts of the tiles: their square is the number of tasks; a part holds several tiles if need be.
+#: Parts for the sake of the cores only have this many rows or more.
+MOST_PARTS, PART_ROWS = 256, 8192
 STEP = 16
-#: Rows of a tile compared at once, and the rounding allowance of the partial sums.
-_ROWS, _SLACK = 512, 1e-6
+#: Rows and columns compared at once, pairs measured at once, and the rounding allowances of the
+#: partial sums in double and in single precision.
+_ROWS, _COLS, _PAIRS, _SLACK, _SLACK32 = 256, 1024, 1 << 15, 1e-6, 1e-5
 
 
 def _vectors(column: pa.Array, dim: int) -> np.ndarray:
@@ -42,9 +50,10 @@ def _units(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
-def principal_axes(vectors: DataFrame, dim: int) -> np.ndarray:
+def principal_axes(vectors: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """(dim x dim) rotation to the axes of the second moments of all unit vectors, largest
-    first: every task sums its outer products, Spark adds these up by matrix row."""
+    first, and the moments along them (their sum is 1): every task sums its outer products,
+    Spark adds these up by matrix row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((dim, dim))
@@ -59,41 +68,81 @@ def principal_axes(vectors: DataFrame, dim: int) -> np.ndarray:
     m = np.zeros((dim, dim))
     for r in rows:
         m[r["i"], r["j"]] = r["s"]
-    return np.linalg.eigh((m + m.T) / 2)[1][:, ::-1].copy()
+    values, axes = np.linalg.eigh((m + m.T) / 2)
+    return axes[:, ::-1].copy(), values[::-1] / values.sum()
 
 
-def close_pairs(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float, step: int = STEP
+def leading(moments: np.ndarray, threshold: float) -> int:
+    """Dimensions of the first bound: as few as leave about one unrelated pair in thousands."""
+    for m in range(8, len(moments), 8):
+        if threshold - moments[m:].sum() >= 3.5 * np.sqrt((moments[:m] ** 2).sum()):
+            return m
+    return len(moments)
+
+
+class Rotated(NamedTuple):
+    """Unit rows, their rotation, the group ends, suffix norms there, and for the first bound
+    the leading dimensions with the norm of the rest as one more."""
+
+    unit: np.ndarray
+    turned: np.ndarray
+    cuts: list[int]
+    tails: np.ndarray
+    first: np.ndarray
+
+
+def rotated(unit: np.ndarray, axes: np.ndarray, lead: int, step: int = STEP) -> Rotated:
+    dim = unit.shape[1]
+    cuts = [*range(lead, dim, step), dim]
+    r = unit @ axes
+    tails = np.column_stack([np.sqrt(np.einsum("ij,ij->i", r[:, c:], r[:, c:])) for c in cuts])
+    return Rotated(unit, r, cuts, tails, np.column_stack([r[:, :lead], tails[:, 0]]).astype(np.float32))
+
+
+def _true(bits: np.ndarray) -> np.ndarray:
+    """Places of the true values of a flat array, looked for eight at a time."""
+    if len(bits) % 8:
+        return np.flatnonzero(bits)
+    some = np.flatnonzero(bits.view(np.uint64))
+    w, k = np.nonzero(bits.reshape(-1, 8)[some])
+    return some[w] * 8 + k
+
+
+def _measured(a: Rotated, b: Rotated, i: np.ndarray, j: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (i, j) with cosine >= threshold: given up group by group, the rest measured."""
+    got = 0.0
+    for k, (lo, hi) in enumerate(zip([0, *a.cuts], a.cuts, strict=False)):
+        got = got + np.einsum("ij,ij->i", a.turned[i, lo:hi], b.turned[j, lo:hi])
+        if hi < a.cuts[-1]:
+            live = got + a.tails[i, k] * b.tails[j, k] >= threshold - _SLACK
+            i, j, got = i[live], j[live], got[live]
+    exact = np.einsum("ij,ij->i", a.unit[i], b.unit[j]) >= threshold
+    return i[exact], j[exact]
+
+
+def close_pairs(a: Rotated, b: Rotated, threshold: float, rows: range | None = None
                 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Blocks of (row of a, row of b) with cosine >= threshold; ``a`` and ``b`` are unit rows."""
-    dim = a.shape[1]
-    cuts = [*range(step, dim, step), dim]
-    ra, rb = a @ axes, b @ axes
-    tail_a = np.sqrt(np.maximum(np.cumsum((ra * ra)[:, ::-1], axis=1)[:, ::-1], 0))
-    tail_b = np.sqrt(np.maximum(np.cumsum((rb * rb)[:, ::-1], axis=1)[:, ::-1], 0))
-    ra32, rb32 = ra.astype(np.float32), rb.astype(np.float32)
-    least = threshold - _SLACK
-    first = cuts[0]
-    for s in range(0, len(a), _ROWS):
-        e = min(s + _ROWS, len(a))
-        part = ra32[s:e, :first] @ rb32[:, :first].T
-        if first < dim:
-            need = (least - 1e-5 - np.outer(tail_a[s:e, first], tail_b[:, first])).astype(np.float32)
-            i, j = np.nonzero(part >= need)
-        else:
-            i, j = np.nonzero(part >= least - 1e-5)
-        i = i + s
-        got = None
-        for lo, hi in zip([0, *cuts], cuts, strict=False):
-            if not len(i):
-                break
-            more = np.einsum("ij,ij->i", ra[i, lo:hi], rb[j, lo:hi])
-            got = more if got is None else got + more
-            if hi < dim:
-                live = got + tail_a[i, hi] * tail_b[j, hi] >= least
-                i, j, got = i[live], j[live], got[live]
-        if len(i):
-            exact = np.einsum("ij,ij->i", a[i], b[j]) >= threshold
-            yield i[exact], j[exact]
+    """Blocks of (row of a, row of b) with cosine >= threshold, for ``rows`` of ``a``; of ``a``
+    and itself every pair i < j once."""
+    rows, held, size = range(len(a.unit)) if rows is None else rows, [], 0
+    least = np.float32(threshold - _SLACK - _SLACK32)
+    for s in range(rows.start, rows.stop, _ROWS):
+        part = a.first[s:min(s + _ROWS, rows.stop)]
+        for c in range(s // _COLS * _COLS if a is b else 0, len(b.unit), _COLS):
+            bound = part @ b.first[c:c + _COLS].T
+            at = _true((bound >= least).ravel())
+            i, j = at // bound.shape[1] + s, at % bound.shape[1] + c
+            if a is b:
+                i, j = i[i < j], j[i < j]
+            held.append((i, j))
+            size += len(i)
+            if size >= _PAIRS:
+                i, j = (np.concatenate(x) for x in zip(*held, strict=True))
+                for k in range(0, size, _PAIRS):
+                    yield _measured(a, b, i[k:k + _PAIRS], j[k:k + _PAIRS], threshold)
+                held, size = [], 0
+    if size:
+        yield _measured(a, b, *(np.concatenate(x) for x in zip(*held, strict=True)), threshold)
 
 
 def _forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]], weights: np.ndarray):
@@ -102,7 +151,8 @@ def _forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]], weights: np.
     links = np.zeros(n, np.int64)
     edges = []
     for i, j in pairs:
-        links += np.bincount(i, weights[j], n).astype(np.int64) + np.bincount(j, weights[i], n).astype(np.int64)
+        np.add.at(links, i, weights[j])
+        np.add.at(links, j, weights[i])
         while len(i):
             p, q = root[i], root[j]
             apart = p != q
@@ -116,33 +166,80 @@ def _forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]], weights: np.
     return links, edges
 
 
-def _compared(tiles: DataFrame, axes: np.ndarray, dim: int, threshold: float) -> DataFrame:
+def tiled(classes: DataFrame, n: int, dim: int, tile_bytes: int) -> DataFrame:
+    """(tile, ids, n, v): the ``n`` classes of one length in tiles, each one row of packed
+    numbers, checkpointed so that a part is read without the others."""
+    most = max(1, tile_bytes // (8 * dim))
+    wide = dict(classes.dtypes)["v"] == "array<double>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def tile() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks()
+            flat = [t.column("id").to_numpy(), t.column("n").to_numpy(), t.column("v").combine_chunks().flatten().to_numpy()]
+            return pa.record_batch([pa.array([x.astype(k).tobytes()], pa.binary()) for x, k in
+                                    zip(flat, ("<i8", "<i8", "<f8" if wide else "<f4"), strict=True)], ["ids", "n", "v"])
+
+        held, size = [], 0
+        for b in batches:
+            while b.num_rows:
+                held.append(b.slice(0, most - size))
+                b = b.slice(most - size)
+                size += held[-1].num_rows
+                if size == most:
+                    yield tile()
+                    held, size = [], 0
+        if held:
+            yield tile()
+
+    busy = min(2 * int(np.ceil(np.sqrt(parallelism(classes.sparkSession)))), -(-n // PART_ROWS))
+    parts = min(MOST_PARTS, max(-(-n // most), busy))
+    packed = classes.select("id", "n", "v").coalesce(parts).mapInArrow(run, "ids binary, n binary, v binary")
+    return cut_lineage(packed.select(F.monotonically_increasing_id().alias("tile"), "*"))
+
+
+def _compared(tiles: DataFrame, axes: np.ndarray, lead: int, wide: bool, threshold: float) -> DataFrame:
     """(id, other, links) of every tile pair: a row with a null ``other`` carries a link
-    count, one with a null count a spanning edge."""
+    count, one with a null count a spanning edge.  Two tiles meet twice in the product: each
+    time half of the rows of the lower one are compared."""
+    dim = len(axes)
     known = tiles.sparkSession.sparkContext.broadcast(axes)
 
-    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        ti, tj = (k.as_py() for k in key)
-        ids, n, tile = (rows.column(c).to_numpy() for c in ("id", "n", "tile"))
-        u = _units(_vectors(rows.column("v").combine_chunks(), dim))
-        left, right = np.flatnonzero(tile == ti), np.flatnonzero(tile == tj)
+    def read(b: pa.RecordBatch, side: str, row: int) -> tuple[np.ndarray, np.ndarray, Rotated]:
+        ids, n, v = (np.frombuffer(b.column(f"{c}_{side}")[row].as_buffer(), k)
+                     for c, k in (("ids", "<i8"), ("n", "<i8"), ("v", "<f8" if wide else "<f4")))
+        return ids, n, rotated(_units(v.astype(np.float64).reshape(-1, dim)), known.value, lead)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, left = None, None
+        for b in batches:
+            for row in range(b.num_rows):
+                tl, tr = b.column("tile_l")[row].as_py(), b.column("tile_r")[row].as_py()
+                if tl != at:
+                    at, left = tl, read(b, "l", row)
+                right = left if tl == tr else read(b, "r", row)
+                (ids, n, low), (more, m, high) = (left, right) if tl <= tr else (right, left)
+                size, half = len(ids), len(ids) // 2
+                if tl == tr:
+                    pairs = close_pairs(low, low, threshold)
+                else:
+                    rows = range(half) if tl < tr else range(half, size)
+                    pairs = ((i, j + size) for i, j in close_pairs(low, high, threshold, rows))
+                    ids, n = np.concatenate([ids, more]), np.concatenate([n, m])
+                links, edges = _forest(len(ids), pairs, n)
+                some = np.flatnonzero(links)
+                x, y = (ids[np.array(e, np.int64)] for e in (zip(*edges, strict=True) if edges else ((), ())))
+                yield pa.record_batch([
+                    pa.array(np.concatenate([ids[some], x])),
+                    pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(y, pa.int64())]),
+                    pa.concat_arrays([pa.array(links[some]), pa.nulls(len(x), pa.int64())])], ["id", "other", "links"])
 
-        def pairs():
-            for i, j in close_pairs(u[left], u[right], known.value, threshold):
-                if ti == tj:
-                    i, j = i[i < j], j[i < j]
-                yield left[i], right[j]
+    left, right = (tiles.select([F.col(c).alias(f"{c}_{side}") for c in tiles.columns]) for side in "lr")
+    return left.hint("shuffle_replicate_nl").crossJoin(right).mapInArrow(run, "id long, other long, links long")
 
-        links, edges = _forest(len(ids), pairs(), n)
-        some = np.flatnonzero(links)
-        a = ids[np.array([x for x, _ in edges], np.int64)]
-        b = ids[np.array([y for _, y in edges], np.int64)]
-        return pa.table({
-            "id": pa.array(np.concatenate([ids[some], a])),
-            "other": pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(b, pa.int64())]),
-            "links": pa.concat_arrays([pa.array(links[some]), pa.nulls(len(a), pa.int64())])})
 
-    return tiles.groupBy("ti", "tj").applyInArrow(run, "id long, other long, links long")
+def _keys(v: str) -> dict[str, Column]:
+    """128 bits that stand for a vector where rows look up their class."""
+    return {f"key{k}": F.xxhash64(F.lit(k), v) for k in range(2)}
 
 
 def cosine_components(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
@@ -154,23 +251,21 @@ def cosine_components(vectors: DataFrame, id_col: str = "vec_id", vector_col: st
     vectors and those with null or non-finite components link with nothing; vectors of
     different lengths do not link; repeated rows are rows of their own that link with each
     other; extra columns are ignored."""
+    given = vectors.schema[vector_col].dataType.simpleString()
+    kind = given if given == "array<float>" else "array<double>"  # single precision loses nothing and is half the bytes
     rows = vectors.where(F.col(id_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+        F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    usable = rows.where(F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0))
-    classes = written(usable.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "vectors")
-    found = []
+    usable = F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0)
+    classes = rows.where(usable).groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    classes = written(classes.withColumns(_keys("v")), "vectors")
+    found, total = [], 0
     for r in classes.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy("dim").collect():
-        dim = r["dim"]
+        dim, total = r["dim"], total + r["n"]
         same = classes.where(F.size("v") == dim)
-        axes = principal_axes(same, dim)
-        tiles = -(-r["n"] * dim * 8 // tile_bytes)
-        same = same.withColumn("tile", F.pmod(F.xxhash64("id", "v"), F.lit(tiles)).cast("long"))
-        other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long")))
-        same = same.select("id", "n", "v", "tile", other.alias("other")) \
-            .withColumns({"ti": F.least("tile", "other"), "tj": F.greatest("tile", "other")})
-        same = same.repartition(max(1, tiles * (tiles + 1) // 2), "ti", "tj")
-        found.append(_compared(same, axes, dim, threshold))
+        axes, moments = principal_axes(same, dim)
+        tiles = tiled(same, r["n"], dim, tile_bytes)
+        found.append(_compared(tiles, axes, leading(moments, threshold), kind == "array<double>", threshold))
     if not found:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"),
                            F.col("id").alias("component_id"), F.lit(True).alias("kept"))
@@ -180,10 +275,15 @@ def cosine_components(vectors: DataFrame, id_col: str = "vec_id", vector_col: st
     result = written(result, "tiles")
     links = result.where("other is null").groupBy("id").agg(F.sum("links").alias("links"))
     parts = connected_components(result.where("other is not null"), "id", "other")
+    on = list(_keys("v"))
+    if classes.select(on).distinct().count() < total:
+        on = ["v"]  # two vectors share their keys: rows look up the vector itself
     placed = (classes.join(links, "id", "left").join(parts, "id", "left")
-              .select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"),
+              .select(*on, (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"),
                       F.coalesce("component", "id").alias("component")))
-    joined = rows.join(placed, "v", "left")
+    if on != ["v"]:
+        rows = rows.select("id", *[F.when(usable, x).alias(c) for c, x in _keys("v").items()])
+    joined = rows.join(placed, on, "left")
     out = joined.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
                         F.coalesce("component", "id").alias("component_id"))
     return out.withColumn("kept", F.col(id_col) == F.col("component_id"))
