@@ -36,9 +36,8 @@ TILE_BYTES = 16 << 20
 #: Parts for the sake of the cores only have this many rows or more.
 MOST_PARTS, PART_ROWS = 256, 8192
 STEP = 16
-#: Rows and columns compared at once, pairs measured at once, and the rounding allowances of the
-#: partial sums in double and in single precision.
-_ROWS, _COLS, _PAIRS, _SLACK, _SLACK32 = 256, 1024, 1 << 15, 1e-6, 1e-5
+#: Rows and columns compared at once, and pairs measured at once.
+_ROWS, _COLS, _PAIRS = 256, 1024, 1 << 15
 
 
 def _vectors(column: pa.Array, dim: int) -> np.ndarray:
@@ -80,9 +79,14 @@ def leading(moments: np.ndarray, threshold: float) -> int:
     return len(moments)
 
 
+def _slack(dim: int) -> float:
+    """Rounding allowance of partial sums and norms in single precision."""
+    return 1e-5 + 1e-7 * dim
+
+
 class Rotated(NamedTuple):
-    """Unit rows, their rotation, the group ends, suffix norms there, and for the first bound
-    the leading dimensions with the norm of the rest as one more."""
+    """Unit rows; in single precision their rotation, the suffix norms at the group ends and, for
+    the first bound, the leading dimensions with the norm of the rest as one more."""
 
     unit: np.ndarray
     turned: np.ndarray
@@ -94,9 +98,9 @@ class Rotated(NamedTuple):
 def rotated(unit: np.ndarray, axes: np.ndarray, lead: int, step: int = STEP) -> Rotated:
     dim = unit.shape[1]
     cuts = [*range(lead, dim, step), dim]
-    r = unit @ axes
+    r = (unit @ axes).astype(np.float32)
     tails = np.column_stack([np.sqrt(np.einsum("ij,ij->i", r[:, c:], r[:, c:])) for c in cuts])
-    return Rotated(unit, r, cuts, tails, np.column_stack([r[:, :lead], tails[:, 0]]).astype(np.float32))
+    return Rotated(unit, r, cuts, tails, np.column_stack([r[:, :lead], tails[:, 0]]))
 
 
 def _true(bits: np.ndarray) -> np.ndarray:
@@ -110,24 +114,23 @@ def _true(bits: np.ndarray) -> np.ndarray:
 
 def _measured(a: Rotated, b: Rotated, i: np.ndarray, j: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """The pairs (i, j) with cosine >= threshold: given up group by group, the rest measured."""
-    got = 0.0
+    got, least = np.float32(0), threshold - _slack(a.cuts[-1])
     for k, (lo, hi) in enumerate(zip([0, *a.cuts], a.cuts, strict=False)):
         got = got + np.einsum("ij,ij->i", a.turned[i, lo:hi], b.turned[j, lo:hi])
         if hi < a.cuts[-1]:
-            live = got + a.tails[i, k] * b.tails[j, k] >= threshold - _SLACK
+            live = got + a.tails[i, k] * b.tails[j, k] >= least
             i, j, got = i[live], j[live], got[live]
     exact = np.einsum("ij,ij->i", a.unit[i], b.unit[j]) >= threshold
     return i[exact], j[exact]
 
 
-def close_pairs(a: Rotated, b: Rotated, threshold: float, rows: range | None = None
-                ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Blocks of (row of a, row of b) with cosine >= threshold, for ``rows`` of ``a``; of ``a``
-    and itself every pair i < j once."""
-    rows, held, size = range(len(a.unit)) if rows is None else rows, [], 0
-    least = np.float32(threshold - _SLACK - _SLACK32)
-    for s in range(rows.start, rows.stop, _ROWS):
-        part = a.first[s:min(s + _ROWS, rows.stop)]
+def close_pairs(a: Rotated, b: Rotated, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of (row of a, row of b) with cosine >= threshold; of ``a`` and itself every pair
+    i < j once."""
+    held, size = [], 0
+    least = np.float32(threshold - _slack(a.cuts[-1]))
+    for s in range(0, len(a.unit), _ROWS):
+        part = a.first[s:s + _ROWS]
         for c in range(s // _COLS * _COLS if a is b else 0, len(b.unit), _COLS):
             bound = part @ b.first[c:c + _COLS].T
             at = _true((bound >= least).ravel())
@@ -204,26 +207,23 @@ def _compared(tiles: DataFrame, axes: np.ndarray, lead: int, wide: bool, thresho
     dim = len(axes)
     known = tiles.sparkSession.sparkContext.broadcast(axes)
 
-    def read(b: pa.RecordBatch, side: str, row: int) -> tuple[np.ndarray, np.ndarray, Rotated]:
+    def read(b: pa.RecordBatch, side: str, row: int, half: int | None = None) -> tuple[np.ndarray, np.ndarray, Rotated]:
         ids, n, v = (np.frombuffer(b.column(f"{c}_{side}")[row].as_buffer(), k)
                      for c, k in (("ids", "<i8"), ("n", "<i8"), ("v", "<f8" if wide else "<f4")))
-        return ids, n, rotated(_units(v.astype(np.float64).reshape(-1, dim)), known.value, lead)
+        cut = (slice(None) if half is None else slice(len(ids) // 2) if half == 0 else slice(len(ids) // 2, None))
+        return ids[cut], n[cut], rotated(_units(v.reshape(-1, dim)[cut].astype(np.float64)), known.value, lead)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, left = None, None
         for b in batches:
             for row in range(b.num_rows):
-                tl, tr = b.column("tile_l")[row].as_py(), b.column("tile_r")[row].as_py()
-                if tl != at:
-                    at, left = tl, read(b, "l", row)
-                right = left if tl == tr else read(b, "r", row)
-                (ids, n, low), (more, m, high) = (left, right) if tl <= tr else (right, left)
-                size, half = len(ids), len(ids) // 2
-                if tl == tr:
+                left, right = b.column("tile_l")[row].as_py(), b.column("tile_r")[row].as_py()
+                if left == right:
+                    ids, n, low = read(b, "l", row)
                     pairs = close_pairs(low, low, threshold)
                 else:
-                    rows = range(half) if tl < tr else range(half, size)
-                    pairs = ((i, j + size) for i, j in close_pairs(low, high, threshold, rows))
+                    ids, n, low = read(b, "l", row, 0) if left < right else read(b, "r", row, 1)
+                    more, m, high = read(b, "r" if left < right else "l", row)
+                    pairs = ((i, j + len(low.unit)) for i, j in close_pairs(low, high, threshold))
                     ids, n = np.concatenate([ids, more]), np.concatenate([n, m])
                 links, edges = _forest(len(ids), pairs, n)
                 some = np.flatnonzero(links)
