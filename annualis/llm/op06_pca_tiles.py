@@ -12,8 +12,9 @@ Equal vectors are one class and compared once.  Tiles are written once, a row ea
 task of a cartesian product reads two of them from the checkpoint folder, so no vector is shuffled
 once per tile and the disk grows with the rows.  No pair leaves a task: a tile comparison
 returns per class a number of links (weighted by class sizes) and, for the components, a
-spanning forest of its links, so a group of a third of all rows costs one edge a member and
-tile."""
+spanning forest of its links.  Every tile knows the components of its own links, so two tiles
+add an edge only where they join such components: a dense group costs an edge a member and one
+more a pair of tiles."""
 
 from __future__ import annotations
 
@@ -148,10 +149,10 @@ def close_pairs(a: Rotated, b: Rotated, threshold: float) -> Iterator[tuple[np.n
         yield _measured(a, b, *(np.concatenate(x) for x in zip(*held, strict=True)), threshold)
 
 
-def _forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]], weights: np.ndarray):
-    """(weighted link counts, spanning edges) of the pairs over ``n`` nodes."""
-    root = np.arange(n)
-    links = np.zeros(n, np.int64)
+def _forest(root: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]], weights: np.ndarray):
+    """(weighted link counts, spanning edges) of the pairs over nodes that are joined to ``root``
+    already; ``root`` is brought up to date."""
+    links = np.zeros(len(root), np.int64)
     edges = []
     for i, j in pairs:
         np.add.at(links, i, weights[j])
@@ -165,22 +166,27 @@ def _forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]], weights: np.
             root[high] = low[first]
             edges.extend(zip(i[first].tolist(), j[first].tolist(), strict=True))
             while (root[root] != root).any():
-                root = root[root]
+                root[:] = root[root]
     return links, edges
 
 
-def tiled(classes: DataFrame, n: int, dim: int, tile_bytes: int) -> DataFrame:
-    """(tile, ids, n, v): the ``n`` classes of one length in tiles, each one row of packed
-    numbers, checkpointed so that a part is read without the others."""
+def tiled(classes: DataFrame, n: int, dim: int, tile_bytes: int, axes: np.ndarray, lead: int, threshold: float) -> DataFrame:
+    """(tile, ids, n, root, v): the ``n`` classes of one length in tiles, each one row of packed
+    numbers with the components of its own links, checkpointed so that a part is read without
+    the others."""
     most = max(1, tile_bytes // (8 * dim))
     wide = dict(classes.dtypes)["v"] == "array<double>"
+    known = classes.sparkSession.sparkContext.broadcast(axes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def tile() -> pa.RecordBatch:
             t = pa.Table.from_batches(held).combine_chunks()
-            flat = [t.column("id").to_numpy(), t.column("n").to_numpy(), t.column("v").combine_chunks().flatten().to_numpy()]
+            ids, count, v = t.column("id").to_numpy(), t.column("n").to_numpy(), t.column("v").combine_chunks().flatten().to_numpy()
+            own, root = rotated(_units(v.reshape(-1, dim).astype(np.float64)), known.value, lead), np.arange(len(ids))
+            _forest(root, close_pairs(own, own, threshold), count)
             return pa.record_batch([pa.array([x.astype(k).tobytes()], pa.binary()) for x, k in
-                                    zip(flat, ("<i8", "<i8", "<f8" if wide else "<f4"), strict=True)], ["ids", "n", "v"])
+                                    ((ids, "<i8"), (count, "<i8"), (root, "<i4"), (v, "<f8" if wide else "<f4"))],
+                                   ["ids", "n", "root", "v"])
 
         held, size = [], 0
         for b in batches:
@@ -196,7 +202,7 @@ def tiled(classes: DataFrame, n: int, dim: int, tile_bytes: int) -> DataFrame:
 
     busy = min(2 * int(np.ceil(np.sqrt(parallelism(classes.sparkSession)))), -(-n // PART_ROWS))
     parts = min(MOST_PARTS, max(-(-n // most), busy))
-    packed = classes.select("id", "n", "v").coalesce(parts).mapInArrow(run, "ids binary, n binary, v binary")
+    packed = classes.select("id", "n", "v").coalesce(parts).mapInArrow(run, "ids binary, n binary, root binary, v binary")
     return cut_lineage(packed.select(F.monotonically_increasing_id().alias("tile"), "*"))
 
 
@@ -207,25 +213,27 @@ def _compared(tiles: DataFrame, axes: np.ndarray, lead: int, wide: bool, thresho
     dim = len(axes)
     known = tiles.sparkSession.sparkContext.broadcast(axes)
 
-    def read(b: pa.RecordBatch, side: str, row: int, half: int | None = None) -> tuple[np.ndarray, np.ndarray, Rotated]:
-        ids, n, v = (np.frombuffer(b.column(f"{c}_{side}")[row].as_buffer(), k)
-                     for c, k in (("ids", "<i8"), ("n", "<i8"), ("v", "<f8" if wide else "<f4")))
+    def read(b: pa.RecordBatch, side: str, row: int, half: int | None = None
+             ) -> tuple[np.ndarray, np.ndarray, np.ndarray, Rotated]:
+        ids, n, root, v = (np.frombuffer(b.column(f"{c}_{side}")[row].as_buffer(), k)
+                           for c, k in (("ids", "<i8"), ("n", "<i8"), ("root", "<i4"), ("v", "<f8" if wide else "<f4")))
         cut = (slice(None) if half is None else slice(len(ids) // 2) if half == 0 else slice(len(ids) // 2, None))
-        return ids[cut], n[cut], rotated(_units(v.reshape(-1, dim)[cut].astype(np.float64)), known.value, lead)
+        _, first, which = np.unique(root[cut], return_index=True, return_inverse=True)
+        return ids[cut], n[cut], first[which], rotated(_units(v.reshape(-1, dim)[cut].astype(np.float64)), known.value, lead)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in range(b.num_rows):
                 left, right = b.column("tile_l")[row].as_py(), b.column("tile_r")[row].as_py()
                 if left == right:
-                    ids, n, low = read(b, "l", row)
-                    pairs = close_pairs(low, low, threshold)
+                    ids, n, _, low = read(b, "l", row)
+                    root, pairs = np.arange(len(ids)), close_pairs(low, low, threshold)
                 else:
-                    ids, n, low = read(b, "l", row, 0) if left < right else read(b, "r", row, 1)
-                    more, m, high = read(b, "r" if left < right else "l", row)
+                    ids, n, root, low = read(b, "l", row, 0) if left < right else read(b, "r", row, 1)
+                    more, m, other, high = read(b, "r" if left < right else "l", row)
                     pairs = ((i, j + len(low.unit)) for i, j in close_pairs(low, high, threshold))
-                    ids, n = np.concatenate([ids, more]), np.concatenate([n, m])
-                links, edges = _forest(len(ids), pairs, n)
+                    ids, n, root = np.concatenate([ids, more]), np.concatenate([n, m]), np.concatenate([root, other + len(ids)])
+                links, edges = _forest(root, pairs, n)
                 some = np.flatnonzero(links)
                 x, y = (ids[np.array(e, np.int64)] for e in (zip(*edges, strict=True) if edges else ((), ())))
                 yield pa.record_batch([
@@ -264,8 +272,9 @@ def cosine_components(vectors: DataFrame, id_col: str = "vec_id", vector_col: st
         dim, total = r["dim"], total + r["n"]
         same = classes.where(F.size("v") == dim)
         axes, moments = principal_axes(same, dim)
-        tiles = tiled(same, r["n"], dim, tile_bytes)
-        found.append(_compared(tiles, axes, leading(moments, threshold), kind == "array<double>", threshold))
+        lead = leading(moments, threshold)
+        tiles = tiled(same, r["n"], dim, tile_bytes, axes, lead, threshold)
+        found.append(_compared(tiles, axes, lead, kind == "array<double>", threshold))
     if not found:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"),
                            F.col("id").alias("component_id"), F.lit(True).alias("kept"))

@@ -81,3 +81,13 @@ def test_close_pairs_against_all_pairs():
         assert len(set(got)) == len(got) and set(got) == set(zip(*(p.tolist() for p in np.nonzero(u[:1100] @ u[1100:].T >= 0.9)), strict=True))
         got = [(i, j) for part in tiles.close_pairs(a, a, 0.9) for i, j in zip(*(p.tolist() for p in part), strict=True)]
         assert len(set(got)) == len(got) and set(got) == set(zip(*(p.tolist() for p in np.nonzero(np.triu(u[:1100] @ u[:1100].T >= 0.9, 1))), strict=True))
+
+
+def test_a_dense_group_adds_few_edges(spark, monkeypatch):
+    """600 vectors that all link, in tiles of 40: an edge a member and one more for each meeting of two tiles."""
+    x = np.concatenate([np.ones((600, 8)) + 0.01 * np.random.default_rng(4).normal(size=(600, 8)), -np.eye(8)])
+    seen, joined = [], tiles.connected_components
+    monkeypatch.setattr(tiles, "connected_components", lambda e, *ends: (seen.append(e.count()), joined(e, *ends))[1])
+    got = _links(cosine_components(_vectors(spark, x, "double"), tile_bytes=8 * 8 * 40))
+    assert all(got[i] == (599, 0, i == 0) for i in range(600)) and all(got[i] == (0, i, True) for i in range(600, 608))
+    assert 599 <= seen[0] <= 608 + 20 * 19
